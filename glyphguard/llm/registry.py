@@ -1,8 +1,9 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import op4_media, op5_packing, op7_line_dedup
+from . import op1_jaccard_join, op4_media, op5_packing, op7_line_dedup
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join.op1_jaccard_join,
     "op4_media": op4_media.op4_media,
     "op5_packing": op5_packing.op5_packing,
     "op7_line_dedup": op7_line_dedup.op7_line_dedup,
