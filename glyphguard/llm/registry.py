@@ -1,11 +1,22 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import op1_jaccard_join, op4_media, op5_packing, op7_line_dedup
+from . import (
+    op1_jaccard_join,
+    op3_token_counts,
+    op4_media,
+    op5_packing,
+    op7_line_dedup,
+    op8_language_id,
+    op9_url_filter,
+)
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join.op1_jaccard_join,
+    "op3_token_counts": op3_token_counts.op3_token_counts,
     "op4_media": op4_media.op4_media,
     "op5_packing": op5_packing.op5_packing,
     "op7_line_dedup": op7_line_dedup.op7_line_dedup,
+    "op8_language_id": op8_language_id.op8_language_id,
+    "op9_url_filter": op9_url_filter.op9_url_filter,
 }
 SQL = {"op7_line_dedup": op7_line_dedup.SQL}
