@@ -1,6 +1,7 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
 from . import (
+    op10_html_main_text,
     op1_jaccard_join,
     op3_token_counts,
     op4_media,
@@ -18,5 +19,6 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup.op7_line_dedup,
     "op8_language_id": op8_language_id.op8_language_id,
     "op9_url_filter": op9_url_filter.op9_url_filter,
+    "op10_html_main_text": op10_html_main_text.op10_html_main_text,
 }
 SQL = {"op7_line_dedup": op7_line_dedup.SQL}
