@@ -3,9 +3,11 @@
 from . import (
     op10_html_main_text,
     op1_jaccard_join,
+    op2_decontamination,
     op3_token_counts,
     op4_media,
     op5_packing,
+    op6_quality,
     op7_line_dedup,
     op8_language_id,
     op9_url_filter,
@@ -13,9 +15,11 @@ from . import (
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join.op1_jaccard_join,
+    "op2_decontamination": op2_decontamination.op2_decontamination,
     "op3_token_counts": op3_token_counts.op3_token_counts,
     "op4_media": op4_media.op4_media,
     "op5_packing": op5_packing.op5_packing,
+    "op6_quality": op6_quality.op6_quality,
     "op7_line_dedup": op7_line_dedup.op7_line_dedup,
     "op8_language_id": op8_language_id.op8_language_id,
     "op9_url_filter": op9_url_filter.op9_url_filter,
