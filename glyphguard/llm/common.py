@@ -52,6 +52,16 @@ def if_small(cut_table: DataFrame, row_bytes: int, side: DataFrame | None = None
     return F.broadcast(side) if cut_table.count() * row_bytes <= BROADCAST_BYTES else side
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with Arrow batches of the session held to ``rows`` rows: by default 10,000 long texts
+    at a time are held off-heap in the JVM and again in each Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of at most ``max_bytes`` of text (one row may exceed it alone)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

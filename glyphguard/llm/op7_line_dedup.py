@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, if_small, text_slices
+from .common import ascii_lower, bounded_batches, cut, if_small, text_slices
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -57,7 +57,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Data
     that is dropped anywhere. Rows that repeat a doc_id are one document. Input columns named
     n_lines or n_dropped are replaced; all others pass through.
     """
-    pairs = cut(line_hashes(docs, min_chars), "line_hashes")
+    pairs = cut(line_hashes(bounded_batches(docs), min_chars), "line_hashes")
     hot = (
         pairs.groupBy("key")
         .agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
