@@ -26,11 +26,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, if_small, text_slices
+from .common import bounded_batches, cut, drop_cut, if_small, text_slices
 from .components import components
 from .shingles import shingle_sets
 
@@ -92,9 +93,8 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
 def merged_sketch(parts: DataFrame) -> np.ndarray:
     """Counts of the whole corpus: SKETCH numbers, whatever the input. Tasks' parts are summed on the
     executors, first in 64 salted groups."""
-    import pandas as pd
 
-    def total(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         counts = sum((np.frombuffer(x, "<u8" if len(x) == 8 * PART else "<u4").astype(np.uint64) for x in rows.counts), np.zeros(PART, np.uint64))
         return pd.DataFrame({"part": [key[0]], "counts": [counts.astype("<u8").tobytes()]})
 
@@ -185,7 +185,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     nothing, not even with each other. A row without doc_id is linked with nothing and has a null
     component. Rows that repeat a doc_id are judged row by row. Extra columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = cut(describe(docs, words), "described")
     counts = merged_sketch(described.filter("part is not null").select("part", "counts"))
     rows = described.filter("part is null").select("doc_id", "n", "digest", "bits")
@@ -198,8 +198,6 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
 
     # Tokens that stand in the prefixes of two documents or more, with the first of these.
     shared = prefixes(docs, counts, words, percent)
-    from pyspark.sql import Window
-
     by_token = Window.partitionBy("token")
     shared = shared.withColumn("lead", F.min("doc_id").over(by_token)).withColumn("last", F.max("doc_id").over(by_token)).filter("lead < last")
     shared = cut(shared.select("token", "doc_id", "lead"), "shared")

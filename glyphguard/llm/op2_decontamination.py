@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import bounded_batches, text_slices
 from .shingles import NOT_ALNUM, grams, words
 
 SLICE = 1 << 20
@@ -169,7 +169,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float =
     and empty texts and items without words match nothing; rows without id are left out. Repeated
     rows give repeated results. Extra columns are not read.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     docs = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     benchmark = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0

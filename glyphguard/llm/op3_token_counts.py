@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 MARK = "▁"
 #: Nodes and words that a worker's trie holds before it starts afresh.
 MAX_NODES = 400_000
@@ -122,7 +124,7 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["n_words", "n_tokens"])
 
     kept = [c for c in docs.columns if c not in ("n_words", "n_tokens")]
-    return docs.select(*kept, counted("text").alias("_n")).select(*kept, "_n.n_words", "_n.n_tokens")
+    return bounded_batches(docs).select(*kept, counted("text").alias("_n")).select(*kept, "_n.n_words", "_n.n_tokens")
 
 
 def tokens_by_source(docs: DataFrame, model_path: str) -> DataFrame:

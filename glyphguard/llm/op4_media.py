@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Rows of an image whose integral is held at once.
 STRIP_ROWS = 1024
 TOKEN = re.compile(rb"(?:[ \t\r\n\x0b\x0c]|#[^\r\n]*[\r\n])*([0-9]+)")
@@ -160,7 +162,7 @@ def media_tiles(df: DataFrame, image: str, thumb: int = 16) -> DataFrame:
             rows.append(row)
         return pa.array(rows, pa.struct([("tile", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), ("thumb", pa.binary()), ("dhash", pa.string()), ("error", pa.string())]))
 
-    return df.withColumn("media", tiles(image))
+    return bounded_batches(df).withColumn("media", tiles(image))
 
 
 def payload_of(text, unit: int = 576):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import bounded_batches, text_slices
 
 #: Words and chunks a worker remembers before it starts afresh (memory bound, no effect on ids).
 CACHE_WORDS = 250_000
@@ -124,7 +124,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 4096, end_id: int
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], NAMES)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(
         pieces, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 LETTERS = re.compile(r"[^\W\d_]+")
 SOURCES, LANGS = 32, 8
 N_TEXT, N_META = 16, SOURCES + LANGS + 1
@@ -168,7 +170,7 @@ def features(docs: DataFrame, *kept: str) -> DataFrame:
         meta = [meta_features(*(v.as_py() for v in row)) for row in zip(sources, langs, chars)]
         return pa.StructArray.from_arrays([pa.array(text, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.float64()))], ["text", "meta"])
 
-    return docs.select(*kept, both("text", *_metadata(docs)).alias("view"))
+    return bounded_batches(docs).select(*kept, both("text", *_metadata(docs)).alias("view"))
 
 
 def _metadata(docs: DataFrame) -> list:
@@ -201,7 +203,7 @@ def classify(docs: DataFrame, model: CoTrained, least: float = 0.5) -> DataFrame
     A null or empty text has scores 0 and is rejected; null or missing metadata are features of their
     own. Repeated rows and ties score alike. Input columns of the four names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)
     new = ("quality_score", "text_score", "meta_score", "accepted")
 
     @F.arrow_udf("struct<quality_score:double,text_score:double,meta_score:double,accepted:boolean>")

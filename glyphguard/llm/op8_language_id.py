@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 BLOCK_BYTES = 8192
 PRIMER_BYTES = 512
@@ -37,7 +39,7 @@ def train(docs: DataFrame, sample_docs: int = 400, dictionary_bytes: int = 1 <<
     a bounded, repeatable sample that does not depend on partitions. Rows without language, text or
     id are not learned from.
     """
-    docs = docs.filter("lang is not null and text is not null and doc_id is not null")
+    docs = bounded_batches(docs).filter("lang is not null and text is not null and doc_id is not null")
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
     chosen = docs.select("doc_id", "lang").withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= sample_docs)
     # At most sample_docs ids a language.
@@ -94,7 +96,7 @@ def identify(docs: DataFrame, model: list[tuple[str, int, bytes]], narrow: float
     language is given all the same. A text that is null or has no letter is ``und`` with score 0,
     rejected. Input columns of these three names are replaced. Only ``text`` is looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
