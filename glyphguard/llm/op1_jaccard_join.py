@@ -7,12 +7,15 @@
    so two partners have a token in common among the n - ceil(0.8 n) + 1 rarest of each, under any
    order that is the same for all sets. The order is (sketch count, hash): tokens of passages that
    many documents share come last and hardly occur in prefixes.
-3. Groups. Documents are linked to the first document that shares a prefix token, where the exact
-   count confirms it; the components of these links partition similar documents into groups.
+3. Groups. Of the documents that share a prefix token, each is linked, where the exact count confirms
+   it, to the one whose own prefix is the most common (the original that others are edits of has no
+   rare tokens); the components of these links partition similar documents into groups.
 4. Token-group matrix. Its cells are (prefix token, group), each once however many members hold the
    token; beside it each group's token union is kept as the OR of its members' bitmaps. A query
-   document meets a group only where they share a cell. At least popcount(q AND NOT union) of its
-   tokens are not in the union, which bounds the overlap; groups under 0.8 n are not opened.
+   document meets a group only where they share cells. Of two prefixes, the one that ends first under
+   the order has all its unshared tokens missing from the other set, so partners share at least
+   1 + overlap - ceil(0.8 larger) cells; and at least popcount(q AND NOT union) of the query's tokens
+   are not in the union. Groups that miss either bound are not opened.
 5. Opened groups' members are compared by size and bitmap, then by exact intersection. New links
    join the groups.
 
@@ -108,14 +111,15 @@ def merged_sketch(parts: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, doc_id) of the rarest tokens of each set, each distinct set once a task."""
+    """(token, doc_id, weight) of the rarest tokens of each set, each distinct set once a task; weight is
+    the mean count of the set's prefix tokens."""
     order = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1) << np.uint64(40))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, common = set(), order.value
         for whole in batches:
             for batch in text_slices(whole, "text", SLICE):
-                ids, found, sizes = [], [], []
+                ids, found, sizes, weights = [], [], [], []
                 for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), words)):
                     n = len(tokens)
                     if not n or doc_id is None or (key := hashlib.blake2b(tokens, digest_size=16).digest()) in seen:
@@ -124,12 +128,13 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
                     rank = common[tokens & np.uint64(SKETCH - 1)] | (tokens >> np.uint64(24))
                     first = np.argsort(rank, kind="stable")[: n - least_overlap(n, percent) + 1]
                     ids.append(doc_id)
+                    weights.append(int((rank[first] >> np.uint64(40)).mean()))
                     sizes.append(len(first))
                     found.append(tokens[first])
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes))], ["token", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.repeat(np.array(weights, np.int32), sizes))], ["token", "doc_id", "weight"])
 
-    return docs.mapInArrow(read, "token long, doc_id long")
+    return docs.mapInArrow(read, "token long, doc_id long, weight int")
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -161,6 +166,12 @@ def _close(a: str, b: str, percent: int) -> F.Column:
     return (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")) & (differ * (100 + percent) <= sizes * (100 - percent))
 
 
+def _cells(n: F.Column, m: F.Column, percent: int) -> F.Column:
+    """Fewest prefix tokens that sets of n and m tokens share when they reach the threshold."""
+    overlap = F.ceil((n + m) * percent / (100 + percent) - 1e-6)
+    return 1 + overlap - F.ceil(F.greatest(n, m) * percent / 100 + 1e-6)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose exact similarity reaches the threshold, as a written table."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
@@ -196,18 +207,20 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     rep_of = rows.filter("n > 0 and doc_id is not null").select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
     by_rep = classes.select("rep", F.struct("n", "bits").alias("of"))
 
-    # Tokens that stand in the prefixes of two documents or more, with the first of these.
+    # Tokens that stand in the prefixes of two documents or more, with the most common of these.
     shared = prefixes(docs, counts, words, percent)
     by_token = Window.partitionBy("token")
-    shared = shared.withColumn("lead", F.min("doc_id").over(by_token)).withColumn("last", F.max("doc_id").over(by_token)).filter("lead < last")
+    shared = shared.withColumns({"first": F.min("doc_id").over(by_token), "last": F.max("doc_id").over(by_token), "top": F.max("weight").over(by_token)}).filter("first < last")
+    shared = shared.withColumn("lead", F.min(F.when(F.col("weight") == F.col("top"), F.col("doc_id"))).over(by_token))
     shared = cut(shared.select("token", "doc_id", "lead"), "shared")
     reps = cut(rep_of.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "reps")
 
-    # Links to the first document of each token.
+    # Links to the leading document of each token. A third of the cells that a link needs is asked for
+    # here: a link that is passed over is found below.
     lead_rep = reps.select(F.col("doc_id").alias("lead"), F.col("rep").alias("b"))
-    stars = shared.select("doc_id", "lead").distinct().join(reps.withColumnRenamed("rep", "a"), "doc_id").join(lead_rep, "lead")
-    stars = stars.select("a", "b").filter("a <> b").distinct()
-    near = stars.join(by_rep.select(F.col("rep").alias("a"), F.col("of").alias("p")), "a").join(by_rep.select(F.col("rep").alias("b"), F.col("of").alias("q")), "b").filter(_close("p", "q", percent)).select("a", "b").distinct()
+    stars = shared.groupBy("doc_id", "lead").agg(F.count("*").alias("cells")).join(reps.withColumnRenamed("rep", "a"), "doc_id").join(lead_rep, "lead")
+    stars = stars.filter("a <> b").groupBy("a", "b").agg(F.max("cells").alias("cells"))
+    near = stars.join(by_rep.select(F.col("rep").alias("a"), F.col("of").alias("p")), "a").join(by_rep.select(F.col("rep").alias("b"), F.col("of").alias("q")), "b").filter((3 * F.col("cells") >= _cells(F.col("p.n"), F.col("q.n"), percent)) & _close("p", "q", percent)).select("a", "b").distinct()
     links = _verified(cut(near, "stars"), docs, words, percent)
     groups = components(links)
 
@@ -221,11 +234,14 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     held = cut(held.distinct(), "held")
     matrix = held.select("token", "group").distinct()
     queries = held.select("token", F.col("rep").alias("a"), F.col("group").alias("own"))
-    meets = queries.join(matrix, "token").filter("own < group").select("a", "group").distinct()
+    meets = queries.join(matrix, "token").filter("own < group").groupBy("a", "group").agg(F.count("*").alias("cells"))
     bound = meets.join(member.select(F.col("rep").alias("a"), F.struct("n", "bits").alias("p")), "a").join(union, "group")
     absent = _bits(lambda k: F.col("p.bits")[k].bitwiseAND(F.bitwise_not(F.col("union")[k])))
+    # The bound on cells is least at the ends of the range of sizes that may be linked.
+    nearest = [F.greatest("least", F.floor(F.col("p.n") * percent / 100)), F.least("most", F.ceil(F.col("p.n") * 100 / percent))]
     opened = bound.filter(
-        (100 * (F.col("p.n") - absent) >= percent * F.col("p.n"))
+        (F.col("cells") >= F.least(*[_cells(F.col("p.n"), m, percent) for m in nearest]) - 1)
+        & (100 * (F.col("p.n") - absent) >= percent * F.col("p.n"))
         & (100 * F.col("most") >= percent * F.col("p.n"))
         & (100 * F.col("p.n") >= percent * F.col("least"))
     ).select("a", "p", "group")
