@@ -6,13 +6,14 @@
 2. Prefix tokens. For a similarity of 0.8 a set shares at least ceil(0.8 n) tokens with a partner,
    so two partners have a token in common among the n - ceil(0.8 n) + 1 rarest of each, under any
    order that is the same for all sets. The order is (sketch count, hash): tokens of passages that
-   many documents share come last and hardly occur in prefixes.
+   many documents share come last and hardly occur in prefixes. Towards a partner that is no smaller,
+   n - ceil(1.6 / 1.8 n) + 1 tokens do: these are indexed, the longer prefix only asks.
 3. Groups. Of the documents that share a prefix token, each is linked, where the exact count confirms
    it, to the one whose own prefix is the most common (the original that others are edits of has no
    rare tokens); the components of these links partition similar documents into groups.
 4. Token-group matrix. Its cells are (prefix token, group), each once however many members hold the
    token; beside it each group's token union is kept as the OR of its members' bitmaps. A query
-   document meets a group only where they share cells. Of two prefixes, the one that ends first under
+   document meets a group only where one of its tokens is an indexed cell of members no larger. Of two prefixes, the one that ends first under
    the order has all its unshared tokens missing from the other set, so partners share at least
    1 + overlap - ceil(0.8 larger) cells; and at least popcount(q AND NOT union) of the query's tokens
    are not in the union. Groups that miss either bound are not opened.
@@ -45,9 +46,9 @@ PART = 1 << 14
 WORDS = 32
 
 
-def least_overlap(n, percent: int = 80):
-    """ceil(percent / 100 * n)."""
-    return (percent * n + 99) // 100
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """Rarest tokens to ask with, towards any partner, and to index, towards partners no smaller."""
+    return n - (percent * n + 99) // 100 + 1, n + (-2 * percent * n) // (100 + percent) + 1
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -111,30 +112,33 @@ def merged_sketch(parts: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, doc_id, weight) of the rarest tokens of each set, each distinct set once a task; weight is
-    the mean count of the set's prefix tokens."""
+    """(token, doc_id, mark) of the rarest tokens of each set, each distinct set once a task; mark is twice
+    the mean count of the set's prefix tokens, plus 1 on tokens that are indexed."""
     order = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1) << np.uint64(40))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, common = set(), order.value
         for whole in batches:
             for batch in text_slices(whole, "text", SLICE):
-                ids, found, sizes, weights = [], [], [], []
+                ids, found, sizes, marks = [], [], [], []
                 for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), words)):
                     n = len(tokens)
                     if not n or doc_id is None or (key := hashlib.blake2b(tokens, digest_size=16).digest()) in seen:
                         continue
                     seen.add(key)
                     rank = common[tokens & np.uint64(SKETCH - 1)] | (tokens >> np.uint64(24))
-                    first = np.argsort(rank, kind="stable")[: n - least_overlap(n, percent) + 1]
+                    asked, indexed = prefix_lengths(n, percent)
+                    first = np.argsort(rank, kind="stable")[:asked]
                     ids.append(doc_id)
-                    weights.append(int((rank[first] >> np.uint64(40)).mean()))
+                    mark = np.full(len(first), 2 * int((rank[first] >> np.uint64(40)).mean()), np.int32)
+                    mark[:indexed] += 1
+                    marks.append(mark)
                     sizes.append(len(first))
                     found.append(tokens[first])
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.repeat(np.array(weights, np.int32), sizes))], ["token", "doc_id", "weight"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.concatenate(marks))], ["token", "doc_id", "mark"])
 
-    return docs.mapInArrow(read, "token long, doc_id long, weight int")
+    return docs.mapInArrow(read, "token long, doc_id long, mark int")
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -210,9 +214,9 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     # Tokens that stand in the prefixes of two documents or more, with the most common of these.
     shared = prefixes(docs, counts, words, percent)
     by_token = Window.partitionBy("token")
-    shared = shared.withColumns({"first": F.min("doc_id").over(by_token), "last": F.max("doc_id").over(by_token), "top": F.max("weight").over(by_token)}).filter("first < last")
-    shared = shared.withColumn("lead", F.min(F.when(F.col("weight") == F.col("top"), F.col("doc_id"))).over(by_token))
-    shared = cut(shared.select("token", "doc_id", "lead"), "shared")
+    shared = shared.withColumns({"first": F.min("doc_id").over(by_token), "last": F.max("doc_id").over(by_token), "top": F.max("mark").over(by_token)}).filter("first < last")
+    shared = shared.withColumn("lead", F.min(F.when(F.col("mark") == F.col("top"), F.col("doc_id"))).over(by_token))
+    shared = cut(shared.select("token", "doc_id", "lead", (F.col("mark") % 2 == 1).alias("indexed")), "shared")
     reps = cut(rep_of.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "reps")
 
     # Links to the leading document of each token. A third of the cells that a link needs is asked for
@@ -230,27 +234,28 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     union = member.groupBy("group").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.array(*[F.bit_or(F.col("bits")[k]) for k in range(WORDS)]).alias("union")
     )
-    held = shared.select("token", "doc_id").join(reps, "doc_id").select("token", "rep").join(member.select("rep", "group").distinct(), "rep")
+    held = shared.select("token", "doc_id", "indexed").join(reps, "doc_id").select("token", "rep", "indexed").join(member.select("rep", "group", "n").distinct(), "rep")
     held = cut(held.distinct(), "held")
-    matrix = held.select("token", "group").distinct()
-    queries = held.select("token", F.col("rep").alias("a"), F.col("group").alias("own"))
-    meets = queries.join(matrix, "token").filter("own < group").groupBy("a", "group").agg(F.count("*").alias("cells"))
+    index = held.filter("indexed").groupBy("token", "group").agg(F.min("n").alias("smallest"))
+    asking = held.select("token", F.col("rep").alias("a"), F.col("group").alias("own"), "n")
+    meets = asking.join(index, "token").filter("own <> group and smallest <= n").select("a", "group").distinct()
+
+    # Bounds on a group: sizes, tokens that its union lacks, cells. The bound on cells is least at the
+    # ends of the range of sizes that may be linked.
     bound = meets.join(member.select(F.col("rep").alias("a"), F.struct("n", "bits").alias("p")), "a").join(union, "group")
     absent = _bits(lambda k: F.col("p.bits")[k].bitwiseAND(F.bitwise_not(F.col("union")[k])))
-    # The bound on cells is least at the ends of the range of sizes that may be linked.
-    nearest = [F.greatest("least", F.floor(F.col("p.n") * percent / 100)), F.least("most", F.ceil(F.col("p.n") * 100 / percent))]
-    opened = bound.filter(
-        (F.col("cells") >= F.least(*[_cells(F.col("p.n"), m, percent) for m in nearest]) - 1)
-        & (100 * (F.col("p.n") - absent) >= percent * F.col("p.n"))
-        & (100 * F.col("most") >= percent * F.col("p.n"))
-        & (100 * F.col("p.n") >= percent * F.col("least"))
-    ).select("a", "p", "group")
+    n, nearest = F.col("p.n"), (F.greatest("least", F.floor(F.col("p.n") * percent / 100)), F.least("most", F.ceil(F.col("p.n") * 100 / percent)))
+    fits = (100 * (n - absent) >= percent * n) & (100 * F.col("most") >= percent * n) & (100 * n >= percent * F.col("least"))
+    bound = cut(bound.filter(fits).select("a", "group", "p", (F.least(*[_cells(n, m, percent) for m in nearest]) - 1).alias("need")), "bound")
+    cells = bound.select("a", "group").distinct().join(held.select(F.col("rep").alias("a"), "token").distinct(), "a")
+    cells = cells.join(held.select("token", "group").distinct(), ["token", "group"]).groupBy("a", "group").agg(F.count("*").alias("cells"))
+    opened = bound.join(cells, ["a", "group"]).filter("cells >= need").select("a", "p", "group")
     pairs = opened.join(member.select("group", F.col("rep").alias("b"), F.struct("n", "bits").alias("q")), "group").filter(_close("p", "q", percent)).select("a", "b").distinct()
     late = _verified(cut(pairs, "pairs"), docs, words, percent)
     links = cut(links.union(late).distinct(), "all_links")
     roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    for done in (shared, held, reps, member):
+    for done in (shared, held, reps, member, bound):
         drop_cut(done)
 
     final = cut(

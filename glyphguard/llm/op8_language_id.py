@@ -24,6 +24,7 @@ BLOCK_BYTES = 8192
 PRIMER_BYTES = 512
 LEVEL = 6
 UNDETERMINED = "und"
+HASHES = 1 << 40
 
 
 def letters(text: str) -> str:
@@ -40,8 +41,17 @@ def train(docs: DataFrame, sample_docs: int = 400, dictionary_bytes: int = 1 <<
     id are not learned from.
     """
     docs = bounded_batches(docs).filter("lang is not null and text is not null and doc_id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = docs.select("doc_id", "lang").withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= sample_docs)
+    spark = docs.sparkSession
+    counts = {r.lang: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return []
+    # The smallest hashes of a language lie under this bound, which about 2 * sample_docs rows meet:
+    # so few, not a language's rows, are ranked.
+    bound = spark.createDataFrame([(lang, min(HASHES, 2 * sample_docs * HASHES // n + 1)) for lang, n in counts.items()], "lang string, bound long")
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(HASHES))
+    low = docs.select("doc_id", "lang", place.alias("place")).join(F.broadcast(bound), "lang").filter("place < bound")
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = low.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= sample_docs)
     # At most sample_docs ids a language.
     texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang", "turn")), ["doc_id", "lang"])
 
@@ -56,7 +66,6 @@ def train(docs: DataFrame, sample_docs: int = 400, dictionary_bytes: int = 1 <<
         return pd.DataFrame({"lang": rows.lang[:1], "dictionary": [b"".join(parts)[:dictionary_bytes]]})
 
     filled = {r.lang: bytes(r.dictionary) for r in texts.groupBy("lang").applyInPandas(fill, "lang string, dictionary binary").collect()}
-    counts = {r.lang: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     return [(lang, counts[lang], d) for lang, d in sorted(filled.items())]
 
 
