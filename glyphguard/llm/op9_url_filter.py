@@ -2,7 +2,7 @@
 
 Labelled page outcomes (good or bad) are counted per host, registered domain and suffix. Each level
 shrinks its counts through a beta-binomial prior centred on the level above, whose strength is
-fitted by moments over all members of the level; a host is blocked only when even the upper end of
+fitted by moments over all members of the level and is at most the evidence above; a host is blocked only when even the upper end of
 its posterior's credible interval is under the required rate of good pages. Unknown hosts thus take
 their domain's or suffix's reputation, and thin evidence blocks nothing.
 
@@ -81,20 +81,20 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     centre = ((total.good or 0) + 1) / ((total.n or 0) + 2)
 
     def shrunk(level: DataFrame) -> DataFrame:
-        strength = prior_strength(level.filter("n > 0"))
+        strength = F.least(F.lit(prior_strength(level.filter("n > 0"))), F.col("weight"))
         return level.withColumns(
             {
-                "alpha": F.lit(strength) * F.col("centre") + F.col("good"),
-                "beta": F.lit(strength) * (1 - F.col("centre")) + F.col("n") - F.col("good"),
+                "alpha": strength * F.col("centre") + F.col("good"),
+                "beta": strength * (1 - F.col("centre")) + F.col("n") - F.col("good"),
             }
         )
 
     counts = (F.sum("good").alias("good"), F.sum("n").alias("n"))
-    mean = F.col("alpha") / (F.col("alpha") + F.col("beta"))
-    suffixes = shrunk(hosts.groupBy("suffix").agg(*counts).withColumn("centre", F.lit(centre)))
-    domains = hosts.groupBy("suffix", "domain").agg(*counts).join(suffixes.select("suffix", mean.alias("centre")), "suffix")
+    above = ((F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("centre"), (F.col("alpha") + F.col("beta")).alias("weight"))
+    suffixes = shrunk(hosts.groupBy("suffix").agg(*counts).withColumns({"centre": F.lit(centre), "weight": F.lit((total.n or 0) + 2.0)}))
+    domains = hosts.groupBy("suffix", "domain").agg(*counts).join(suffixes.select("suffix", *above), "suffix")
     domains = shrunk(domains)
-    own = hosts.join(domains.select("domain", "suffix", mean.alias("centre")), ["domain", "suffix"])
+    own = hosts.join(domains.select("domain", "suffix", *above), ["domain", "suffix"])
     return shrunk(own).select("host", "alpha", "beta")
 
 
