@@ -191,12 +191,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
 
 def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id, n_links.
+    """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id, n_equal.
 
     Two documents are linked when 100 * |A & B| >= percent * |A | B| over their shingle sets.
-    component_id is the smallest doc_id reachable; n_links counts a document's links to class
-    representatives of other texts that were confirmed on the way (0 for a text that only has
-    copies or none). Null, empty and white-space texts have no shingles and are linked with
+    component_id is the smallest doc_id reachable; n_equal is the number of rows with the same
+    set, this one included (0 without shingles or id). Null, empty and white-space texts have no shingles and are linked with
     nothing, not even with each other. A row without doc_id is linked with nothing and has a null
     component. Rows that repeat a doc_id are judged row by row. Extra columns are not read.
     """
@@ -205,7 +204,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     counts = merged_sketch(described.filter("part is not null").select("part", "counts"))
     rows = described.filter("part is null").select("doc_id", "n", "digest", "bits")
     classes = cut(
-        rows.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")),
+        rows.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_equal"), F.first("n").alias("n"), F.first("bits").alias("bits")),
         "classes",
     )
     rep_of = rows.filter("n > 0 and doc_id is not null").select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
@@ -254,12 +253,11 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     late = _verified(cut(pairs, "pairs"), docs, words, percent)
     links = cut(links.union(late).distinct(), "all_links")
     roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     for done in (shared, held, reps, member, bound):
         drop_cut(done)
 
     final = cut(
-        classes.select("digest", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
+        classes.select("digest", "rep", "n_equal").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"), "n_equal"),
         "components",
     )
     out = rows.select("doc_id", "n", "digest").join(final.withColumnRenamed("digest", "_digest"), (F.col("digest") == F.col("_digest")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
@@ -267,10 +265,25 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_equal", F.lit(0)).alias("n_equal"),
     )
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_shingles, component_id (and n_links) of every document."""
+    """doc_id, n_shingles, component_id (and n_equal) of every document."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM worded)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b, common = x.n AND common = y.n AS equal FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, coalesce(min(r.b), d.doc_id) AS component_id,
+  CASE WHEN any_value(s.n) IS NULL THEN 0 ELSE 1 + (SELECT count(*) FROM links l WHERE l.a = d.doc_id AND l.equal) END AS n_equal
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id
+"""

@@ -123,5 +123,45 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame | None = None, rules=RULES,
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
-    """page_id, host, path, rule, verdict (and the posterior) of every page."""
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    """page_id, host, path, rule, verdict (and the posterior to 6 places) of every page."""
+    out = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    return out.withColumns({c: F.round(c, 6) for c in ("good_rate", "upper_bound")})
+
+
+def _strength_sql(level: str) -> str:
+    x2 = "sum((good - n * centre) * (good - n * centre) / (n * centre * (1 - centre)))"
+    rho = f"least(0.9, greatest(0.001, CASE WHEN sum(n - 1) > 0 THEN ({x2} - count(*)) / sum(n - 1) ELSE 0 END))"
+    return f"(SELECT 1 / coalesce({rho}, 0.001) - 1 FROM {level} WHERE n > 0)"
+
+
+def _level_sql(name: str, rows: str) -> str:
+    """CTEs of one level: its counts with centre and weight, then its posterior."""
+    strength = f"least({_strength_sql(name + '_in')}, weight)"
+    return f"""{name}_in AS ({rows}),
+{name} AS (SELECT *, {strength} * centre + good AS alpha, {strength} * (1 - centre) + n - good AS beta FROM {name}_in)"""
+
+
+SQL = rf"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM parts
+), rules(what, site, prefix) AS (VALUES {", ".join(str(r) for r in RULES)}),
+hit AS (
+  SELECT page_id, arg_max(site || prefix, length(site || prefix)) AS rule, arg_max(what, length(site || prefix)) AS ruled
+  FROM split JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, prefix) GROUP BY page_id
+), judged AS (SELECT s.*, rule, ruled FROM split s LEFT JOIN hit h ON h.page_id = s.page_id),
+hosts AS (
+  SELECT host, (count(*) FILTER (WHERE ruled = 'allow'))::DOUBLE AS good, count(ruled)::DOUBLE AS n,
+    CASE WHEN len(string_split(host, '.')) > 2 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS domain, string_split(host, '.')[-1] AS suffix
+  FROM judged GROUP BY host
+),
+{_level_sql("suffixes", "SELECT suffix, sum(good) AS good, sum(n) AS n, (SELECT (sum(good) + 1) / (sum(n) + 2) FROM hosts) AS centre, (SELECT sum(n) + 2 FROM hosts) AS weight FROM hosts GROUP BY suffix")},
+{_level_sql("domains", "SELECT h.suffix, h.domain, sum(h.good) AS good, sum(h.n) AS n, any_value(s.alpha / (s.alpha + s.beta)) AS centre, any_value(s.alpha + s.beta) AS weight FROM hosts h JOIN suffixes s ON s.suffix = h.suffix GROUP BY h.suffix, h.domain")},
+{_level_sql("own", "SELECT h.host, h.good, h.n, d.alpha / (d.alpha + d.beta) AS centre, d.alpha + d.beta AS weight FROM hosts h JOIN domains d ON d.domain = h.domain AND d.suffix = h.suffix")},
+rated AS (SELECT host, alpha / (alpha + beta) AS rate, alpha + beta AS size FROM own),
+bounded AS (SELECT host, rate, least(1.0, rate + 1.96 * sqrt(rate * (1 - rate) / (size + 1))) AS upper FROM rated)
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN upper < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(rate, 6) AS good_rate, round(upper, 6) AS upper_bound
+FROM judged j JOIN bounded b ON b.host = j.host
+"""

@@ -25,4 +25,4 @@ QUERIES = {
     "op9_url_filter": op9_url_filter.op9_url_filter,
     "op10_html_main_text": op10_html_main_text.op10_html_main_text,
 }
-SQL = {"op7_line_dedup": op7_line_dedup.SQL}
+SQL = {"op1_jaccard_join": op1_jaccard_join.SQL, "op7_line_dedup": op7_line_dedup.SQL, "op9_url_filter": op9_url_filter.SQL}

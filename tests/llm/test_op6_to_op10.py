@@ -177,3 +177,11 @@ def test_html_query_keeps_whole_articles(spark):
         inner = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>|<br>", inner)]
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("name", ["op1_jaccard_join", "op9_url_filter"])
+def test_queries_are_their_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    assert rows_of(QUERIES[name](spark, SMALL).toPandas()) == rows_of(c.execute(SQL[name]).df())
