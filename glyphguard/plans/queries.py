@@ -168,7 +168,7 @@ def unique_names(spark, sf_dir):
     return ops.unique_names(name_pairs(spark, sf_dir))
 
 
-@query("""SELECT count(*) AS n_rows, count_if(quality IS NULL)::BIGINT AS null_quality, count_if(toxic IS NULL)::BIGINT AS null_toxic, count_if(quality IS NULL OR toxic IS NULL)::BIGINT AS rows_with_null
+@query("""SELECT count(*) AS n_rows, (count(*) - count(quality)) AS null_quality, (count(*) - count(toxic)) AS null_toxic, count_if(quality IS NULL OR toxic IS NULL)::BIGINT AS rows_with_null
 FROM documents LEFT JOIN labels USING (doc_id)""")
 def null_counts(spark, sf_dir):
     both = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
