@@ -27,13 +27,12 @@ def test_trie_counts_are_plain_forward_counts(monkeypatch):
     rng = random.Random(4)
     pieces = {"".join(rng.choice("abc▁") for _ in range(rng.randint(1, 4))): -rng.randint(1, 6) for _ in range(40)}
     trie = op3.UnigramTrie(pieces, -9.0)
-    words = ["▁" + "".join(rng.choice("abcdé😀") for _ in range(rng.randint(0, 10))) for _ in range(400)]
-    assert [trie.count(w) for w in words] == [op3.best_count(w, pieces, -9.0) for w in words]
-    text = " ".join(w[1:] for w in words)
-    whole = trie.count_text(text)
-    assert whole == sum(op3.best_count("▁" + w, pieces, -9.0) for w in text.split())
-    monkeypatch.setattr(op3, "MAX_NODES", 20)
-    assert trie.count_text(text) == whole and trie.count_text(text) == whole
+    words = ["".join(rng.choice("abcdé中😀\0") for _ in range(rng.choice([1, 3, 6, 10, 60]))) for _ in range(600)]
+    texts = [" ".join(words[i : i + 7]) for i in range(0, 600, 7)] + ["", " \n "]
+    want = [(len(t.split()), sum(op3.best_count("▁" + w, pieces, -9.0) for w in t.split())) for t in texts]
+    assert trie.count_texts(texts) == want
+    monkeypatch.setattr(op3, "MAX_WORDS", 20)
+    assert trie.count_texts(texts) == want and [trie.count_texts([t])[0] for t in texts] == want
 
 
 def test_token_count_query(spark):
