@@ -224,9 +224,9 @@ def score_ensemble(model, df: DataFrame) -> DataFrame:
 def ensemble_report(model, test: DataFrame) -> DataFrame:
     """One row a feature with its importance, beside accuracy and roc_auc on the test rows."""
     scored = score_ensemble(model, test)
-    area = roc_auc(score_counts(scored, "ensemble_score")).select("roc_auc")
-    right = scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+    area = roc_auc(score_counts(scored, "ensemble_score")).first()
+    right = scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy")).first()
     importances = model.stages[1].featureImportances.toArray().tolist()
     rows = test.sparkSession.createDataFrame(list(zip(model.stages[0].getInputCols(), importances)), "feature string, importance double")
-    # Single-row aggregates beside a row a feature.
-    return rows.join(F.broadcast(area), how="cross").join(F.broadcast(right), how="cross")
+    value = lambda x: F.lit(x).cast("double")
+    return rows.withColumns({"roc_auc": value(area and area.roc_auc), "accuracy": value(right.accuracy)})
