@@ -230,3 +230,25 @@ def ensemble_report(model, test: DataFrame) -> DataFrame:
     rows = test.sparkSession.createDataFrame(list(zip(model.stages[0].getInputCols(), importances)), "feature string, importance double")
     value = lambda x: F.lit(x).cast("double")
     return rows.withColumns({"roc_auc": value(area and area.roc_auc), "accuracy": value(right.accuracy)})
+
+
+def ensemble_pipeline(train: DataFrame, test: DataFrame, path: str, run_stamp: str, trees: int = 100):
+    """Scored pairs (similarity, names, label) to string features, to a fitted ensemble, to its report on
+    the test pairs; model and metrics are saved under ``path``. Returns the model and the report."""
+    from ..functions.strings import string_features
+    from ..sources.tables import write_metrics
+
+    model = fit_ensemble(string_features(train), trees=trees)
+    report = ensemble_report(model, string_features(test))
+    model.write().overwrite().save(f"{path}/model")
+    write_metrics(report.groupBy("roc_auc", "accuracy").agg(F.map_from_entries(F.collect_list(F.struct("feature", "importance"))).alias("importance")), f"{path}/metrics", run_stamp)
+    return model, report
+
+
+def best_losses(history: list[tuple[int, float, float]]) -> list[tuple[int, float, float, float]]:
+    """(epoch, train loss, validation loss, best train loss so far)."""
+    out, best = [], math.inf
+    for epoch, loss, checked in history:
+        best = min(best, loss)
+        out.append((epoch, loss, checked, best))
+    return out

@@ -111,6 +111,24 @@ def tfidf_topk(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def minhash_topk(queries: DataFrame, refs: DataFrame, k: int, slots: int = 1 << 16, tables: int = 16, distance: float = 0.8, seed: int = 42) -> DataFrame:
+    """As ``tfidf_topk``, approximately and by Jaccard similarity of the sets of n-grams and the whole
+    name (so that no set is empty): MinHash buckets joined within a distance. Null names are left
+    out. Recall is measured in the tests."""
+    from pyspark.ml.feature import HashingTF, MinHashLSH
+
+    def hashed(names: DataFrame, key: str, name: str) -> DataFrame:
+        whole = F.coalesce(F.lower(name), F.lit(""))
+        grams = names.filter(F.col(name).isNotNull()).select(key, F.array_distinct(F.concat(char_ngrams(whole), F.array(whole))).alias("grams"))
+        return HashingTF(inputCol="grams", outputCol="features", numFeatures=slots, binary=True).transform(grams).select(key, "features")
+
+    q, r = hashed(queries, "query_id", "query_name"), hashed(refs, "ref_id", "ref_name")
+    lsh = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=seed)
+    near = lsh.fit(r).approxSimilarityJoin(q, r, distance, "distance").select("datasetA.query_id", "datasetB.ref_id", F.round(1 - F.col("distance"), 9).alias("jaccard"))
+    order = Window.partitionBy("query_id").orderBy(F.col("jaccard").desc(), "ref_id")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def rerank_candidates(candidates: DataFrame, queries: DataFrame, refs: DataFrame) -> DataFrame:
     """Best candidate of each query by Levenshtein similarity; earlier rank wins ties."""
     rows = candidates.join(queries, "query_id").join(refs, "ref_id").withColumn("sim", lev_similarity(F.col("query_name"), F.col("ref_name")))

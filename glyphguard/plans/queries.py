@@ -451,7 +451,7 @@ def train_head(spark, sf_dir):
     held = F.pmod(F.xxhash64("pair_id"), F.lit(5)) == 0
     head = learn.Head.random(64, 32, 16)
     trained, history = learn.train_head(pairs.filter(~held), pairs.filter(held), head, epochs=2, batches=2, optimiser=learn.Optimiser("adamw", 0.01, 1e-4))
-    losses = spark.createDataFrame(history, "epoch int, train_loss double, valid_loss double")
+    losses = spark.createDataFrame(learn.best_losses(history), "epoch int, train_loss double, valid_loss double, best_train_loss double")
     report = ev.evaluate(learn.score_with_head(pairs, trained)).first()
     return rounded(losses.withColumns({"roc_auc": F.lit(report.roc_auc), "accuracy": F.lit(report.accuracy)}))
 

@@ -63,6 +63,13 @@ def test_lsh_recall(spark):
     assert len(exact) == 40 and len(exact & near) / len(exact) >= 0.9
 
 
+def test_minhash_recall(lists):
+    queries, refs = lists
+    edited = {r.query_id for r in queries.filter("query_id < 50 and length(query_name) >= 6").collect()}
+    near = {(r.query_id, r.ref_id) for r in search.minhash_topk(queries.filter("query_name is not null"), refs.filter("ref_name is not null"), 3).collect()}
+    assert np.mean([(q, q) in near for q in edited]) >= 0.9
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(1)
     head, x, y, label = learn.Head.random(5, 4, 3), rng.normal(size=(6, 5)), rng.normal(size=(6, 5)), np.array([1, 0, 1, 0, 0, 1.0])
@@ -116,6 +123,20 @@ def test_ensemble_is_as_good_as_its_best_feature(spark):
     assert report[0].roc_auc >= single - 0.1
 
 
+def test_ensemble_pipeline_saves_model_and_metrics(spark, tmp_path):
+    import json
+
+    from pyspark.ml import PipelineModel
+
+    rows = [(f"name{i}", f"name{i}" if i % 2 else f"other{i * 7}", i % 2, 0.5 + 0.4 * (i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "fraudulent_name string, real_name string, label int, similarity double")
+    _, report = learn.ensemble_pipeline(df, df, str(tmp_path), "run7", trees=2)
+    assert report.first().roc_auc == 1.0 and len(PipelineModel.load(f"{tmp_path}/model").stages) == 2
+    saved = [json.loads(x) for p in (tmp_path / "metrics").glob("*.json") for x in p.read_text().splitlines()]
+    assert saved[0]["run"] == "run7" and set(saved[0]["importance"]) == set(learn.FEATURES)
+    assert learn.best_losses([(0, 2.0, 1.0), (1, 3.0, 1.0)]) == [(0, 2.0, 1.0, 2.0), (1, 3.0, 1.0, 2.0)]
+
+
 def test_scoring_a_stream(spark, tmp_path):
     pairs = spark.createDataFrame([("paypa1", "paypal"), (None, "x")], "fraudulent_name string, real_name string")
     pairs.write.parquet(f"{tmp_path}/in")
