@@ -44,6 +44,8 @@ SLICE = 1 << 20
 SKETCH = 1 << 18
 PART = 1 << 14
 WORDS = 32
+#: Groups of at most so many members are opened on their union's bound alone.
+FEW = 4
 
 
 def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
@@ -231,7 +233,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     member = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn("group", F.coalesce("root", "rep"))
     member = cut(member.select("rep", "group", "n", "bits"), "members")
     union = member.groupBy("group").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.array(*[F.bit_or(F.col("bits")[k]) for k in range(WORDS)]).alias("union")
+        F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"), F.array(*[F.bit_or(F.col("bits")[k]) for k in range(WORDS)]).alias("union")
     )
     held = shared.select("token", "doc_id", "indexed").join(reps, "doc_id").select("token", "rep", "indexed").join(member.select("rep", "group", "n").distinct(), "rep")
     held = cut(held.distinct(), "held")
@@ -239,16 +241,18 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     asking = held.select("token", F.col("rep").alias("a"), F.col("group").alias("own"), "n")
     meets = asking.join(index, "token").filter("own <> group and smallest <= n").select("a", "group").distinct()
 
-    # Bounds on a group: sizes, tokens that its union lacks, cells. The bound on cells is least at the
+    # Bounds on a group: sizes, tokens that its union lacks, and, where opening it means many comparisons,
+    # cells. The bound on cells is least at the
     # ends of the range of sizes that may be linked.
     bound = meets.join(member.select(F.col("rep").alias("a"), F.struct("n", "bits").alias("p")), "a").join(union, "group")
     absent = _bits(lambda k: F.col("p.bits")[k].bitwiseAND(F.bitwise_not(F.col("union")[k])))
     n, nearest = F.col("p.n"), (F.greatest("least", F.floor(F.col("p.n") * percent / 100)), F.least("most", F.ceil(F.col("p.n") * 100 / percent)))
     fits = (100 * (n - absent) >= percent * n) & (100 * F.col("most") >= percent * n) & (100 * n >= percent * F.col("least"))
-    bound = cut(bound.filter(fits).select("a", "group", "p", (F.least(*[_cells(n, m, percent) for m in nearest]) - 1).alias("need")), "bound")
-    cells = bound.select("a", "group").distinct().join(held.select(F.col("rep").alias("a"), "token").distinct(), "a")
+    bound = cut(bound.filter(fits).select("a", "group", "members", "p", (F.least(*[_cells(n, m, percent) for m in nearest]) - 1).alias("need")), "bound")
+    cells = bound.filter(F.col("members") > FEW).select("a", "group").distinct().join(held.select(F.col("rep").alias("a"), "token").distinct(), "a")
     cells = cells.join(held.select("token", "group").distinct(), ["token", "group"]).groupBy("a", "group").agg(F.count("*").alias("cells"))
-    opened = bound.join(cells, ["a", "group"]).filter("cells >= need").select("a", "p", "group")
+    opened = bound.filter(F.col("members") > FEW).join(cells, ["a", "group"]).filter("cells >= need").select("a", "p", "group")
+    opened = opened.union(bound.filter(F.col("members") <= FEW).select("a", "p", "group"))
     pairs = opened.join(member.select("group", F.col("rep").alias("b"), F.struct("n", "bits").alias("q")), "group").filter(_close("p", "q", percent)).select("a", "b").distinct()
     late = _verified(cut(pairs, "pairs"), docs, words, percent)
     links = cut(links.union(late).distinct(), "all_links")
