@@ -252,8 +252,15 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     cells = bound.filter(F.col("members") > FEW).select("a", "group").distinct().join(held.select(F.col("rep").alias("a"), "token").distinct(), "a")
     cells = cells.join(held.select("token", "group").distinct(), ["token", "group"]).groupBy("a", "group").agg(F.count("*").alias("cells"))
     opened = bound.filter(F.col("members") > FEW).join(cells, ["a", "group"]).filter("cells >= need").select("a", "p", "group")
-    opened = opened.union(bound.filter(F.col("members") <= FEW).select("a", "p", "group"))
-    pairs = opened.join(member.select("group", F.col("rep").alias("b"), F.struct("n", "bits").alias("q")), "group").filter(_close("p", "q", percent)).select("a", "b").distinct()
+    few = bound.filter(F.col("members") <= FEW).select("a", "p", "group")
+    others = member.select("group", F.col("rep").alias("b"), F.struct("n", "bits").alias("q"))
+    close = lambda groups: groups.join(others, "group").filter(_close("p", "q", percent)).select("a", "b", _cells(F.col("p.n"), F.col("q.n"), percent).alias("need"))
+    # Members of small groups that the bitmaps leave, mostly long texts, are held to their own cells.
+    few = cut(close(few).groupBy("a", "b").agg(F.min("need").alias("need")), "few")
+    tokens = held.select("rep", "token").distinct()
+    both = few.join(tokens.withColumnRenamed("rep", "a"), "a").join(tokens.withColumnRenamed("rep", "b"), ["b", "token"])
+    few = both.groupBy("a", "b").agg(F.count("*").alias("cells"), F.first("need").alias("need")).filter("cells >= need")
+    pairs = close(opened).select("a", "b").union(few.select("a", "b")).distinct()
     late = _verified(cut(pairs, "pairs"), docs, words, percent)
     links = cut(links.union(late).distinct(), "all_links")
     roots = components(links)
