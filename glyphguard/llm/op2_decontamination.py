@@ -1,10 +1,16 @@
 """Benchmark decontamination: rare n-gram seeds join training passages to test items, then
 Smith-Waterman alignment scores exact, edited and paraphrased copies.
 
+Seeds lose no copy. An alignment of score s over an item of L words has at most L - s edits, which
+part its matches into runs, so it keeps at least s - (q - 1) - (q - 2) (L - s) of the item's q-grams.
+An item's q is the longest, up to n, of which a passing alignment must keep one (2 for a least score
+of half). Of its places all but so many less one, those rarest in the corpus, are seeds: whatever the
+edits break, one seed is left.
+
 Two passes over the corpus for each block of test items. The first counts, over all documents, in
-how many each n-gram of the items occurs. The rarer half of an item's n-grams are its seeds: rank
-within the item, so an item that leaked into a third of the corpus keeps its seeds. The second pass
-looks seeds up in every text and aligns the neighbourhood of each hit with the item's words.
+how many each n-gram of the items occurs; rank is within the item, so an item that leaked into a
+third of the corpus keeps its seeds. The second pass looks seeds up in every text and aligns the
+item's words with those neighbourhoods of hits that hold enough of its n-grams close together.
 Both are maps with the items at hand; documents are not shuffled, however many hold an item. Items
 come in blocks of bounded size, so the broadcast does not grow with the test set.
 """
@@ -12,7 +18,6 @@ come in blocks of bounded size, so the broadcast does not grow with the test set
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,82 +58,109 @@ def span(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return score, j - back, j
 
 
+def gram_length(words: int, n: int, least: float) -> tuple[int, int]:
+    """Length of the n-grams to look for in an item of so many words, up to ``n``, and at how many of
+    its places they are kept by every alignment that scores ``least``. Items shorter than ``n`` words
+    are one n-gram."""
+    if words < n:
+        return words, 1
+    score = max(1, math.ceil(least * words - 1e-9))
+    for q in range(n, 1, -1):
+        kept = score - (q - 1) - (q - 2) * (words - score)
+        if kept >= 1:
+            return q, kept
+    return 1, score
+
+
 class Items:
     """Words and n-grams of a block of items, for lookup in texts."""
 
-    def __init__(self, ids: list[int], texts: list[str], n: int):
+    def __init__(self, ids: list[int], texts: list[str], n: int, least: float):
         word, _, _, bounds = words(pa.array(texts, pa.string()), NOT_ALNUM)
-        self.ids, self.n = ids, n
+        self.ids, self.least = ids, least
         self.words = [word[a:b] for a, b in zip(bounds, bounds[1:])]
-        found: dict[int, set[int]] = defaultdict(set)
-        self.lengths = sorted({min(n, len(w)) for w in self.words} - {0})
-        for k, w in enumerate(self.words):
-            for g in grams(w, min(n, len(w))).tolist() if len(w) else ():
-                found[g].add(k)
-        self.grams = np.array(sorted(found), np.uint64)
-        self.items_of = [sorted(found[g]) for g in self.grams.tolist()]
-        self.select(np.ones(len(self.grams), bool))
-
-    def select(self, chosen: np.ndarray) -> None:
-        """Look only for these n-grams from now on."""
-        self.chosen = chosen
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.grams[chosen] & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        self.length, self.kept = zip(*(gram_length(len(w), n, least) for w in self.words)) if ids else ((), ())
+        self.lengths = sorted(set(self.length) - {0})
+        every = [grams(w, q) if q else w for w, q in zip(self.words, self.length)]
+        self.grams = np.unique(np.concatenate(every)) if every else np.empty(0, np.uint64)
+        #: Numbers of the n-grams at each item's places, and the distinct hashes.
+        self.places = [np.searchsorted(self.grams, g) for g in every]
+        self.own = [np.unique(g) for g in every]
+        self.choose_seeds(np.zeros(len(self.grams), np.int64))
 
     def choose_seeds(self, counts: np.ndarray) -> None:
-        """Keep, for each item, the rarer half of its n-grams (all that tie with the last of them)."""
-        of_item: dict[int, list[int]] = defaultdict(list)
-        for g, items in enumerate(self.items_of):
-            for k in items:
-                of_item[k].append(g)
-        chosen = np.zeros(len(self.grams), bool)
-        self.seeds_of: dict[int, set[int]] = {}
-        for k, found in of_item.items():
-            own = counts[found]
-            limit = np.sort(own)[math.ceil(len(own) / 2) - 1]
-            seeds = [g for g, c in zip(found, own) if c <= limit]
-            chosen[seeds] = True
-            self.seeds_of[k] = set(seeds)
-        self.select(chosen)
-
-    def hits(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``word`` at which a looked-for n-gram begins, and its number."""
-        places, numbers = [], []
+        """Look, for each item, only for the n-grams at its rarest places from now on: as many as leave
+        out fewer places than a passing alignment keeps (and all that tie with the last of them)."""
+        pairs = []
+        for k, (places, kept) in enumerate(zip(self.places, self.kept)):
+            if len(places):
+                own = counts[places]
+                seeds = np.unique(places[own <= np.sort(own)[len(own) - kept]])
+                pairs.append((seeds, np.full(len(seeds), k)))
+        gram, item = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.empty(0, np.int64),) * 2
+        order = np.argsort(gram, kind="stable")
+        #: Items of which n-gram g is a seed: seed_items[first[g] : first[g + 1]].
+        self.seed_items = item[order]
+        self.first = np.searchsorted(gram[order], np.arange(len(self.grams) + 1))
+        self.chosen = np.diff(self.first) > 0
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.grams[self.chosen] & np.uint64(0xFFFFF)).astype(np.int64)] = True
+
+    def hits(self, word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, place in ``word`` and number of every looked-for n-gram that lies within one text."""
+        texts, places, numbers = [], [], []
         for length in self.lengths:
             every = grams(word, length)
             at = np.flatnonzero(self.maybe[(every & np.uint64(0xFFFFF)).astype(np.int64)])
             if len(at):
                 g = np.minimum(np.searchsorted(self.grams, every[at]), len(self.grams) - 1)
-                ok = (self.grams[g] == every[at]) & self.chosen[g]
+                text = np.searchsorted(bounds, at, side="right") - 1
+                ok = (self.grams[g] == every[at]) & self.chosen[g] & (at + length <= bounds[text + 1])
+                texts.append(text[ok])
                 places.append(at[ok])
                 numbers.append(g[ok])
-        none = np.empty(0, np.int64)
-        return (np.concatenate(places), np.concatenate(numbers)) if places else (none, none)
-
-    def matches(self, word: np.ndarray, places: np.ndarray, numbers: np.ndarray, least: float):
-        """(item, score, first word, end word, seeds) of each item found in one text."""
-        by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for at, g in zip(places.tolist(), numbers.tolist()):
-            for k in self.items_of[g]:
-                if g in self.seeds_of[k]:
-                    by_item[k].append((at, g))
-        for k, found in by_item.items():
-            item = self.words[k]
-            found.sort()
-            best, start = (0, 0, 0), 0
-            for end in range(1, len(found) + 1):
-                if end < len(found) and found[end][0] - found[end - 1][0] <= 2 * len(item):
-                    continue
-                low = max(0, found[start][0] - 2 * len(item))
-                window = word[low : found[end - 1][0] + 2 * len(item)]
-                start = end
-                if np.isin(item, window).sum() < least * len(item):  # the score is at most this
+        if not places:
+            return (np.empty(0, np.int64),) * 3
+        return np.concatenate(texts), np.concatenate(places), np.concatenate(numbers)
+
+    def candidates(self, texts: np.ndarray, places: np.ndarray, numbers: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(text, item, places, n-grams) for each text and item with seeds in it."""
+        some = np.diff(self.first)[numbers]
+        hit = np.repeat(np.arange(len(numbers)), some)
+        item = self.seed_items[np.repeat(self.first[numbers], some) + np.arange(len(hit)) - np.repeat(np.cumsum(some) - some, some)]
+        order = np.lexsort((places[hit], item, texts[hit]))
+        hit, item = hit[order], item[order]
+        text = texts[hit]
+        edges = np.flatnonzero((np.diff(text) != 0) | (np.diff(item) != 0)) + 1
+        for a, b in zip([0, *edges], [*edges, len(hit)]) if len(hit) else ():
+            yield int(text[a]), int(item[a]), places[hit[a:b]], numbers[hit[a:b]]
+
+    def match(self, k: int, word: np.ndarray, places: np.ndarray) -> tuple[int, int, int]:
+        """Score, first word and end word of item ``k`` in one text with seeds at ``places`` (sorted)."""
+        item, q, kept = self.words[k], self.length[k], self.kept[k]
+        least = max(1, math.ceil(self.least * len(item) - 1e-9))
+        reach = 2 * len(item) - least  # no passing alignment takes more words of the text
+        best = (0, 0, 0)
+        for low, high in stretches(places - reach, places + reach, len(word)):
+            at = low + np.flatnonzero(np.isin(grams(word[low:high], q), self.own[k]))
+            if len(at) < kept:
+                continue
+            dense = np.flatnonzero(at[kept - 1 :] - at[: len(at) - kept + 1] <= reach - q)
+            for a, b in stretches(at[dense] - reach, at[dense + kept - 1] + reach, len(word)):
+                if np.isin(item, word[a:b]).sum() < least:  # the score is at most this
                     continue
-                score, first, last = span(item, window)
+                score, first, last = span(item, word[a:b])
                 if score > best[0]:
-                    best = (score, low + first, low + last)
-            if best[0] >= least * len(item):
-                yield self.ids[k], best[0] / len(item), best[1], best[2], len({g for _, g in found})
+                    best = (score, a + first, a + last)
+        return best if best[0] >= least else (0, 0, 0)
+
+
+def stretches(starts: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
+    """Ranges, both ends in order, cut to a text of so many words; those that meet are one."""
+    if len(starts):
+        cuts = np.flatnonzero(starts[1:] > ends[:-1]) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(starts)]):
+            yield max(0, int(starts[a])), min(length, int(ends[b - 1]))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]):
@@ -136,7 +168,6 @@ def _texts(batches: Iterator[pa.RecordBatch]):
     for whole in batches:
         for batch in text_slices(whole, "text", SLICE):
             word, _, _, bounds = words(batch.column("text"), NOT_ALNUM)
-            bounds = bounds.tolist()
             yield batch.column("doc_id").to_pylist(), word, bounds
 
 
@@ -147,8 +178,7 @@ def gram_counts(docs: DataFrame, shared) -> DataFrame:
         items = shared.value
         counts = np.zeros(len(items.grams), np.int64)
         for _, word, bounds in _texts(batches):
-            places, numbers = items.hits(word)
-            doc = np.searchsorted(bounds, places, side="right")
+            doc, _, numbers = items.hits(word, bounds)
             counts += np.bincount(np.unique(doc * len(items.grams) + numbers) % len(items.grams), minlength=len(items.grams))
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], ["gram", "n"])
@@ -165,7 +195,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float =
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. score is the
     best local alignment (match 1, mismatch -1, gap -1) over the item's number of words, 1 for a
-    whole copy; rows have ``least`` or more. Items shorter than ``n`` words are sought whole. Null
+    whole copy; rows have ``least`` or more, and no text with such an alignment is passed over. Items shorter than ``n`` words are sought whole. Null
     and empty texts and items without words match nothing; rows without id are left out. Repeated
     rows give repeated results. Extra columns are not read.
     """
@@ -177,7 +207,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float =
     out = spark.createDataFrame([], MATCH)
     for block in range(blocks):
         rows = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        items = Items([r.item_id for r in rows], [r.text for r in rows], n)
+        items = Items([r.item_id for r in rows], [r.text for r in rows], n, least)
         if not len(items.grams):
             continue
         shared = spark.sparkContext.broadcast(items)
@@ -185,22 +215,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float =
         for r in gram_counts(docs, shared).collect():
             counts[r.gram] = r.n
         items.choose_seeds(counts)
-        out = out.union(_leaks(docs, spark.sparkContext.broadcast(items), least))
+        out = out.union(_leaks(docs, spark.sparkContext.broadcast(items)))
     return out
 
 
-def _leaks(docs: DataFrame, shared, least: float) -> DataFrame:
+def _leaks(docs: DataFrame, shared) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for ids, word, bounds in _texts(batches):
-            places, numbers = items.hits(word)
-            doc = np.searchsorted(bounds, places, side="right") - 1
             rows = []
-            for d in np.unique(doc).tolist():
-                own = doc == d
-                a, b = bounds[d], bounds[d + 1]
-                for item, score, first, last, seeds in items.matches(word[a:b], places[own] - a, numbers[own], least):
-                    rows.append((ids[d], item, score, first, last, seeds))
+            for d, k, places, numbers in items.candidates(*items.hits(word, bounds)):
+                score, first, last = items.match(k, word[bounds[d] : bounds[d + 1]], places - bounds[d])
+                if score:
+                    rows.append((ids[d], items.ids[k], score / len(items.words[k]), first, last, len(np.unique(numbers))))
             columns = list(zip(*rows)) if rows else [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in MATCH.split(", ")])

@@ -79,3 +79,31 @@ def test_edges(spark, edge_docs):
     bench = spark.createDataFrame([(1, "one two"), (2, "several words")], ITEMS)
     assert sorted((r.doc_id, r.item_id) for r in op.find_leaks(edge_docs, bench).collect()) == [(5, 1), (6, 1), (6, 1)]
     assert op.find_leaks(edge_docs.limit(0), bench).count() == op.find_leaks(edge_docs, bench.limit(0)).count() == 0
+
+
+def test_edited_copies_are_those_of_exhaustive_alignment(spark):
+    rng = random.Random(5)
+    items = {size: words(rng, size) for size in (3, 5, 20, 40, 60)}
+    rows, want = [], set()
+    for item_id, item in items.items():
+        copies = [["zz" if i % k == k - 1 else w for i, w in enumerate(item)] for k in (4, 5, 6)]  # one word of k replaced
+        copies += [[x for i, w in enumerate(item) for x in ([w, "yy"] if i % k == k - 1 else [w])] for k in (2, 3)]  # a word put in after k
+        copies += [[w for i, w in enumerate(item) if i % 5 != 4], item, item[: len(item) // 3]]
+        copies += [[rng.choice("vwxyz") if rng.random() < 0.25 else w for w in item] for _ in range(12)]
+        for copy in copies:
+            rows.append((len(rows), " ".join(words(rng, 150) + copy + words(rng, 150))))
+    # Words of items out of their order, and whole copies that make other n-grams common.
+    rows += [(len(rows) + i, " ".join(rng.sample(items[20], 20) + items[60])) for i in range(20)]
+    for doc_id, text in rows:
+        for item_id, item in items.items():
+            number = {w: i for i, w in enumerate(set(item))}
+            score, _, _ = op.align(np.array([number[w] for w in item]), np.array([number.get(w, -1) for w in text.split()]))
+            if 2 * score >= len(item):
+                want.add((doc_id, item_id, score / len(item)))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], ITEMS)
+    assert {(r.doc_id, r.item_id, r.score) for r in op.find_leaks(spark.createDataFrame(rows, DOCS), bench).collect()} == want and len(want) > 90
+
+
+def test_no_n_gram_runs_from_one_text_into_the_next(spark):
+    docs = spark.createDataFrame([(1, "a b q1"), (2, "q2 c d")], DOCS).coalesce(1)
+    assert op.find_leaks(docs, spark.createDataFrame([(14, "q1 q2")], ITEMS)).count() == 0
