@@ -179,6 +179,24 @@ def test_html_query_keeps_whole_articles(spark):
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
 
 
+def main_text(spark, *pages):
+    rows = [(i, "http://h.com/", page) for i, page in enumerate(pages)]
+    return [r.text for r in op10.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_layout_classes_are_not_chrome(spark):
+    pages = [
+        '<body class="single no-sidebar"><article><p>A</p></article></body>',
+        '<body class="comments-open" id="menu"><div class="content with-sidebar"><p>B</p></div></body>',
+        '<main class="search"><article class="post has-comments" id="comments"><div class="article-header"><h1>C</h1></div><p>c</p></article></main>',
+        '<div class="widget"><p>Before</p><article><p>D</p></article></div>',
+        '<form id="aspnetForm"><main><p>E</p></main></form><form>Mail</form>',
+        '<article><p>F</p><div class="top-ad-box">x</div><div class="post side-bar">x</div><div id="ad-12">x</div></article>',
+        '<main><p>G</p><section class="comments-area"><article class="comment-body">x</article></section></main>',
+    ]
+    assert main_text(spark, *pages) == ["A", "B", "C\nc", "D", "E", "F", "G"]
+
+
 @pytest.mark.parametrize("name", ["op1_jaccard_join", "op9_url_filter"])
 def test_queries_are_their_sql(spark, name):
     c = duckdb.connect()
