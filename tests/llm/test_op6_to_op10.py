@@ -189,12 +189,22 @@ def test_layout_classes_are_not_chrome(spark):
         '<body class="single no-sidebar"><article><p>A</p></article></body>',
         '<body class="comments-open" id="menu"><div class="content with-sidebar"><p>B</p></div></body>',
         '<main class="search"><article class="post has-comments" id="comments"><div class="article-header"><h1>C</h1></div><p>c</p></article></main>',
-        '<div class="widget"><p>Before</p><article><p>D</p></article></div>',
+        '<div class="widget"><p>Ere</p><article><p>Delta</p><p>D</p></article></div>',
         '<form id="aspnetForm"><main><p>E</p></main></form><form>Mail</form>',
         '<article><p>F</p><div class="top-ad-box">x</div><div class="post side-bar">x</div><div id="ad-12">x</div></article>',
         '<main><p>G</p><section class="comments-area"><article class="comment-body">x</article></section></main>',
     ]
-    assert main_text(spark, *pages) == ["A", "B", "C\nc", "D", "E", "F", "G"]
+    assert main_text(spark, *pages) == ["A", "B", "C\nc", "Delta\nD", "E", "F", "G"]
+
+
+def test_article_is_a_prior_and_not_a_bypass(spark):
+    body = "<div class=text><p>A long story {0} is told here at length</p><p>and so it ends {0}</p></div><article><p>Short {0}</p></article>"
+    assert main_text(spark, body.format(1)) == ["A long story 1 is told here at length\nand so it ends 1\nShort 1"]
+    notice = "<article><p>Story {0} is told</p><p>Please register to read on</p><p>and ends {0}</p></article>"
+    assert main_text(spark, *[notice.format(i) for i in range(12)])[5] == "Story 5 is told\nand ends 5"
+    assert main_text(spark, *[notice.format(i // 3) for i in range(3)] * 4) == ["Story 0 is told\nPlease register to read on\nand ends 0"] * 12  # copies of one page
+    few = "<div class=top>Welcome</div><div class=body><p>Story {0}</p></div><div class=t>Terms apply</div>"
+    assert main_text(spark, *[few.format(i) for i in range(4)]) == [f"Story {i}" for i in range(4)]
 
 
 @pytest.mark.parametrize("name", ["op1_jaccard_join", "op9_url_filter"])
