@@ -2,9 +2,12 @@
 
 Labelled page outcomes (good or bad) are counted per host, registered domain and suffix. Each level
 shrinks its counts through a beta-binomial prior centred on the level above, whose strength is
-fitted by moments over all members of the level and is at most the evidence above; a host is blocked only when even the upper end of
-its posterior's credible interval is under the required rate of good pages. Unknown hosts thus take
-their domain's or suffix's reputation, and thin evidence blocks nothing.
+fitted by moments over all members of the level and is at most the evidence above; a host is blocked
+only when even the upper end of its posterior's credible interval is under the required rate of good
+pages. Unknown hosts thus take their domain's or suffix's reputation, and thin evidence blocks nothing.
+
+The outcomes are independent of the rules: a page whose url ends in a document's number is labelled by
+that document, good where its quality is 1 and it is not toxic.
 
 All of it is built-in expressions and pre-aggregated counts: one row a host is what travels.
 """
@@ -26,6 +29,14 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
+#: What of a host is no name: user before @, port after :, a dot at the end.
+NOT_NAME = r"^.*@|\.?(:[0-9]*)?$"
+ADDRESS = r"^[0-9.]+$|^\["
+#: A general label before a country's.
+WIDE_SUFFIX = r"^(ac|co|com|edu|gov|net|nom|or|org)\.[a-z][a-z]$"
+#: The document's number in a path.
+NUMBER = r"/([0-9]{1,18})(?:\.[a-z]+)?/?$"
+
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url; both empty for null or without ``://``."""
@@ -46,11 +57,17 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def domain_and_suffix(host: Column, long_suffixes=("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")) -> tuple[Column, Column]:
-    """Registered domain and public suffix: the last label, or two where they are in ``long_suffixes``."""
-    two = F.substring_index(host, ".", -2)
-    wide = two.isin(*long_suffixes)
-    return F.when(wide, F.substring_index(host, ".", -3)).otherwise(two), F.when(wide, two).otherwise(F.substring_index(host, ".", -1))
+def domain_and_suffix(host: Column) -> tuple[Column, Column]:
+    """Registered domain and public suffix of a host, without user, port and final dot. The suffix is
+    the last label, or two where a country's label follows a general one (co.uk, com.br); an address
+    of numbers is its own domain and suffix."""
+    name = F.regexp_replace(host, NOT_NAME, "")
+    number = name.rlike(ADDRESS)
+    two = F.substring_index(name, ".", -2)
+    wide = two.rlike(WIDE_SUFFIX)
+    domain = F.when(wide, F.substring_index(name, ".", -3)).otherwise(two)
+    suffix = F.when(wide, two).otherwise(F.substring_index(name, ".", -1))
+    return F.when(number, name).otherwise(domain), F.when(number, name).otherwise(suffix)
 
 
 def prior_strength(level: DataFrame) -> float:
@@ -98,22 +115,20 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     return shrunk(own).select("host", "alpha", "beta")
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame | None = None, rules=RULES, least_good: float = 0.5, z: float = 1.96) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, least_good: float = 0.5, z: float = 1.96) -> DataFrame:
     """page_id, host, path, rule, verdict, good_rate, upper_bound for each row of ``pages`` (page_id, url).
 
-    ``outcomes`` (host, good) are labelled pages; by default the pages that a rule judges are the
-    labelled ones, with the rule's verdict as outcome. A rule's verdict is final; elsewhere a page is
+    ``outcomes`` (host, good) are labelled pages. A rule's verdict is final; elsewhere a page is
     blocked when the posterior's upper bound, mean + z standard deviations, is under ``least_good``.
-    Null or malformed urls have an empty host and path and are judged under that empty host.
+    Null or malformed urls have an empty host and path and are judged under that empty host. Hosts
+    without outcomes take their domain's reputation; without any outcome all rates are even and
+    nothing is blocked.
     """
     host, path = host_and_path(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     judged = judged.withColumns({"rule": rule, "_ruled": verdict})
-    if outcomes is None:
-        outcomes = judged.select("host", (F.col("_ruled") == "allow").alias("good"))
-    else:
-        outcomes = outcomes.select("host", "good").unionByName(judged.select("host", F.lit(None).cast("boolean").alias("good")))
+    outcomes = outcomes.select("host", "good").unionByName(judged.select("host", F.lit(None).cast("boolean").alias("good")))
     known = cut(reputations(outcomes), "reputations")
     rate = F.col("alpha") / (F.col("alpha") + F.col("beta"))
     spread = F.sqrt(rate * (1 - rate) / (F.col("alpha") + F.col("beta") + 1))
@@ -122,9 +137,22 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame | None = None, rules=RULES,
     return out.select("page_id", "host", "path", "rule", F.coalesce("_ruled", by_method).alias("verdict"), "good_rate", "upper_bound")
 
 
+def labelled_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(host, good) of the pages whose url ends in the number of a labelled document. Labels: doc_id,
+    quality, toxic; rows without doc_id or quality are none, a document labelled more than once is good
+    where all its labels are."""
+    host, path = host_and_path(F.col("url"))
+    numbered = pages.select(host.alias("host"), F.regexp_extract(path, NUMBER, 1).alias("number"))
+    numbered = numbered.filter("number <> ''").select("host", F.col("number").cast("long").alias("doc_id"))
+    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.every(good).alias("good"))
+    return numbered.join(known, "doc_id").select("host", "good")
+
+
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict (and the posterior to 6 places) of every page."""
-    out = judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    out = judge_urls(pages, labelled_outcomes(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return out.withColumns({c: F.round(c, 6) for c in ("good_rate", "upper_bound")})
 
 
@@ -152,10 +180,18 @@ hit AS (
   SELECT page_id, arg_max(site || prefix, length(site || prefix)) AS rule, arg_max(what, length(site || prefix)) AS ruled
   FROM split JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, prefix) GROUP BY page_id
 ), judged AS (SELECT s.*, rule, ruled FROM split s LEFT JOIN hit h ON h.page_id = s.page_id),
+known AS (
+  SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
+), outcomes AS (
+  SELECT host, good FROM split JOIN known ON doc_id = CAST(nullif(regexp_extract(path, '{NUMBER}', 1), '') AS BIGINT)
+), counts AS (SELECT host, sum(good)::DOUBLE AS good, count(*)::DOUBLE AS n FROM outcomes GROUP BY host),
+named AS (SELECT host, regexp_replace(host, '{NOT_NAME}', '', 'g') AS name FROM (SELECT DISTINCT host FROM split)),
+parts_of AS (SELECT *, array_to_string(string_split(name, '.')[-2:], '.') AS two FROM named),
 hosts AS (
-  SELECT host, (count(*) FILTER (WHERE ruled = 'allow'))::DOUBLE AS good, count(ruled)::DOUBLE AS n,
-    CASE WHEN len(string_split(host, '.')) > 2 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS domain, string_split(host, '.')[-1] AS suffix
-  FROM judged GROUP BY host
+  SELECT p.host, coalesce(c.good, 0) AS good, coalesce(c.n, 0) AS n,
+    CASE WHEN regexp_matches(name, '{ADDRESS}') THEN name WHEN regexp_matches(two, '{WIDE_SUFFIX}') THEN array_to_string(string_split(name, '.')[-3:], '.') ELSE two END AS domain,
+    CASE WHEN regexp_matches(name, '{ADDRESS}') THEN name WHEN regexp_matches(two, '{WIDE_SUFFIX}') THEN two ELSE string_split(name, '.')[-1] END AS suffix
+  FROM parts_of p LEFT JOIN counts c ON c.host = p.host
 ),
 {_level_sql("suffixes", "SELECT suffix, sum(good) AS good, sum(n) AS n, (SELECT (sum(good) + 1) / (sum(n) + 2) FROM hosts) AS centre, (SELECT sum(n) + 2 FROM hosts) AS weight FROM hosts GROUP BY suffix")},
 {_level_sql("domains", "SELECT h.suffix, h.domain, sum(h.good) AS good, sum(h.n) AS n, any_value(s.alpha / (s.alpha + s.beta)) AS centre, any_value(s.alpha + s.beta) AS weight FROM hosts h JOIN suffixes s ON s.suffix = h.suffix GROUP BY h.suffix, h.domain")},
