@@ -4,20 +4,24 @@ the threshold, reassemble by position.
 Only hashes travel: a line's key goes through the shuffle as 128 bits plus the document id, once a
 document. Counting is a two-level aggregate (first by key and document, then by key), so a line
 that stands in a third of all documents is pre-aggregated on the map side and never meets in one
-task. The text itself is read again and rewritten in place; it moves only when the table of lines
-to drop is too large to broadcast.
+task. The text itself is read again and rewritten in place: the hot lines, a key and its keeper each,
+are broadcast when they were counted to fit, and a line goes when it is hot and its document is not
+the keeper. Only where the hot lines are too many for that, keys to drop are listed per document and
+joined to the texts by doc_id, which shuffles both.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_batches, cut, if_small, text_slices
+from . import common
+from .common import ascii_lower, bounded_batches, cut, drop_cut, text_slices
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -46,6 +50,31 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(explode, "doc_id long, key binary")
 
 
+class HotLines:
+    """Keys and keepers of hot lines, for lookup of many keys at once."""
+
+    def __init__(self, keys: bytes, keepers: np.ndarray):
+        parts = np.frombuffer(keys, "<u8").reshape(-1, 2)
+        order = np.argsort(parts[:, 0], kind="stable")
+        self.first, self.second, self.keepers = parts[order, 0], parts[order, 1], keepers[order]
+        # Keys with the same first half stand together; so many at most.
+        self.same = int(np.unique(self.first, return_counts=True)[1].max(initial=0))
+
+    def lost(self, keys: list[bytes | None], docs: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Whether each line, with its document and whether that has an id, is hot and kept elsewhere."""
+        out, some = np.zeros(len(keys), bool), np.flatnonzero([k is not None for k in keys])
+        if not len(some) or not len(self.first):
+            return out
+        parts = np.frombuffer(b"".join(keys[i] for i in some), "<u8").reshape(-1, 2)
+        at = np.searchsorted(self.first, parts[:, 0])
+        for _ in range(self.same):
+            place = np.minimum(at, len(self.first) - 1)
+            hot = (self.first[place] == parts[:, 0]) & (self.second[place] == parts[:, 1])
+            out[some] |= hot & ~(known[some] & (docs[some] == self.keepers[place]))
+            at = at + 1
+        return out
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> DataFrame:
     """``docs`` (doc_id, text, ...) with ``text`` rebuilt from the lines kept, plus n_lines (before)
     and n_dropped.
@@ -65,49 +94,60 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Data
         .select("key", "keeper")
     )
     hot = cut(hot, "hot_lines")
-    lost = (
-        pairs.join(if_small(hot, 64), "key")
-        .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy("doc_id")
-        .agg(F.collect_set("key").alias("_lost"))
-    )
-    lost = cut(lost.withColumn("_n", F.size("_lost")), "lost_lines")
-    bytes_lost = (lost.agg(F.sum("_n")).first()[0] or 0) * 48 + 1
-    lost_side = lost.select(F.col("doc_id").alias("_lost_doc"), "_lost")
-    joined = docs.join(
-        if_small(lost.limit(1), bytes_lost, lost_side),
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_lost_doc")),
-        "left",
-    )
-
-    @F.arrow_udf("struct<text:string,n_lines:long,n_dropped:long>")
-    def rebuild(text: pa.Array, lost: pa.Array) -> pa.Array:
-        texts, lines, dropped = [], [], []
-        for t, gone in zip(text, lost):
-            t = t.as_py() or ""
-            parts = t.split("\n")
-            if gone.is_valid:
-                gone = set(gone.as_py())
-                kept = [x for x in parts if line_key(x, min_chars) not in gone]
-                t = "\n".join(kept)
-            else:
-                kept = parts
-            texts.append(t)
-            lines.append(len(parts))
-            dropped.append(len(parts) - len(kept))
-        return pa.StructArray.from_arrays(
-            [pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
-            ["text", "n_lines", "n_dropped"],
-        )
-
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return joined.select(*own, rebuild("text", "_lost").alias("_new")).select(
+    doc_id = F.col("doc_id").cast("long")
+    if hot.count() * 24 <= common.BROADCAST_BYTES:
+        # A counted table of 24 bytes a row.
+        table = hot.toArrow()
+        keys = b"".join(x.as_py() for x in table["key"])
+        lines = docs.sparkSession.sparkContext.broadcast(HotLines(keys, table["keeper"].to_numpy()))
+        drop_cut(pairs)
+        drop_cut(hot)
+
+        @F.arrow_udf(REBUILT)
+        def rebuild(text: pa.Array, ids: pa.Array) -> pa.Array:
+            known = np.array(ids.is_valid().to_pylist(), bool)
+            numbers, split = ids.fill_null(0).to_numpy(), [(t.as_py() or "").split("\n") for t in text]
+            of = np.repeat(np.arange(len(split)), [len(x) for x in split])
+            gone = lines.value.lost([line_key(x, min_chars) for parts in split for x in parts], numbers[of], known[of])
+            return rebuilt(split, gone)
+
+        new = docs.select(*own, rebuild("text", doc_id).alias("_new"))
+    else:
+        lost = pairs.join(hot, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id").agg(F.collect_set("key").alias("_lost"))
+        lost = lost.withColumnRenamed("doc_id", "_lost_doc")
+
+        @F.arrow_udf(REBUILT)
+        def rebuild(text: pa.Array, lost: pa.Array) -> pa.Array:
+            split, gone = [(t.as_py() or "").split("\n") for t in text], []
+            for parts, keys in zip(split, lost):
+                keys = set(keys.as_py()) if keys.is_valid else ()
+                gone += [bool(keys) and line_key(x, min_chars) in keys for x in parts]
+            return rebuilt(split, np.array(gone, bool))
+
+        new = docs.join(lost, doc_id.eqNullSafe(F.col("_lost_doc")), "left").select(*own, rebuild("text", "_lost").alias("_new"))
+    return new.select(
         *[F.col("_new.text") if c == "text" else F.col(c) for c in docs.columns if c in own or c == "text"],
         "_new.n_lines",
         "_new.n_dropped",
     )
 
 
+REBUILT = "struct<text:string,n_lines:long,n_dropped:long>"
+
+
+def rebuilt(split: list[list[str]], gone: np.ndarray) -> pa.Array:
+    """Lines of many texts joined again without those that are gone."""
+    texts, dropped, at = [], [], 0
+    for parts in split:
+        lost = gone[at : at + len(parts)]
+        at += len(parts)
+        dropped.append(int(lost.sum()))
+        texts.append("\n".join(x for x, g in zip(parts, lost.tolist()) if not g) if dropped[-1] else "\n".join(parts))
+    lines = pa.array([len(x) for x in split], pa.int64())
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), lines, pa.array(dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
+
+
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every document."""
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
