@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, drop_cut, if_small, text_slices
@@ -179,14 +179,16 @@ def _cells(n: F.Column, m: F.Column, percent: int) -> F.Column:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose exact similarity reaches the threshold, as a written table."""
+    """Those of the distinct pairs (a, b) whose exact similarity reaches the threshold, as a written
+    table. Nothing after the joins needs their partitioning, so Spark may split a document of very
+    many pairs."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     sets = cut(set_table(docs, wanted, words), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))
-    out = cut(both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct(), "links")
+    out = cut(both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
     drop_cut(sets)
     drop_cut(wanted)
     return out
@@ -212,12 +214,15 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     rep_of = rows.filter("n > 0 and doc_id is not null").select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
     by_rep = classes.select("rep", F.struct("n", "bits").alias("of"))
 
-    # Tokens that stand in the prefixes of two documents or more, with the most common of these.
-    shared = prefixes(docs, counts, words, percent)
-    by_token = Window.partitionBy("token")
-    shared = shared.withColumns({"first": F.min("doc_id").over(by_token), "last": F.max("doc_id").over(by_token), "top": F.max("mark").over(by_token)}).filter("first < last")
-    shared = shared.withColumn("lead", F.min(F.when(F.col("mark") == F.col("top"), F.col("doc_id"))).over(by_token))
+    # Tokens that stand in the prefixes of two documents or more, with the most common of these. Counts and
+    # leaders are pre-aggregated; the joins back to the tokens' documents are open to being split.
+    asked = prefixes(docs, counts, words, percent)
+    several = asked.groupBy("token").agg(F.count("*").alias("holders")).filter("holders > 1").select("token")
+    held = cut(asked.join(several, "token", "left_semi"), "held_tokens")
+    leads = held.groupBy("token").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max_by("doc_id", F.struct("mark", -F.col("doc_id"))).alias("lead"))
+    shared = held.join(leads.filter("first < last"), "token")
     shared = cut(shared.select("token", "doc_id", "lead", (F.col("mark") % 2 == 1).alias("indexed")), "shared")
+    drop_cut(held)
     reps = cut(rep_of.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "reps")
 
     # Links to the leading document of each token. A third of the cells that a link needs is asked for
