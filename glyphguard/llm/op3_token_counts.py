@@ -5,14 +5,16 @@ word's best segmentation is found by a forward pass over its characters: the bes
 is the best over the pieces that end there. The score of a prefix does not depend on what follows,
 so the distinct new words of a slice of texts form a trie, every node is scored once, a level at a
 time for all words together, and a word's token count is stored at its end. Sorted words lay the
-trie out without pointers: a node is a run of rows with the same first characters. A worker keeps
-the counts of words between tasks and starts afresh when they are too many, which bounds memory and
+trie out without pointers: a node is a run of rows with the same first characters. Words too long for a
+table of levels go down the same trie one after the other, in order: the scores along the path that
+a word shares with the one before stay. A worker keeps the counts of words between tasks and starts afresh when they are too many, which bounds memory and
 changes no count. The plan is a narrow map: no shuffle.
 """
 
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +26,18 @@ from .common import bounded_batches
 MARK = "▁"
 #: Words whose counts a worker keeps before it starts afresh.
 MAX_WORDS = 400_000
-#: Longer words are scored one at a time.
+#: Longer words go down the trie one after the other, not a level at a time.
 MAX_LETTERS = 48
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Size of the bitmap asked before a piece is looked up, and the shift of a hash to its place there.
 FILTER, SHIFT = 1 << 18, np.uint64(46)
 
 
-def best_count(word: str, pieces: dict[str, float], byte_score: float, longest: int | None = None) -> int:
-    """A single word's token count by a plain forward pass."""
+def best_count(word: str, pieces: dict[str, float], byte_score: float) -> int:
+    """A single word's token count by a plain forward pass: what the trie must give."""
     best: list[tuple[float, int]] = [(0.0, 0)]
     for end in range(1, len(word) + 1):
-        low = 0 if longest is None else max(0, end - longest)
-        options = [(best[s][0] + pieces[word[s:end]], best[s][1] - 1) for s in range(low, end) if word[s:end] in pieces]
+        options = [(best[s][0] + pieces[word[s:end]], best[s][1] - 1) for s in range(end) if word[s:end] in pieces]
         if word[end - 1] not in pieces:
             n = len(word[end - 1].encode("utf-8", "replace"))
             options.append((best[end - 1][0] + n * byte_score, best[end - 1][1] - n))
@@ -78,11 +79,32 @@ class UnigramTrie:
                 self.by_length[n] = hashes[order], np.array([pieces[p] for p in some])[order], maybe
         self.counts: dict[str, int] = {}
 
+    def learn_in_order(self, words: list[str]) -> None:
+        """Store the token counts of sorted words, depth first."""
+        pieces, before, score, tokens = self.pieces, "", [0.0], [0]
+        for word in words:
+            shared = len(os.path.commonprefix((before, word)))
+            del score[shared + 1 :], tokens[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                best, count = -math.inf, 0
+                for start in range(max(0, end - self.longest), end):
+                    part = word[start:end]
+                    if part in pieces:
+                        value, n = score[start] + pieces[part], tokens[start] + 1
+                        if value > best or value == best and n < count:
+                            best, count = value, n
+                if word[end - 1] not in pieces:
+                    n = len(word[end - 1].encode("utf-8", "replace"))
+                    value, n = score[end - 1] + n * self.byte_score, tokens[end - 1] + n
+                    if value > best or value == best and n < count:
+                        best, count = value, n
+                score.append(best)
+                tokens.append(count)
+            self.counts[word], before = tokens[-1], word
+
     def learn(self, words: list[str]) -> None:
         """Store the token counts of words (with their mark)."""
-        for w in words:
-            if len(w) > MAX_LETTERS or "\0" in w:
-                self.counts[w] = best_count(w, self.pieces, self.byte_score, self.longest)
+        self.learn_in_order(sorted(w for w in words if len(w) > MAX_LETTERS or "\0" in w))
         words = sorted({w for w in words if len(w) <= MAX_LETTERS and "\0" not in w})
         if not words:
             return
