@@ -35,45 +35,61 @@ def _header(data: bytes, at: int, count: int) -> tuple[list[int], int]:
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1-P6 as (h, w) or (h, w, 3); 8-bit samples as uint8, wider ones as uint16; bitmaps 0 or 1
-    with 1 for black, as stored."""
+    """P1-P6 as (h, w) or (h, w, 3); 8-bit samples as uint8, wider ones as uint16; bitmaps as bool with
+    True for black, as stored."""
     kind = data[1] - 48
     bitmap, plain, channels = kind in (1, 4), kind <= 3, 3 if kind in (3, 6) else 1
     numbers, at = _header(data, 2, 2 if bitmap else 3)
     w, h, most = *numbers[:2], 1 if bitmap else numbers[2]
     if not 0 < most < 65536:
         raise ValueError("bad Netpbm depth")
-    n = w * h * channels
+    n, row = w * h * channels, (w + 7) // 8
+    wide = np.dtype("u1" if most < 256 else ">u2")
+    if (n if plain else row * h if bitmap else n * wide.itemsize) > len(data) - at:
+        raise ValueError("Netpbm data end early")
     if plain:
         body = re.sub(rb"#[^\r\n]*", b"", data[at:])
-        values = [c - 48 for c in body if c in b"01"] if bitmap else [int(x) for x in body.split()]
-        flat = np.array(values[:n], np.uint8 if most < 256 else np.uint16)
+        values = [c - 48 for c in body if c in b"01"][:n] if bitmap else [int(x) for x in body.split()[:n]]
+        if len(values) < n:
+            raise ValueError("Netpbm data end early")
+        if values and not 0 <= min(values) <= max(values) <= most:
+            raise ValueError("Netpbm sample out of range")
+        flat = np.array(values, wide.newbyteorder("="))
     elif bitmap:
-        row = (w + 7) // 8
-        bits = np.frombuffer(data, np.uint8, row * h, at + 1).reshape(h, row)
-        flat = np.unpackbits(bits, axis=1)[:, :w].reshape(-1)
+        flat = np.unpackbits(np.frombuffer(data, np.uint8, row * h, at + 1).reshape(h, row), axis=1)[:, :w].reshape(-1)
     else:
-        kind = np.dtype("u1" if most < 256 else ">u2")
-        flat = np.frombuffer(data, kind, n, at + 1).astype(kind.newbyteorder("="))
-    if len(flat) < n:
-        raise ValueError("Netpbm data end early")
+        flat = np.frombuffer(data, wide, n, at + 1).astype(wide.newbyteorder("="))
+    flat = flat.astype(bool) if bitmap else flat
     return flat.reshape((h, w, 3) if channels == 3 else (h, w))
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed 8-bit palette, 24-bit and 32-bit BMP as (h, w, 3) RGB, or (h, w) for a grey palette."""
+    """Uncompressed 8-bit palette, 24-bit and 32-bit BMP, and 32-bit with colour masks, as (h, w, 3) RGB,
+    or (h, w) for a grey palette."""
     offset, header, w, h, _, bits, packed = struct.unpack_from("<10xIIiiHHI", data)
-    if packed not in (0, 3) or bits not in (8, 24, 32):
+    if (packed, bits) not in ((0, 8), (0, 24), (0, 32), (3, 32)) or w <= 0:
         raise ValueError("unsupported BMP")
     stride = (w * bits // 8 + 3) // 4 * 4
+    if stride * abs(h) > len(data) - offset:
+        raise ValueError("BMP data end early")
     rows = np.frombuffer(data, np.uint8, stride * abs(h), offset).reshape(abs(h), stride)
     rows = rows[::-1] if h > 0 else rows
     if bits == 8:
         colours = struct.unpack_from("<I", data, 46)[0] or 256
+        if colours > 256 or 14 + header + 4 * colours > len(data):
+            raise ValueError("bad BMP palette")
         palette = np.zeros((256, 3), np.uint8)
         palette[:colours] = np.frombuffer(data, np.uint8, 4 * colours, 14 + header).reshape(-1, 4)[:, 2::-1]
         image = palette[rows[:, :w]]
         return image[..., 0] if (palette == palette[:, :1]).all() else image
+    if packed == 3:
+        words, image = np.ascontiguousarray(rows).view("<u4"), np.empty((abs(h), w, 3), np.uint8)
+        for k, mask in enumerate(struct.unpack_from("<III", data, 54)):
+            if not mask:
+                raise ValueError("BMP mask without bits")
+            low = (mask & -mask).bit_length() - 1
+            image[..., k] = ((words & np.uint32(mask)) >> np.uint32(low)).astype(np.float64) * 255 / (mask >> low)
+        return image
     return rows[:, : w * bits // 8].reshape(abs(h), w, bits // 8)[..., 2::-1]
 
 
@@ -86,6 +102,9 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def to_grey(image: np.ndarray) -> np.ndarray:
+    """Brightness; a bitmap's black is 0 and its white 1."""
+    if image.dtype == bool:
+        return (~image).astype(np.uint8)
     return image if image.ndim == 2 else image.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
 
 
@@ -157,7 +176,7 @@ def media_tiles(df: DataFrame, image: str, thumb: int = 16) -> DataFrame:
                 if grey.size:
                     row["thumb"] = to_npy(np.clip(np.rint(area_resize(grey, thumb, thumb)), 0, 65535).astype(np.uint16))
                     row["dhash"] = difference_hash(grey)
-            except (ValueError, struct.error, IndexError) as e:
+            except (ValueError, OverflowError, struct.error, IndexError) as e:
                 row["error"] = str(e)
             rows.append(row)
         return pa.array(rows, pa.struct([("tile", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), ("thumb", pa.binary()), ("dhash", pa.string()), ("error", pa.string())]))
