@@ -32,6 +32,16 @@ def letters(text: str) -> str:
     return NOT_LETTERS.sub(" ", text).strip().lower()
 
 
+def first_letters(text: str, size: int):
+    """The first ``size`` bytes of a text's letters and a space, as ``part``."""
+
+    @F.arrow_udf("binary")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([(letters(t.as_py()).encode("utf-8", "replace") + b" ")[:size] for t in texts], pa.binary())
+
+    return cut(text).alias("part")
+
+
 def train(docs: DataFrame, sample_docs: int = 400, dictionary_bytes: int = 1 << 17) -> list[tuple[str, int, bytes]]:
     """(language, training documents, dictionary) of each language in ``docs`` (doc_id, text, lang).
 
@@ -52,13 +62,14 @@ def train(docs: DataFrame, sample_docs: int = 400, dictionary_bytes: int = 1 <<
     low = docs.select("doc_id", "lang", place.alias("place")).join(F.broadcast(bound), "lang").filter("place < bound")
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
     chosen = low.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= sample_docs)
-    # At most sample_docs ids a language.
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.select("doc_id", "lang", "turn")), ["doc_id", "lang"])
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min("turn").alias("turn"))
+    # At most sample_docs ids a language, and no more of a text than its dictionary can take.
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    texts = texts.select("lang", "turn", first_letters("text", dictionary_bytes))
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         parts, size = [], 0
-        for text in rows.sort_values(["turn", "text"]).text:
-            part = letters(text).encode() + b" "
+        for part in rows.sort_values(["turn", "part"]).part:
             parts.append(part)
             size += len(part)
             if size >= dictionary_bytes:
@@ -122,8 +133,9 @@ def identify(docs: DataFrame, model: list[tuple[str, int, bytes]], narrow: float
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected; learned from rows that are not held out."""
+    """doc_id, held_out, lang_pred, score, rejected; learned from rows that are not held out. A row
+    without doc_id is not held out, and not learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     model = train(docs.filter(fold != 0))
-    return identify(docs.select("doc_id", "text", (fold == 0).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return identify(docs.select("doc_id", "text", F.coalesce(fold == 0, F.lit(False)).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
