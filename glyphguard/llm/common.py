@@ -20,9 +20,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, a local one (single-machine tests)."""
+    """The folder in spark.checkpoint.dir; where that is unset, a local one on a single machine, and an
+    error on a cluster, whose executors could not read it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="spark-glyphguard-"))
     return base.rstrip("/")
@@ -54,7 +57,8 @@ def if_small(cut_table: DataFrame, row_bytes: int, side: DataFrame | None = None
 
 def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``, with Arrow batches of the session held to ``rows`` rows: by default 10,000 long texts
-    at a time are held off-heap in the JVM and again in each Python worker."""
+    at a time are held off-heap in the JVM and again in each Python worker. The plan is run after this
+    returns, so the session keeps the setting."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(key)) <= rows:
