@@ -17,6 +17,7 @@ NOT_ALNUM = bytes(i for i in range(128) if not chr(i).isalnum())
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _codes = _random.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_exact_codes = _codes.copy()
 _codes[65:91] = _codes[97:123]  # A-Z as a-z
 _base = _random.integers(1, 1 << 63, 1, np.uint64) * np.uint64(2) + np.uint64(1)
 _inverse = np.array([pow(int(_base[0]), -1, 1 << 64)], np.uint64)
@@ -72,11 +73,15 @@ def words(column: pa.Array, separators: bytes = SEPARATORS) -> tuple[np.ndarray,
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _tables(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_codes[data] * power[:n], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * inverse[start] ^ (end - start).astype(np.uint64))
-    return hashes, start, end, np.searchsorted(start, offsets)
+    return span_hashes(data, start, end, _codes), start, end, np.searchsorted(start, offsets)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray = _exact_codes) -> np.ndarray:
+    """Hash of each span of a byte array, from running sums."""
+    power, inverse = _tables(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(codes[data] * power[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inverse[start] ^ (end - start).astype(np.uint64))
 
 
 def grams(word: np.ndarray, n: int) -> np.ndarray:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from glyphguard.llm import op3_token_counts as op3
@@ -27,6 +28,9 @@ def test_trie_counts_are_plain_forward_counts(monkeypatch):
     rng = random.Random(4)
     pieces = {"".join(rng.choice("abc▁") for _ in range(rng.randint(1, 4))): -rng.randint(1, 6) for _ in range(40)}
     trie = op3.UnigramTrie(pieces, -9.0)
+    long = "".join(rng.choice("abcdé中") for _ in range(3000))
+    ends = [long[:n] for n in (200, 900, 900, 3000)] + [long[:500] + "b" + long[500:700]]
+    assert trie.count_texts([" ".join(ends)])[0][1] == sum(op3.best_count("▁" + w, pieces, -9.0) for w in ends)
     words = ["".join(rng.choice("abcdé中😀\0") for _ in range(rng.choice([1, 3, 6, 10, 60]))) for _ in range(600)]
     texts = [" ".join(words[i : i + 7]) for i in range(0, 600, 7)] + ["", " \n "]
     want = [(len(t.split()), sum(op3.best_count("▁" + w, pieces, -9.0) for w in t.split())) for t in texts]
@@ -84,6 +88,30 @@ def test_decoders():
             op4.decode(bad)
 
 
+def test_bad_images_are_reported_not_raised(spark):
+    rng = random.Random(8)
+    bad = [b"P5 99999999999 99999999999 255\n1", b"P2 1 1 255 300", b"P2 1 1 255 -3", b"P2 2 1 9 1", b"P4 9999999999 9999999999\n", b"P1 99999999999 9 1", b"P5 " + b"9" * 5000]
+    whole = [b"P5\n7 5\n255\n" + grey(5, 7).tobytes(), bmp24(np.zeros((4, 3, 3), np.uint8))]
+    for _ in range(300):
+        x = bytearray(rng.choice(whole))
+        for _ in range(rng.randint(1, 6)):
+            x[rng.randrange(min(len(x), 60))] = rng.randrange(256)
+        bad.append(bytes(x[: rng.randint(1, len(x))]))
+    found = [r.media for r in op4.media_tiles(spark.createDataFrame([(x,) for x in bad], "image binary"), "image").collect()]
+    assert len(found) == len(bad) and all(m.error and m.tile is None for m in found[:7]) and all(bool(m.error) != bool(m.tile) for m in found)
+
+
+def test_same_picture_same_hash_and_masked_bmp():
+    bits = np.random.default_rng(5).integers(0, 2, (16, 18), np.uint8)
+    as_bitmap = op4.decode(b"P1 18 16\n" + b" ".join(b"%d" % x for x in bits.ravel()))
+    as_grey = op4.decode(b"P2 18 16 1\n" + b" ".join(b"%d" % (1 - x) for x in bits.ravel()))
+    assert op4.difference_hash(op4.to_grey(as_bitmap)) == op4.difference_hash(op4.to_grey(as_grey)) != "0" * 16
+    image = np.random.default_rng(6).integers(0, 256, (2, 3, 3), np.uint8)
+    words = (image[..., 0].astype("<u4") << 24 | image[..., 1].astype("<u4") << 16 | image[..., 2].astype("<u4") << 8)[::-1]
+    head = struct.pack("<IHHI", 66 + 24, 0, 0, 66) + struct.pack("<IiiHHIIiiII", 40, 3, 2, 1, 32, 3, 24, 0, 0, 0, 0) + struct.pack("<III", 0xFF000000, 0xFF0000, 0xFF00)
+    assert (op4.decode(b"BM" + head + words.tobytes()) == image).all()
+
+
 def test_area_resize_is_the_mean_under_each_pixel(monkeypatch):
     monkeypatch.setattr(op4, "STRIP_ROWS", 3)
     for h, w, th, tw in ((12, 18, 4, 6), (7, 5, 3, 4), (1, 1, 2, 2), (3, 9, 8, 9)):
@@ -102,7 +130,10 @@ def test_media_query_stores_every_byte(spark):
         payload = raw + b"\xff" * ((-len(raw)) % 576 or (0 if raw else 576))
         tile = op4.to_npy(np.frombuffer(payload, np.uint8).reshape(-1, 576))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert (r.media_bytes, r.media_sha256) == (len(tile), hashlib.sha256(tile).hexdigest()) and len(r.feature) == 16
+        assert (r.media_bytes, r.media_sha256) == (len(tile), hashlib.sha256(tile).hexdigest())
+        g = np.frombuffer(payload, np.uint8).reshape(-1, 576).astype(float)
+        cells = np.round(np.repeat(g, 8, 0).reshape(8, len(g), 9, 64).mean((1, 3)), 6)
+        assert r.feature == np.packbits(cells[:, 1:] > cells[:, :-1]).tobytes().hex()
 
 
 def test_media_edges(spark, edge_docs):
@@ -129,18 +160,23 @@ def test_binary_lengths():
         assert all(x & (x - 1) == 0 for x in lengths) and len(set(lengths) - {4096}) == len([x for x in lengths if x < 4096])
 
 
-def test_chunk_encoder_is_the_tokenizer(monkeypatch):
+def test_word_encoder_is_the_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    plain, mine = Tokenizer.from_file(path), op5.ChunkEncoder(path)
+    plain, mine = Tokenizer.from_file(path), op5.WordEncoder(path)
     rng = random.Random(5)
-    alphabet = [*"aBÉéß×÷ª  \x1c\x85\t\r\n'sS1９Å가😀‍.,!ÿŸİ", "<|endoftext|>", "'ll", "don't", "e\u0301", " ", "\n"]
+    alphabet = [*"aBÉéß×÷ª  \x1c\x85\t\r\n'sS1９Å가😀‍.,!ÿŸİ", "<|endoftext|>", "'ll", "don't", "e\u0301", " ", "\n", *"«»¡¿‘’“”–—…•"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["中文字 " * 50 + "plain words\nund größere 中", "\n \n", "ends odd é中"]
     want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in mine.encode(texts)] == want
+    def coded(texts):
+        ids, sizes = mine.encode(pa.array(texts, pa.string()))
+        return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+    assert coded(texts) == want
     monkeypatch.setattr(op5, "CACHE_WORDS", 5)
-    assert [mine.encode([t])[0].tolist() for t in texts[:300]] == want[:300]
+    assert [coded([t])[0] for t in texts[:300]] == want[:300]
 
 
 def check_packing(pieces, want):

@@ -71,12 +71,13 @@ def test_line_dedup_query_is_its_sql(spark, duck):
 def test_line_dedup_rules(spark, monkeypatch):
     line = "This line is long enough to be counted at all."
     rows = [(i, f"  {line.upper() if i % 2 else line}\t\nown {i}\n{line}") for i in range(1, 6)] + [(9, "short\nshort"), (10, None), (11, "")]
+    rows.append((None, f"{line}\nlast"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for limit in (op7.if_small.__globals__["BROADCAST_BYTES"], 0):  # broadcast, and joined by shuffles
-        monkeypatch.setitem(op7.if_small.__globals__, "BROADCAST_BYTES", limit)
+    for limit in (op7.common.BROADCAST_BYTES, 0):  # broadcast, and joined by shuffles
+        monkeypatch.setattr(op7.common, "BROADCAST_BYTES", limit)
         got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in op7.dedup_lines(docs).collect()}
         assert got[1] == ("own 1", 3, 2) and got[5] == (rows[4][1], 3, 0)
-        assert got[9] == ("short\nshort", 2, 0) and got[10] == got[11] == ("", 1, 0)
+        assert got[None] == ("last", 2, 1) and got[9] == ("short\nshort", 2, 0) and got[10] == got[11] == ("", 1, 0)
     assert {r.n_dropped for r in op7.dedup_lines(docs, min_docs=6).collect()} == {0}
 
 
@@ -122,9 +123,32 @@ def test_urls_and_rules(spark):
         ("://", "", "", None, "allow"),
     ]
     pages = spark.createDataFrame([(i, u[0], "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in op9.judge_urls(pages).collect()}
+    none = spark.createDataFrame([], "host string, good boolean")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in op9.judge_urls(pages, none).collect()}
     assert got == {i: u[1:] for i, u in enumerate(urls)}
-    assert op9.judge_urls(pages.limit(0)).count() == 0
+    assert op9.judge_urls(pages.limit(0), none).count() == 0
+
+
+def test_domains_and_outcomes(spark):
+    hosts = {"a.b.com:8080": ("b.com", "com"), "x@a.b.co.uk.": ("b.co.uk", "co.uk"), "b.de": ("b.de", "de"), "10.0.0.1:80": ("10.0.0.1",) * 2, "[::1]:80": ("[::1]",) * 2, "": ("", ""), "com": ("com", "com")}
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    from pyspark.sql import functions as F
+
+    domain, suffix = op9.domain_and_suffix(F.col("host"))
+    assert {r[0]: (r[1], r[2]) for r in rows.select("host", domain, suffix).collect()} == hosts
+    urls = ["http://a/en/7", "http://a/en/8.html?x=9", "http://a/9/", "http://a/x9", "http://b/10", "http://b/11", "http://b/12", None]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(7, 1, 0), (8, 1, 1), (9, 0, None), (10, None, 0), (11, 1, None), (11, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(map(tuple, op9.labelled_outcomes(pages, labels).collect())) == [("a", False), ("a", False), ("a", True), ("b", False)]
+
+
+def test_bad_hosts_are_blocked_by_their_labelled_pages(spark):
+    """Plain counts of the same posterior: hosts whose labelled pages are mostly bad go, all others stay."""
+    rows = [(f"http://bad{h}.net/{100 * h + i}", int(i % 10 == 0)) for h in range(3) for i in range(100)] + [(f"http://good{h}.net/{9000 + 100 * h + i}", int(i % 10 != 0)) for h in range(12) for i in range(100)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(int(u.rsplit("/", 1)[1]), y, 0) for u, y in rows if int(u.rsplit("/", 1)[1]) % 3], "doc_id long, quality int, toxic int")
+    got = {r.host: r.verdict for r in op9.judge_urls(pages, op9.labelled_outcomes(pages, labels)).collect()}
+    assert got == {h: "block" if h.startswith("bad") else "allow" for h in got} and len(got) == 15
 
 
 def test_reputation_shrinks_towards_the_domain(spark):
@@ -210,6 +234,25 @@ def test_article_is_a_prior_and_not_a_bypass(spark):
 @pytest.mark.parametrize("name", ["op1_jaccard_join", "op9_url_filter"])
 def test_queries_are_their_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     assert rows_of(QUERIES[name](spark, SMALL).toPandas()) == rows_of(c.execute(SQL[name]).df())
+
+
+def test_hostile_and_broken_html():
+    import time
+
+    hostile = ["<a " + "'" * 10**6, "<a " + '"' * 10**6 + ">", "<a " * 350_000, "<a " * 350_000 + ">", '<a ="' * 200_000 + ">", "<a ='>'" * 140_000]
+    hostile += ["<svg>" * 200_000, "<noscript>" * 100_000, "<" * 10**6 + ">", "<!--" * 250_000 + "-->", "<i>" * 600 + "</b>" * 200_000, "<div>" * 600 + "<div>x</div>" * 80_000]
+    for page in hostile:
+        began = time.process_time()
+        op10.blocks(page)
+        assert time.process_time() - began < 5, page[:20]
+    kept = lambda page: [text for _, text, chrome, _ in op10.blocks(page) if not chrome]
+    assert kept("<p>a <svg width=1/> b</p><p>c</p>") == kept("<p>a <svg><path d=1/><title>x</title></svg> b</p><p>c</p>") == ["a b", "c"]
+    assert kept("<p>x <math><mi>y</mi><mspace/><mo>=</mo><annotation>tex</annotation></math> z</p><p>w") == ["x y= z", "w"]
+    assert kept('<form id=f><div class="page"><p>One</p><p>two</p></div></form><form><label>Mail</label></form>') == ["One", "two"]
+    assert kept("<html><head><title>t</title><body><p>no end of head") == ["no end of head"]
+    assert kept('<p title=a"b>x</p><p data-x=">">it\'s "q" <b>z</b></p>') == ["x", 'it\'s "q" z']
+    assert kept("<nav>menu<main><p>t</p></main>") == ["t"] and kept("a <3 b > c<p>d<!-- e") == ["a <3 b > c", "d"]
+    assert kept("<p>a<textarea>b<p>c<script>d") == ["ab", "c"]
