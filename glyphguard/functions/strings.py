@@ -2,17 +2,25 @@
 
 ``ratio`` is 100 * 2 * LCS / (|a| + |b|), rounded half to even. The longest common subsequence is
 counted in the bits of one long (a set bit of V for each place of the shorter text that is not
-matched yet); texts of over 62 code points on both sides go through an array table instead.
+matched yet, and a table of each character's places); texts of over 62 code points on both sides go
+through an array table instead. ``let`` evaluates what is used more than once a single time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BITS = 62
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lev_dist(a: Column, b: Column) -> Column:
     """Unit-cost edit distance in code points."""
     return F.levenshtein(a, b)
@@ -28,21 +36,32 @@ def _chars(x: Column) -> Column:
     return F.when(F.char_length(x) == 0, F.array().cast("array<string>")).otherwise(F.split(x, ""))
 
 
-def _lcs_bits(a: Column, b: Column) -> Column:
+def _places(chars: Column) -> Column:
+    """For each character of a text (an array of at most BITS), the bits of its places."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    ones = F.call_function("shiftleft", one, F.char_length(a)) - one
-    places = _chars(a)
 
-    def step(v: Column, c: Column) -> Column:
-        match = F.aggregate(
-            F.transform(places, lambda x, i: F.when(x == c, F.call_function("shiftleft", one, i)).otherwise(none)),
-            none,
-            lambda m, x: m.bitwiseOR(x),
-        )
-        return (v + v.bitwiseAND(match)).bitwiseOR(v.bitwiseAND(F.bitwise_not(match))).bitwiseAND(ones)
+    def bits(c: Column) -> Column:
+        return F.aggregate(F.transform(chars, lambda x, i: F.when(x == c, F.call_function("shiftleft", one, i)).otherwise(none)), none, lambda m, x: m.bitwiseOR(x))
+
+    return let(F.array_distinct(chars), lambda d: F.map_from_arrays(d, F.transform(d, bits)))
+
+
+def _lcs_bits(n: Column, places: Column, b: Column) -> Column:
+    """From the length and the places of one text and the other text."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def count(ones: Column) -> Column:
+        def step(v: Column, c: Column) -> Column:
+            met = v.bitwiseAND(F.coalesce(places[c], none))
+            return let(met, lambda x: (v + x).bitwiseOR(v - x).bitwiseAND(ones))
+
+        return F.bit_count(ones.bitwiseAND(F.bitwise_not(F.aggregate(_chars(b), ones, step))))
+
+    return let(F.call_function("shiftleft", one, n) - one, count)
+
 
-    left = F.aggregate(_chars(b), ones, step)
-    return F.bit_count(ones.bitwiseAND(F.bitwise_not(left)))
+def _lcs_one(a: Column, b: Column) -> Column:
+    return let(_places(_chars(a)), lambda places: _lcs_bits(F.char_length(a), places, b))
 
 
 def _lcs_table(a: Column, b: Column) -> Column:
@@ -64,13 +83,21 @@ def _lcs_table(a: Column, b: Column) -> Column:
 def lcs(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence, in code points."""
     la, lb = F.char_length(a), F.char_length(b)
-    return F.when(la <= F.least(lb, F.lit(BITS)), _lcs_bits(a, b)).when(lb <= BITS, _lcs_bits(b, a)).when(la <= BITS, _lcs_bits(a, b)).otherwise(_lcs_table(a, b))
+    return F.when(la <= F.least(lb, F.lit(BITS)), _lcs_one(a, b)).when(lb <= BITS, _lcs_one(b, a)).when(la <= BITS, _lcs_one(a, b)).otherwise(_lcs_table(a, b))
+
+
+def _percent(common: Column, both: Column) -> Column:
+    return F.bround(200.0 * common / both).cast("int")
 
 
 def ratio(a: Column, b: Column) -> Column:
     """0-100; 100 for equal texts (two empty ones too), else 0 when either is empty."""
-    both = F.char_length(a) + F.char_length(b)
-    return F.when(a == b, 100).when((F.char_length(a) == 0) | (F.char_length(b) == 0), 0).otherwise(F.bround(200.0 * lcs(a, b) / both).cast("int"))
+
+    def of(x: Column, y: Column) -> Column:
+        lx, ly = F.char_length(x), F.char_length(y)
+        return F.when(x == y, 100).when((lx == 0) | (ly == 0), 0).otherwise(_percent(lcs(x, y), lx + ly))
+
+    return let(a, lambda x: let(b, lambda y: of(x, y)))
 
 
 def prepare(x: Column) -> Column:
@@ -90,29 +117,36 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return ratio(sorted_tokens(a), sorted_tokens(b))
 
 
-def token_set_parts(a: Column, b: Column) -> tuple[Column, Column, Column]:
-    """Shared tokens; these and a's rest; these and b's rest: each sorted and joined."""
-    ta, tb = F.array_distinct(_tokens(prepare(a))), F.array_distinct(_tokens(prepare(b)))
-    shared = F.array_join(F.array_sort(F.array_intersect(ta, tb)), " ")
-    with_rest = [F.trim(F.concat(shared, F.lit(" "), F.array_join(F.array_sort(F.array_except(x, y)), " "))) for x, y in ((ta, tb), (tb, ta))]
-    return shared, *with_rest
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """Best ratio among the shared tokens, these and a's rest, these and b's rest, each sorted and joined;
+    0 where a side has no tokens."""
+
+    def joined(x: Column) -> Column:
+        return F.array_join(F.array_sort(x), " ")
 
+    def of(ta: Column, tb: Column) -> Column:
+        def best(shared: Column) -> Column:
+            sides = [F.trim(F.concat(shared, F.lit(" "), joined(F.array_except(x, y)))) for x, y in ((ta, tb), (tb, ta))]
+            return let(sides[0], lambda sa: let(sides[1], lambda sb: F.greatest(ratio(shared, sa), ratio(shared, sb), ratio(sa, sb))))
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    shared, sa, sb = token_set_parts(a, b)
-    empty = (F.char_length(prepare(a)) == 0) | (F.char_length(prepare(b)) == 0)
-    return F.when(empty, 0).otherwise(F.greatest(ratio(shared, sa), ratio(shared, sb), ratio(sa, sb)))
+        return F.when((F.size(ta) == 0) | (F.size(tb) == 0), 0).otherwise(let(joined(F.array_intersect(ta, tb)), best))
+
+    return let(F.array_distinct(_tokens(prepare(a))), lambda ta: let(F.array_distinct(_tokens(prepare(b))), lambda tb: of(ta, tb)))
 
 
 def partial_ratio(a: Column, b: Column) -> Column:
     """Best ratio of the shorter text against every window of its length in the longer one; windows
-    are cut off at the end."""
+    are cut off at the end. The shorter text's places are found once for all windows."""
+
+    def of(short: Column, long: Column) -> Column:
+        n = F.char_length(short)
+        windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(long), F.lit(1))), lambda i: F.substr(long, i, n)))
+        by_bits = let(_places(_chars(short)), lambda places: F.array_max(F.transform(windows, lambda w: _percent(_lcs_bits(n, places, w), n + F.char_length(w)))))
+        return F.when(n == 0, 0).when(n <= BITS, by_bits).otherwise(F.array_max(F.transform(windows, lambda w: ratio(short, w))))
+
     first = F.char_length(a) <= F.char_length(b)
-    short, long = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
-    n = F.char_length(short)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(long), F.lit(1))), lambda i: F.substr(long, i, n))
-    best = F.array_max(F.transform(F.array_distinct(windows), lambda w: ratio(short, w)))
-    return F.when(a == b, 100).when(n == 0, 0).otherwise(best)
+    best = let(F.when(first, a).otherwise(b), lambda short: let(F.when(first, b).otherwise(a), lambda long: of(short, long)))
+    return F.when(a == b, 100).otherwise(best)
 
 
 #: Scorers by name, each giving a similarity from 0 to 1.

@@ -18,8 +18,14 @@ RANGES = 64
 def score_counts(scored: DataFrame, score: str = "similarity", label: str = "label", by: str | None = None) -> DataFrame:
     """(model, score, pos, neg) per distinct score; rows without score or label are left out."""
     model = F.col(by).cast("string") if by else F.lit("all")
-    rows = scored.select(model.alias("model"), F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("y"))
-    return rows.filter("score is not null and y is not null").groupBy("model", "score").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+    return _all_counts(scored.select(model.alias("model"), F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("y"))).filter("pos + neg > 0")
+
+
+def _all_counts(rows: DataFrame) -> DataFrame:
+    """As ``score_counts``, of (model, score, y), with no pos and neg where score or label is missing."""
+    y = F.when(F.col("score").isNotNull(), F.col("y"))
+    count = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return rows.groupBy("model", "score").agg(count(y).alias("pos"), count(1 - y).alias("neg"))
 
 
 def cumulative(counts: DataFrame) -> DataFrame:
@@ -61,14 +67,19 @@ def cumulative(counts: DataFrame) -> DataFrame:
     )
 
 
+def _stays() -> Column:
+    """Whether a point of ``cumulative`` is no intermediate one."""
+    same = (F.col("next.pos") == F.col("pos")) & (F.col("next.neg") == F.col("neg"))
+    return F.col("is_first") | F.col("next").isNull() | ~same
+
+
 def roc_points(counts: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     """(model, threshold, tp, fp, pos, neg, positives, negatives) in thresholds' terms; threshold
     infinity, where nothing is predicted, comes first. ``drop_intermediate`` leaves out points whose
     steps before and after are equal; the first and the last score stay."""
     points = cumulative(counts)
     if drop_intermediate:
-        same = (F.col("next.pos") == F.col("pos")) & (F.col("next.neg") == F.col("neg"))
-        points = points.filter(F.col("is_first") | F.col("next").isNull() | ~same)
+        points = points.filter(_stays())
     kept = ["tp", "fp", "pos", "neg", "positives", "negatives"]
     start = counts.groupBy("model").agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     zero = F.lit(0).cast("long")
@@ -85,10 +96,20 @@ def roc_curve(points: DataFrame) -> DataFrame:
     return points.select("model", "threshold", "tp", "fp", F.try_divide("tp", "positives").alias("tpr"), F.try_divide("fp", "negatives").alias("fpr"))
 
 
+def _area() -> Column:
+    """Twice the area that a point adds under the curve of counts."""
+    return F.col("neg").cast("decimal(18,0)") * (2 * F.col("tp") - F.col("pos")).cast("decimal(19,0)")
+
+
+def _gain() -> Column:
+    """tpr - fpr of a point times positives and negatives."""
+    return (F.col("tp") * F.col("negatives")).cast("decimal(38,0)") - (F.col("fp") * F.col("positives")).cast("decimal(38,0)")
+
+
 def roc_auc(counts: DataFrame) -> DataFrame:
     """(model, positives, negatives, roc_auc); null with a single class. Sums are decimals: they reach
     the square of the row count."""
-    step = F.col("neg").cast("decimal(18,0)") * (2 * F.col("tp") - F.col("pos")).cast("decimal(19,0)")
+    step = _area()
     twice = (F.first("positives").cast("decimal(18,0)") * F.first("negatives").cast("decimal(18,0)") * 2).cast("double")
     sums = cumulative(counts).groupBy("model").agg(F.first("positives").alias("positives"), F.first("negatives").alias("negatives"), F.sum(step).cast("double").alias("area"), twice.alias("twice"))
     return sums.select("model", "positives", "negatives", F.try_divide("area", "twice").alias("roc_auc"))
@@ -96,7 +117,7 @@ def roc_auc(counts: DataFrame) -> DataFrame:
 
 def youden_threshold(points: DataFrame) -> DataFrame:
     """(model, threshold, youden): the highest threshold at which tpr - fpr is greatest."""
-    gain = (F.col("tp") * F.col("negatives")).cast("decimal(38,0)") - (F.col("fp") * F.col("positives")).cast("decimal(38,0)")
+    gain = _gain()
     best = points.groupBy("model").agg(
         F.max_by(F.struct("threshold", "tp", "fp", "positives", "negatives"), F.struct(gain, "threshold")).alias("b")
     )
@@ -146,18 +167,40 @@ def metrics(cells: DataFrame) -> DataFrame:
 def evaluate(scored: DataFrame, score: str = "similarity", label: str = "label", by: str | None = None, strict: bool = True, drop_intermediate: bool = True) -> DataFrame:
     """One row a model: threshold (Youden), accuracy, precision, recall, f1_score there, roc_auc,
     best_accuracy and its threshold. All models in one job; a model without both classes or without
-    scores gets status ERROR and null metrics instead of failing the rest."""
+    scores gets status ERROR and null metrics instead of failing the rest.
+
+    Scores are counted once; the cumulative counts hold all the rest, the confusion cells at the chosen
+    threshold included, so the rows are not looked at again.
+    """
     model = F.col(by).cast("string") if by else F.lit("all")
-    every = scored.select(model.alias("model"), F.col(score).cast("double").alias("_score"), F.col(label).cast("int").alias("_y"))
-    counts = score_counts(every, "_score", "_y", "model")
-    points = roc_points(counts, drop_intermediate)
-    chosen = youden_threshold(points)
+    every = _all_counts(scored.select(model.alias("model"), F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("y")))
+    kept = _stays() if drop_intermediate else F.lit(True)
+    # With ">", a threshold's own rows count as negative.
+    right = F.col("tp") - F.col("pos") + F.col("negatives") - (F.col("fp") - F.col("neg"))
+    found = cumulative(every.filter("pos + neg > 0")).groupBy("model").agg(
+        F.sum(_area()).cast("double").alias("area"),
+        F.max(F.when(kept, F.struct(_gain().alias("gain"), "score", "tp", "fp", "pos", "neg"))).alias("youden"),
+        F.max(F.when(kept, F.struct(right.alias("right"), "score"))).alias("best"),
+    )
+    totals = every.groupBy("model").agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     # One row a model.
-    rows = every.join(F.broadcast(chosen.select("model", "threshold")), "model")
-    hit = F.col("_score") > F.col("threshold") if strict else F.col("_score") >= F.col("threshold")
-    found = metrics(confusion(rows, hit.cast("int"), "_y", ["model"]))
-    best = best_accuracy_threshold(points).select("model", F.col("threshold").alias("best_accuracy_threshold"), F.col("accuracy").alias("best_accuracy"))
-    out = every.select("model").distinct().join(found, "model", "left").join(chosen, "model", "left").join(roc_auc(counts).select("model", "roc_auc"), "model", "left").join(best, "model", "left")
+    out = totals.join(F.broadcast(found), "model", "left")
+    c, infinite = F.col, F.lit(float("inf"))
+    # The first point of a curve, at infinity, where nothing is predicted, wins ties.
+    some, better = c("youden.gain") > 0, c("best.right") > c("negatives")
+    tp, fp = c("youden.tp"), c("youden.fp")
+    cells = {"tp": tp - c("youden.pos") if strict else tp, "fp": fp - c("youden.neg") if strict else fp}
+    out = out.withColumns({k: F.when(some, v).otherwise(0) for k, v in cells.items()} | {"threshold": F.when(some, c("youden.score")).otherwise(infinite)})
+    out = metrics(out.withColumns({"tn": c("negatives") - c("fp"), "fn": c("positives") - c("tp")}))
+    twice = (c("positives").cast("decimal(18,0)") * c("negatives").cast("decimal(18,0)") * 2).cast("double")
+    most = F.greatest(c("best.right"), c("negatives"))
+    out = out.withColumns(
+        {
+            "roc_auc": F.try_divide("area", twice),
+            "best_accuracy": F.try_divide(most, c("positives") + c("negatives")),
+            "best_accuracy_threshold": F.when(most == 0, 0.0).when(better, c("best.score")).otherwise(infinite),
+        }
+    )
     good = F.col("roc_auc").isNotNull()
     return out.select(
         "model",

@@ -9,7 +9,8 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, contrastive_loss, unit_distance
@@ -153,20 +154,27 @@ def gradient_sums(pairs: DataFrame, head: Head, margin: float) -> tuple[float, i
 
 def train_head(train: DataFrame, valid: DataFrame, head: Head, epochs: int = 3, batches: int = 4, margin: float = 1.0, optimiser: Optimiser | None = None) -> tuple[Head, list[tuple[int, float, float]]]:
     """Epochs of mini-batch steps. A batch is a hash class of pair_id, new every epoch: the same rows
-    however the table is partitioned. Returns the head and (epoch, train loss, validation loss)."""
+    however the table is partitioned. Both tables are read once and kept by Spark, on disk where memory
+    is short, until training ends. Returns the head and (epoch, train loss, validation loss)."""
     optimiser = optimiser or Optimiser()
     head = Head(*[a.copy() for a in head.arrays()])
     history = []
-    for epoch in range(epochs):
-        loss = rows = 0
-        for b in range(batches):
-            part = train.filter(F.pmod(F.xxhash64("pair_id", F.lit(epoch)), F.lit(batches)) == b)
-            total, n, sums = gradient_sums(part, head, margin)
-            if n:
-                optimiser.step(head.arrays(), [g / n for g in sums])
-            loss, rows = loss + total, rows + n
-        checked, n, _ = gradient_sums(valid, head, margin)
-        history.append((epoch, loss / max(rows, 1), checked / max(n, 1)))
+    train = train.select("pair_id", "fraud_emb", "real_emb", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    valid = valid.select("fraud_emb", "real_emb", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for epoch in range(epochs):
+            loss = rows = 0
+            for b in range(batches):
+                part = train.filter(F.pmod(F.xxhash64("pair_id", F.lit(epoch)), F.lit(batches)) == b)
+                total, n, sums = gradient_sums(part, head, margin)
+                if n:
+                    optimiser.step(head.arrays(), [g / n for g in sums])
+                loss, rows = loss + total, rows + n
+            checked, n, _ = gradient_sums(valid, head, margin)
+            history.append((epoch, loss / max(rows, 1), checked / max(n, 1)))
+    finally:
+        train.unpersist()
+        valid.unpersist()
     return head, history
 
 
@@ -185,17 +193,21 @@ def random_trials(n: int, seed: int = 42) -> list[Trial]:
     """Seeded configurations: log-uniform rates, categorical sizes and optimisers, uniform margin."""
     rng = random.Random(seed)
     log = lambda low, high: math.exp(rng.uniform(math.log(low), math.log(high)))
-    return [Trial(k, log(1e-4, 1e-2), rng.choice([2, 4]), rng.choice([16, 32, 64]), rng.choice(["adam", "adamw", "sgd"]), log(1e-6, 1e-3), rng.uniform(0.5, 1.5)) for k in range(n)]
+    return [Trial(k, log(1e-5, 1e-2), rng.choice([2, 4]), rng.choice([64, 128, 256, 512]), rng.choice(["adam", "adamw", "sgd"]), log(1e-6, 1e-3), rng.uniform(0.1, 2.0)) for k in range(n)]
 
 
 def sweep(train: DataFrame, test: DataFrame, dim: int, n_trials: int = 4, epochs: int = 2, seed: int = 42) -> DataFrame:
-    """One row a trial: its settings, test_auc and test_accuracy of the head it trained."""
+    """One row a trial: its settings, test_auc and test_accuracy of the head it trained. A trial that
+    fails is a row with its error and no scores; the others go on."""
     spark, rows = train.sparkSession, []
     for t in random_trials(n_trials, seed):
-        head, _ = train_head(train, test, Head.random(dim, t.hidden, t.hidden, seed), epochs, t.batches, t.margin, Optimiser(t.optimizer, t.lr, t.weight_decay))
-        found = evaluate(score_with_head(test, head)).first()
-        rows.append((*asdict(t).values(), found.roc_auc, found.accuracy))
-    return spark.createDataFrame(rows, "trial_number int, lr double, batches int, hidden int, optimizer string, weight_decay double, margin double, test_auc double, test_accuracy double")
+        try:
+            head, _ = train_head(train, test, Head.random(dim, t.hidden, t.hidden, seed), epochs, t.batches, t.margin, Optimiser(t.optimizer, t.lr, t.weight_decay))
+            found = evaluate(score_with_head(test, head)).first()
+            rows.append((*asdict(t).values(), found.roc_auc, found.accuracy, None))
+        except Exception as e:
+            rows.append((*asdict(t).values(), None, None, f"{type(e).__name__}: {e}"[:500]))
+    return spark.createDataFrame(rows, "trial_number int, lr double, batches int, hidden int, optimizer string, weight_decay double, margin double, test_auc double, test_accuracy double, error string")
 
 
 FEATURES = ("similarity", "token_set_ratio", "lev_dist")
@@ -245,6 +257,14 @@ def ensemble_pipeline(train: DataFrame, test: DataFrame, path: str, run_stamp: s
     return model, report
 
 
+def epoch_losses(losses: DataFrame) -> DataFrame:
+    """(epoch, mean_loss, best_loss) of a table of losses (epoch, loss): the mean of each epoch and the
+    least up to it. One row an epoch goes through the window."""
+    means = losses.groupBy("epoch").agg(F.avg("loss").alias("mean_loss"))
+    upto = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
+    return means.withColumn("best_loss", F.min("mean_loss").over(upto))
+
+
 def best_losses(history: list[tuple[int, float, float]]) -> list[tuple[int, float, float, float]]:
     """(epoch, train loss, validation loss, best train loss so far)."""
     out, best = [], math.inf

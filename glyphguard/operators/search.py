@@ -18,7 +18,9 @@ def query_blocks(queries: DataFrame, key: str, rows: int = BLOCK_ROWS) -> list[D
 
 
 def _against(queries: DataFrame, refs: DataFrame, key: str) -> DataFrame:
-    """Every query beside every reference, a broadcast block of queries at a time."""
+    """Every query beside every reference, a broadcast block of queries at a time. References are dealt
+    evenly first: beside each stand all queries, so a few files would be a few long tasks."""
+    refs = refs.repartition(refs.sparkSession.sparkContext.defaultParallelism)
     out = None
     for block in query_blocks(queries, key):
         part = refs.crossJoin(F.broadcast(block))
@@ -99,6 +101,11 @@ def tfidf(names: DataFrame, idf: DataFrame, key: str, name: str) -> DataFrame:
     return raw.join(norms, key).select(key, "gram", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
+def neighbours(refs: DataFrame, percent: int = 5) -> int:
+    """How many candidates to take: a share of the references, 1 at least."""
+    return max(1, refs.count() * percent // 100)
+
+
 def tfidf_topk(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """(query_id, ref_id, cosine, rank): the k references nearest by n-gram cosine, by an inverted-index
     join on the gram and a sum; similarity 0 is no candidate; smaller ref_id wins ties. The join

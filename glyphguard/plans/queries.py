@@ -12,6 +12,7 @@ from ..operators import evaluate as ev
 from ..operators import hooks, learn, search
 from ..operators import tables as ops
 from ..sources import tables as src
+from ..sources.scratch import new_path
 from . import sql
 from .views import CUSTOMER_QUERIES, LINE_SCORES, NAME_PAIRS, PART_REFS, VEC_PAIRS, customer_queries, line_scores, name_pairs, part_refs, spoof, table, vec_pairs
 
@@ -50,6 +51,29 @@ def read_pairs(spark, sf_dir):
     return src.require_columns(src.typed_pairs(name_pairs(spark, sf_dir)))
 
 
+@query(f"WITH {NAME_PAIRS} SELECT fraudulent_name, real_name, label FROM name_pairs")
+def load_pairs(spark, sf_dir):
+    """Pairs under their old names, saved as CSV and loaded by suffix, renamed and cast."""
+    path = new_path(spark, "pairs.csv")
+    old = name_pairs(spark, sf_dir).select(F.col("fraudulent_name").alias("name1"), F.col("real_name").alias("name2"), "label")
+    src.save_table(old, path)
+    return src.typed_pairs(src.canonical_columns(src.load_table(spark, path)))
+
+
+@query("SELECT vec_id AS name, label AS fraud_label, embedding[1]::DOUBLE AS fraud_emb_0 FROM embeddings")
+def renamed_columns(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("embedding_0"))
+    return src.rename_columns(e, {0: "name", 1: "fraud_label"}, {"embedding_": "fraud_emb_"})
+
+
+@query(f"WITH {NAME_PAIRS} SELECT * FROM name_pairs")
+def concat_chunks(spark, sf_dir):
+    """Chunks of one table with their columns in different orders."""
+    pairs = name_pairs(spark, sf_dir)
+    chunks = [pairs.filter(F.col("pair_id") % 3 == k) for k in range(3)]
+    return src.concat_tables(chunks[0], chunks[1].select(*reversed(pairs.columns)), chunks[2])
+
+
 @query(f"WITH {NAME_PAIRS} SELECT * FROM name_pairs ORDER BY pair_id LIMIT 100")
 def first_n_pairs(spark, sf_dir):
     return src.first_rows(name_pairs(spark, sf_dir), 100)
@@ -206,6 +230,14 @@ def _string_query(name, scorer, text):
     query(text)(run)
 
 
+@query(sql.scorers_query(NAME_PAIRS))
+def named_scorers(spark, sf_dir):
+    """Every scorer of the registry, by its name."""
+    a, b = F.col("fraudulent_name"), F.col("real_name")
+    scored = distinct_pairs(spark, sf_dir).select(a, b, *[r6(strings.scorer(k)(a, b)).cast("double").alias(k) for k in strings.SCORERS])
+    return scored.unpivot(["fraudulent_name", "real_name"], list(strings.SCORERS), "scorer", "score")
+
+
 _string_query("indel_ratio", strings.ratio, sql.ratio_query(NAME_PAIRS))
 _string_query("token_sort_ratio", strings.token_sort_ratio, sql.token_sort_query(NAME_PAIRS))
 _string_query("token_set_ratio", strings.token_set_ratio, sql.token_set_query(NAME_PAIRS))
@@ -261,12 +293,29 @@ def score_with_head(spark, sf_dir):
     return rounded(learn.score_with_head(vec_pairs(spark, sf_dir), learn.Head.fixed(*HEAD)).select("pair_id", "similarity"))
 
 
+@query(SQL["project_head"])
+def saved_head(spark, sf_dir):
+    """As ``project_head``, by weights that were saved and loaded."""
+    path = new_path(spark, "head")
+    learn.Head.fixed(*HEAD).save(spark, path)
+    out = learn.project_head(table(spark, sf_dir, "embeddings"), learn.Head.load(spark, path), "embedding", "projected")
+    return out.select("vec_id", F.transform("projected", r6).alias("projected"))
+
+
 @query(f"""WITH {VEC_PAIRS}, d AS (SELECT label, sqrt(greatest(2 - 2 * list_cosine_similarity(fraud_emb, real_emb), 0)) AS d FROM vec_pairs)
 SELECT count(*) AS n_pairs, round(avg(label * d * d + (1 - label) * greatest(1.0 - d, 0) * greatest(1.0 - d, 0)), 6) AS mean_loss FROM d""")
 def pair_loss(spark, sf_dir):
     return rounded(vec_pairs(spark, sf_dir).select(learn.pair_losses().alias("l")).agg(F.count("*").alias("n_pairs"), F.avg("l").alias("mean_loss")))
 
 
+@query(f"""WITH {VEC_PAIRS}, d AS (SELECT pair_id % 5 AS epoch, label, sqrt(greatest(2 - 2 * list_cosine_similarity(fraud_emb, real_emb), 0)) AS d FROM vec_pairs),
+m AS (SELECT epoch, avg(label * d * d + (1 - label) * greatest(1.0 - d, 0) * greatest(1.0 - d, 0)) AS mean_loss FROM d GROUP BY epoch)
+SELECT epoch, round(mean_loss, 6) AS mean_loss, round(min(mean_loss) OVER (ORDER BY epoch), 6) AS best_loss FROM m""")
+def epoch_losses(spark, sf_dir):
+    losses = vec_pairs(spark, sf_dir).select((F.col("pair_id") % 5).alias("epoch"), learn.pair_losses().alias("loss"))
+    return rounded(learn.epoch_losses(losses))
+
+
 # Evaluation
 
 
@@ -332,6 +381,14 @@ def name_pair_metrics(spark, sf_dir):
     return rounded(ev.evaluate(scored_names(spark, sf_dir)))
 
 
+@query(sql.evaluate_query(f"{NAME_PAIRS}, scored AS (SELECT 'all' AS model, {sql.LEV_SIM} AS score, label FROM name_pairs)").replace("SELECT c.model,", "SELECT 'r1' AS run, c.model,"))
+def saved_metrics(spark, sf_dir):
+    """The flagship's metrics, written as JSON with the run's stamp and read again."""
+    path, found = new_path(spark, "metrics"), name_pair_metrics(spark, sf_dir)
+    src.write_metrics(found, path, "r1")
+    return spark.read.schema(f"run string, {', '.join(f'{c} {t}' for c, t in found.dtypes)}").json(path)
+
+
 @query(sql.sweep_query(f"{LINE_SCORES}", [10, 30, 50, 60, 70, 80, 90], "quantity * 2"))
 def threshold_sweep(spark, sf_dir):
     scored = line_scores(spark, sf_dir).withColumn("percent", F.col("quantity") * 2)
@@ -351,6 +408,14 @@ def trial_leaderboard(spark, sf_dir):
     return ops.trial_leaderboard(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "event_id", "value", "user_id")
 
 
+@query(SQL["trial_leaderboard"])
+def saved_trials(spark, sf_dir):
+    """The leaderboard, written as CSV and loaded again."""
+    path, found = new_path(spark, "trials.csv"), trial_leaderboard(spark, sf_dir)
+    src.write_trials(found, path)
+    return src.load_table(spark, path, found.schema)
+
+
 # Search
 
 
@@ -371,26 +436,34 @@ def nearest_name_blocked(spark, sf_dir):
 
 @query(f"""WITH {PART_REFS}, {sql.TFIDF}, {sql.TFIDF_TOP} SELECT query_id, ref_id, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM top""")
 def tfidf_topk(spark, sf_dir):
-    return rounded(search.tfidf_topk(*part_refs(spark, sf_dir), k=3))
+    queries, refs = part_refs(spark, sf_dir)
+    return rounded(search.tfidf_topk(queries, refs, search.neighbours(refs)))
 
 
-@query(f"""WITH {PART_REFS}, {sql.TFIDF}, {sql.TFIDF_TOP}, s AS (
+BEST_CANDIDATE = f"""{PART_REFS}, {sql.TFIDF}, {sql.TFIDF_TOP}, s AS (
   SELECT query_id, query_name, ref_name, rank, 1.0::DOUBLE - levenshtein(query_name, ref_name)::DOUBLE / greatest(length(query_name), length(ref_name)) AS sim
-  FROM top JOIN queries USING (query_id) JOIN refs USING (ref_id))
-SELECT query_id, query_name, arg_max(ref_name, (sim, -rank)) AS best_real_name, round(max(sim), 6) AS lev_similarity FROM s GROUP BY query_id, query_name""")
-def rerank_candidates(spark, sf_dir):
+  FROM top JOIN queries USING (query_id) JOIN refs USING (ref_id)),
+best AS (SELECT query_id, query_name, arg_max(ref_name, (sim, -rank)) AS best_real_name, max(sim) AS lev_similarity FROM s GROUP BY query_id, query_name)"""
+
+
+def best_candidates(spark, sf_dir) -> DataFrame:
     queries, refs = part_refs(spark, sf_dir)
-    return rounded(search.rerank_candidates(search.tfidf_topk(queries, refs, 3), queries, refs))
+    return search.rerank_candidates(search.tfidf_topk(queries, refs, search.neighbours(refs)), queries, refs)
+
+
+@query(f"WITH {BEST_CANDIDATE} SELECT query_id, query_name, best_real_name, round(lev_similarity, 6) AS lev_similarity FROM best")
+def rerank_candidates(spark, sf_dir):
+    return rounded(best_candidates(spark, sf_dir))
 
 
 def _matches(spark, sf_dir) -> DataFrame:
-    queries, refs = part_refs(spark, sf_dir)
-    best = search.nearest_name_exact(queries, refs)
+    """Every fraudulent name's best candidate beside the name it stands for."""
+    best = best_candidates(spark, sf_dir)
     actual = name_pairs(spark, sf_dir).filter("label = 1").select(F.col("fraudulent_name").alias("query_name"), F.col("real_name").alias("actual_real_name")).distinct()
     return best.join(actual, "query_name").select("query_name", "actual_real_name", "best_real_name", r6("lev_similarity").alias("lev_similarity"), names.decision(F.col("lev_similarity")).alias("decision"))
 
 
-MATCHES = f"""{BEST_PART}, actual AS (SELECT DISTINCT fraudulent_name AS query_name, real_name AS actual_real_name FROM name_pairs WHERE label = 1),
+MATCHES = f"""{BEST_CANDIDATE}, actual AS (SELECT DISTINCT fraudulent_name AS query_name, real_name AS actual_real_name FROM name_pairs WHERE label = 1),
 matches AS (SELECT query_name, actual_real_name, best_real_name, round(lev_similarity, 6) AS lev_similarity,
   CASE WHEN lev_similarity >= 0.9 THEN 'block' WHEN lev_similarity >= 0.8 THEN 'review' ELSE 'allow' END AS decision FROM best JOIN actual USING (query_name))"""
 
@@ -415,6 +488,21 @@ def vector_topk(spark, sf_dir):
     return rounded(search.vector_topk(queries, e.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref_vec")), 10))
 
 
+@query()
+def vector_topk_lsh(spark, sf_dir):
+    """``vector_topk`` by random-projection buckets; tests measure its recall against the exact one."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return rounded(search.vector_topk_lsh(queries, e.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref_vec")), 10, radius=2.0, tables=12))
+
+
+@query()
+def minhash_topk(spark, sf_dir):
+    """Candidates by MinHash of n-gram sets; tests measure their recall against the exact order."""
+    queries, refs = part_refs(spark, sf_dir)
+    return rounded(search.minhash_topk(queries, refs, search.neighbours(refs), distance=0.95, tables=32))
+
+
 @query(sql.lookup_query(PART_REFS))
 def fuzzy_lookup(spark, sf_dir):
     queries, _ = part_refs(spark, sf_dir)
@@ -445,12 +533,16 @@ def extracted_text_similarity(spark, sf_dir):
     return both.select("fraudulent_name", "real_name", "extracted", strings.token_set_ratio(F.lower("extracted"), F.lower("real_name")).cast("int").alias("score"))
 
 
+def held_out(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Four fifths of the pairs, and the other fifth, by hash of their ids."""
+    held = F.pmod(F.xxhash64("pair_id"), F.lit(5)) == 0
+    return pairs.filter(~held), pairs.filter(held)
+
+
 @query()
 def train_head(spark, sf_dir):
     pairs = vec_pairs(spark, sf_dir)
-    held = F.pmod(F.xxhash64("pair_id"), F.lit(5)) == 0
-    head = learn.Head.random(64, 32, 16)
-    trained, history = learn.train_head(pairs.filter(~held), pairs.filter(held), head, epochs=2, batches=2, optimiser=learn.Optimiser("adamw", 0.01, 1e-4))
+    trained, history = learn.train_head(*held_out(pairs), learn.Head.random(64, 256, 128), epochs=5, batches=4, optimiser=learn.Optimiser("adamw", 0.01, 1e-4))
     losses = spark.createDataFrame(learn.best_losses(history), "epoch int, train_loss double, valid_loss double, best_train_loss double")
     report = ev.evaluate(learn.score_with_head(pairs, trained)).first()
     return rounded(losses.withColumns({"roc_auc": F.lit(report.roc_auc), "accuracy": F.lit(report.accuracy)}))
@@ -458,16 +550,30 @@ def train_head(spark, sf_dir):
 
 @query()
 def hyperparameter_sweep(spark, sf_dir):
-    pairs = vec_pairs(spark, sf_dir)
-    held = F.pmod(F.xxhash64("pair_id"), F.lit(5)) == 0
-    trials = learn.sweep(pairs.filter(~held), pairs.filter(held), 64, n_trials=2, epochs=1)
+    trials = learn.sweep(*held_out(vec_pairs(spark, sf_dir)), 64)
     return rounded(ops.trial_leaderboard(trials))
 
 
+def ensemble_rows(spark, sf_dir) -> DataFrame:
+    """Name pairs with the cosine of their encoded names."""
+    rows = hooks.embed_names(name_pairs(spark, sf_dir), hooks.HashedNgramEncoder)
+    return rows.select("pair_id", "fraudulent_name", "real_name", "label", vectors.cosine(F.col("fraud_emb"), F.col("real_emb")).alias("similarity"))
+
+
 @query()
 def ensemble(spark, sf_dir):
-    rows = strings.string_features(hooks.embed_names(name_pairs(spark, sf_dir), hooks.HashedNgramEncoder)).withColumn("similarity", vectors.cosine(F.col("fraud_emb"), F.col("real_emb")))
-    rows = rows.select("pair_id", "label", *learn.FEATURES).cache()
-    held = F.pmod(F.xxhash64("pair_id"), F.lit(5)) == 0
-    model = learn.fit_ensemble(rows.filter(~held), trees=20)
-    return rounded(learn.ensemble_report(model, rows.filter(held)))
+    rows = strings.string_features(ensemble_rows(spark, sf_dir)).select("pair_id", "label", *learn.FEATURES)
+    train, test = held_out(rows)
+    return rounded(learn.ensemble_report(learn.fit_ensemble(train), test))
+
+
+@query()
+def ensemble_pipeline(spark, sf_dir):
+    """Features, fit, evaluation and saving in one; the saved model scores the held-out pairs."""
+    from pyspark.ml import PipelineModel
+
+    path = new_path(spark, "ensemble")
+    train, test = held_out(ensemble_rows(spark, sf_dir))
+    learn.ensemble_pipeline(train, test, path, "r1")
+    scored = learn.score_ensemble(PipelineModel.load(f"{path}/model"), strings.string_features(test))
+    return rounded(scored.select("pair_id", "label", "ensemble_score", F.col("prediction").cast("int").alias("predicted_label")))

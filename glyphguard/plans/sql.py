@@ -118,8 +118,8 @@ def partial_query(names: str) -> str:
     return f"WITH RECURSIVE {names}, {PAIRS}, {WINDOWS}, need AS (SELECT DISTINCT a, b FROM windows), {RATIOS} SELECT x AS fraudulent_name, y AS real_name, max(score) AS score FROM windows JOIN rat USING (a, b) GROUP BY x, y"
 
 
-def _features(names: str) -> str:
-    return f"""WITH RECURSIVE {names}, {PAIRS}, {SORTS}, {SETS}, {WINDOWS}, need AS (SELECT a, b FROM sorts UNION SELECT a, b FROM set_need UNION SELECT a, b FROM windows), {RATIOS}, {SET_SCORES},
+def _features(names: str, more: str = "") -> str:
+    return f"""WITH RECURSIVE {names}, {PAIRS}, {SORTS}, {SETS}, {WINDOWS}, need AS (SELECT a, b FROM sorts UNION SELECT a, b FROM set_need UNION SELECT a, b FROM windows{more}), {RATIOS}, {SET_SCORES},
 best AS (SELECT x, y, max(score) AS score FROM windows JOIN rat USING (a, b) GROUP BY x, y),
 feats AS (SELECT x AS fraudulent_name, y AS real_name, CAST(levenshtein(x, y) AS INTEGER) AS lev_dist, round(t.score / 100.0::DOUBLE, 6) AS token_set_ratio, round(w.score / 100.0::DOUBLE, 6) AS partial_ratio,
   round(rat.score / 100.0::DOUBLE, 6) AS token_sort_ratio FROM sorts JOIN rat USING (a, b) JOIN set_scores t USING (x, y) JOIN best w USING (x, y))"""
@@ -129,6 +129,14 @@ def features_query(names: str) -> str:
     return f"{_features(names)} SELECT * FROM feats"
 
 
+def scorers_query(names: str) -> str:
+    rest = {"token-set": "token_set_ratio", "token-sort": "token_sort_ratio", "partial": "partial_ratio"}
+    parts = [f"SELECT fraudulent_name, real_name, '{k}' AS scorer, {c} AS score FROM feats" for k, c in rest.items()]
+    parts.append(f"SELECT fraudulent_name, real_name, 'levenshtein', round({LEV_SIM}, 6) FROM feats")
+    parts.append("SELECT a, b, 'ratio', round(score / 100.0::DOUBLE, 6) FROM rat JOIN pairs ON x = a AND y = b")
+    return f"{_features(names, ' UNION SELECT x, y FROM pairs')} {' UNION ALL '.join(parts)}"
+
+
 def feature_ranges_query(names: str) -> str:
     parts = [f"SELECT '{c}' AS feature, min({c})::DOUBLE AS least, max({c})::DOUBLE AS most FROM feats" for c in ("lev_dist", "token_set_ratio", "partial_ratio", "token_sort_ratio")]
     return f"{_features(names)} {' UNION ALL '.join(parts)}"
@@ -165,7 +173,7 @@ TFIDF = f"""rg AS ({_grams('refs', 'ref_id', 'ref_name')}), qg AS ({_grams('quer
 idf AS (SELECT gram, ln((1.0::DOUBLE + (SELECT count(*) FROM refs)) / (1.0::DOUBLE + count(DISTINCT ref_id))) + 1.0 AS idf FROM rg GROUP BY gram),
 q AS {_weights('qg', 'query_id')}, r AS {_weights('rg', 'ref_id')}"""
 TFIDF_TOP = """sc AS (SELECT query_id, ref_id, round(sum(q.weight * r.weight), 9) AS cosine FROM q JOIN r ON q.gram = r.gram GROUP BY query_id, ref_id),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, ref_id) AS rank FROM sc) WHERE rank <= 3)"""
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, ref_id) AS rank FROM sc) WHERE rank <= greatest(1, (SELECT count(*) FROM refs) * 5 // 100))"""
 
 
 # The projection head with weights by a rule
@@ -175,4 +183,4 @@ def head_ctes(dim: int, hidden: int, out: int, source: str, name: str) -> str:
     row = lambda j, m, k: f"list_transform(range({m}), lambda i: (({j} * 5 + i * 3 + {k}) % 7 - 3) / 8.0::DOUBLE)"
     first = f"list_transform(range({hidden}), lambda j: greatest(list_dot_product({row('j', dim, 0)}, x) + ((j * 5 + 1) % 7 - 3) / 8.0::DOUBLE, 0.0::DOUBLE))"
     second = f"list_transform(range({out}), lambda o: list_dot_product({row('o', hidden, 2)}, h) + ((o * 5 + 3) % 7 - 3) / 8.0::DOUBLE)"
-    return f"{name} AS (SELECT id, {second} AS v FROM (SELECT id, {first} AS h FROM ({source})))"
+    return f"{name} AS MATERIALIZED (SELECT id, {second} AS v FROM (SELECT id, {first} AS h FROM ({source})))"

@@ -72,6 +72,15 @@ def vectors_to_wide(df: DataFrame, column: str, dim: int, prefix: str) -> DataFr
     return df.select(*[c for c in df.columns if c != column], *[F.col(column)[i].alias(f"{prefix}{i}") for i in range(dim)])
 
 
+def rename_columns(df: DataFrame, by_place: dict[int, str] | None = None, by_prefix: dict[str, str] | None = None) -> DataFrame:
+    """Columns renamed by their place, or else by the first prefix of ``by_prefix`` that they begin with."""
+    names = []
+    for i, c in enumerate(df.columns):
+        prefix = next((p for p in by_prefix or {} if c.startswith(p)), "")
+        names.append((by_place or {}).get(i, (by_prefix or {}).get(prefix, "") + c[len(prefix) :]))
+    return df.toDF(*names)
+
+
 def concat_tables(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

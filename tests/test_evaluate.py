@@ -46,6 +46,13 @@ def test_against_plain_loops(spark, seed, values, parts):
         for name, f in (("accuracy", ev.best_accuracy_threshold), ("precision", ev.best_precision_threshold)):
             row = f(points).first()
             assert (row.threshold, row[name]) == pytest.approx(best[name])
+        for strict in (True, False):
+            row = ev.evaluate(df, strict=strict, drop_intermediate=drop).first()
+            hit = lambda s: s > youden if strict else s >= youden
+            assert row.roc_auc == pytest.approx(area) and row.threshold == (None if youden == float("inf") else youden)
+            assert row.accuracy == pytest.approx(sum(hit(s) == (y == 1) for s, y in rows) / len(rows))
+            assert row.recall == pytest.approx(sum(hit(s) and y for s, y in rows) / sum(y for _, y in rows))
+            assert (row.best_accuracy_threshold, row.best_accuracy) == (None if best["accuracy"][0] == float("inf") else best["accuracy"][0], pytest.approx(best["accuracy"][1]))
     assert ev.roc_auc(counts).first().roc_auc == pytest.approx(area)
     wins = sum((a > b) + (a == b) / 2 for a, y in rows for b, z in rows if y and not z)
     assert area == pytest.approx(wins / (sum(y for _, y in rows) * sum(1 - y for _, y in rows)))

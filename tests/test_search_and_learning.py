@@ -70,6 +70,42 @@ def test_minhash_recall(lists):
     assert np.mean([(q, q) in near for q in edited]) >= 0.9
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_registered_lsh_recall(spark):
+    from glyphguard.plans.queries import QUERIES
+
+    exact = {(r.query_id, r.ref_id) for r in QUERIES["vector_topk"](spark, SMALL).collect()}
+    near = {(r.query_id, r.ref_id) for r in QUERIES["vector_topk_lsh"](spark, SMALL).collect()}
+    assert exact and len(exact & near) / len(exact) >= 0.9
+
+
+def test_registered_minhash_recall(spark):
+    from glyphguard.plans.queries import QUERIES
+    from glyphguard.plans.views import part_refs
+
+    def grams(name):
+        name = name.lower()
+        return {name} | {name[i : i + n] for n in (3, 4, 5) for i in range(len(name) - n + 1)}
+
+    queries, refs = ({r[0]: grams(r[1]) for r in side.collect()} for side in part_refs(spark, SMALL))
+    k, want = search.neighbours(part_refs(spark, SMALL)[1]), set()
+    for q, a in queries.items():
+        best = sorted(((round(len(a & b) / len(a | b), 9), -r) for r, b in refs.items()), reverse=True)[:k]
+        want |= {(q, -r) for score, r in best if score > 0.1}
+    found = {(r.query_id, r.ref_id) for r in QUERIES["minhash_topk"](spark, SMALL).collect()}
+    assert want and len(want & found) / len(want) >= 0.9
+
+
+def test_a_failing_trial_is_an_error_row(separable, monkeypatch):
+    trials = learn.random_trials(2)
+    trials[0].optimizer = "rmsprop"
+    monkeypatch.setattr(learn, "random_trials", lambda n, seed: trials)
+    rows = learn.sweep(separable, separable, 6, n_trials=2, epochs=1).orderBy("trial_number").collect()
+    assert "rmsprop" in rows[0].error and rows[0].test_auc is None and rows[1].error is None and rows[1].test_auc > 0
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(1)
     head, x, y, label = learn.Head.random(5, 4, 3), rng.normal(size=(6, 5)), rng.normal(size=(6, 5)), np.array([1, 0, 1, 0, 0, 1.0])

@@ -32,6 +32,11 @@ def test_columns(spark):
     assert src.first_rows(df.withColumn("pair_id", F.lit(1)), None).count() == 1
 
 
+def test_renamed_by_place_and_prefix(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "id int, e_0 int, other int")
+    assert src.rename_columns(df, {0: "name"}, {"e_": "emb_"}).columns == ["name", "emb_0", "other"] and src.rename_columns(df).columns == df.columns
+
+
 def test_wide_vectors_by_name_and_position(spark):
     named = spark.createDataFrame([("a", "b", 1, 1.0, 2.0, 3.0, 4.0)], "x string, y string, label int, fraud_emb_0 float, fraud_emb_1 float, real_emb_0 float, real_emb_1 float")
     placed = named.toDF("x", "y", "label", "e0", "e1", "r0", "r1")
