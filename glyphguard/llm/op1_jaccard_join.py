@@ -230,7 +230,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     lead_rep = reps.select(F.col("doc_id").alias("lead"), F.col("rep").alias("b"))
     stars = shared.groupBy("doc_id", "lead").agg(F.count("*").alias("cells")).join(reps.withColumnRenamed("rep", "a"), "doc_id").join(lead_rep, "lead")
     stars = stars.filter("a <> b").groupBy("a", "b").agg(F.max("cells").alias("cells"))
-    near = stars.join(by_rep.select(F.col("rep").alias("a"), F.col("of").alias("p")), "a").join(by_rep.select(F.col("rep").alias("b"), F.col("of").alias("q")), "b").filter((3 * F.col("cells") >= _cells(F.col("p.n"), F.col("q.n"), percent)) & _close("p", "q", percent)).select("a", "b").distinct()
+    near = stars.join(by_rep.select(F.col("rep").alias("a"), F.col("of").alias("p")), "a").join(by_rep.select(F.col("rep").alias("b"), F.col("of").alias("q")), "b").filter((3 * F.col("cells") >= _cells(F.col("p.n"), F.col("q.n"), percent)) & _close("p", "q", percent)).select("a", "b")
     links = _verified(cut(near, "stars"), docs, words, percent)
     groups = components(links)
 

@@ -30,7 +30,7 @@ from .shingles import NOT_ALNUM, grams, words
 
 SLICE = 1 << 20
 #: Text bytes of test items at hand in one pass.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:

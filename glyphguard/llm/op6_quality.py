@@ -2,16 +2,21 @@
 over rounds each labels unlabelled documents it is sure of for the other; both are calibrated, and
 their combined odds score every document.
 
-Both are fitted on a bounded sample (documented parameters), chosen by hashes of ids so that it does
-not depend on partitions; only feature rows of the sample reach the driver. Scoring is a per-row
-function of fixed weights over all rows.
+A view has two parts. Its tables hold, for each class, in how many documents each hashed feature stands
+(words and word pairs of the text; source and language of the page): exact sums over all labelled
+documents and, from round to round, over all unlabelled ones that the other view is sure of. Its
+logistic regression weighs what the tables say of a document (for a text beside shape counts) and is
+fitted and calibrated on a bounded sample of labelled documents, a documented parameter, chosen by
+hashes of ids so that it does not depend on partitions; there, a document's own share is taken out of
+the tables. Features are computed once for training and kept as a table; sums are added up per task,
+then by Spark, and have a fixed number of rows. Scoring is a per-row function of fixed weights.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,30 +24,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
-
-LETTERS = re.compile(r"[^\W\d_]+")
-SOURCES, LANGS = 32, 8
-N_TEXT, N_META = 16, SOURCES + LANGS + 1
-
-
-def text_features(text: str) -> list[float]:
-    """Content features of a whole text."""
-    words = text.split()
-    n, chars = max(len(words), 1), max(len(text), 1)
+from .common import bounded_batches, cut, drop_cut, text_slices
+from .shingles import grams, words
+
+#: Slots of the hashed features: words and pairs, sources, languages.
+TEXT_BITS, SOURCES, LANGS = 13, 256, 64
+SLOTS = {"text": 1 << TEXT_BITS, "meta": SOURCES + LANGS}
+N_SHAPE = 16
+ASCII_LETTERS = bytes(i for i in range(128) if chr(i).isalpha())
+ASCII_UPPER, DIGITS, HIGH = bytes(range(65, 91)), bytes(range(48, 58)), bytes(range(128, 256))
+
+
+def shape(text: str) -> list[float]:
+    """How a whole text is made: lengths, and shares of letters, marks, repeats and line ends. Letters
+    are those of ASCII and all characters outside."""
+    raw = text.encode("utf-8", "replace")
+    size = len(raw)
+    count = lambda some: size - len(raw.translate(None, some))
+    found = text.split()
+    n, chars = max(len(found), 1), max(len(text), 1)
     lines = [x for x in text.split("\n") if x.strip()]
-    plain = "".join(LETTERS.findall(text))
-    letters = max(len(plain), 1)
-    counts = Counter(words)
-    repeats = sum(a == b for a, b in zip(words, words[1:]))
-    digits = sum(map(str.isdigit, text)) if any(map(str.isdigit, text)) else 0
-    bare = text.count("|") + text.count("#") + text.count("$") + text.count("%") + text.count("&") + text.count("*")
+    ascii_size = size - count(HIGH)
+    letters = count(ASCII_LETTERS) + len(text) - ascii_size
+    counts = Counter(found)
+    repeats = sum(map(str.__eq__, found, found[1:]))
+    bare = count(b"|#$%&*")
     return [
-        np.log1p(len(words)),
-        len(plain) / n / 10,
-        1 - len(plain) / max(chars - text.count(" ") - len(lines) + 1, 1),
-        sum(map(str.isupper, plain)) / letters,
-        digits / chars,
+        np.log1p(len(found)),
+        letters / n / 10,
+        1 - letters / max(chars - text.count(" ") - len(lines) + 1, 1),
+        count(ASCII_UPPER) / max(letters, 1),
+        count(DIGITS) / chars,
         min(1.0, bare / n),
         np.log1p(bare),
         text.count("|") / n,
@@ -57,15 +69,18 @@ def text_features(text: str) -> list[float]:
     ]
 
 
-def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
-    """Metadata features: source and language in hashed slots, and the length given for the page."""
-    out = [0.0] * N_META
-    if source is not None:
-        out[zlib.crc32(source.encode("utf-8", "replace")) % SOURCES] = 1.0
-    if lang is not None:
-        out[SOURCES + zlib.crc32(lang.encode("utf-8", "replace")) % LANGS] = 1.0
-    out[-1] = float(np.log1p(max(n_chars or 0, 0))) / 10
-    return out
+def text_slots(texts: pa.Array) -> list[np.ndarray]:
+    """Distinct hashed words and pairs of neighbouring words of each text."""
+    word, _, _, bounds = words(texts)
+    shift, pair = np.uint64(64 - TEXT_BITS), grams(word, 2)
+    one, two = (word >> shift).astype(np.uint16), (pair >> shift).astype(np.uint16)
+    return [np.unique(np.r_[one[a:b], two[a : max(a, b - 1)]]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+
+
+def meta_slots(sources: list[str | None], langs: list[str | None]) -> list[np.ndarray]:
+    """A slot for the source and one for the language of each page; null is a value of its own."""
+    place = lambda v, n: 0 if v is None else 1 + zlib.crc32(v.encode("utf-8", "replace")) % (n - 1)
+    return [np.array([place(s, SOURCES), SOURCES + place(g, LANGS)], np.uint16) for s, g in zip(sources, langs)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -112,88 +127,181 @@ class Logistic:
         return np.clip(self.slope * self.raw(x) + self.shift, -12, 12)
 
 
+class Tables:
+    """In how many documents of each class (bad, good) each slot of a view stands, and their numbers."""
+
+    def __init__(self, slots: int, counts: np.ndarray | None = None, n: np.ndarray | None = None):
+        self.counts = np.zeros((2, slots)) if counts is None else counts
+        self.n = np.zeros(2) if n is None else n
+
+    def __add__(self, other: Tables) -> Tables:
+        return Tables(self.counts.shape[1], self.counts + other.counts, self.n + other.n)
+
+    def add(self, slots: np.ndarray, y: int) -> None:
+        self.counts[y, slots] += 1
+        self.n[y] += 1
+
+    def evidence(self, slots: np.ndarray, own: float | None = None) -> np.ndarray:
+        """Log odds of each slot for good; of a document that is in the tables with class ``own``,
+        without its own share."""
+        counts, n = self.counts[:, slots], self.n
+        if own is not None:
+            mine = np.array([own == 0, own == 1], float)
+            counts, n = counts - mine[:, None], n - mine
+        rate = (counts + 0.5) / (n + 1)[:, None]
+        return np.log(rate[1] / rate[0])
+
+
+def inputs(view: str, tables: Tables, slots: list[np.ndarray], shapes: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """What a view's regression sees of documents: for pages the evidence of source and language, for
+    texts the mean, least and greatest evidence of their slots beside their shape."""
+    out = []
+    for k, some in enumerate(slots):
+        e = tables.evidence(some, None if own is None else own[k])
+        out.append(e if view == "meta" else [e.mean(), e.min(), e.max()] if len(e) else [0.0] * 3)
+    found = np.array(out, float).reshape(len(slots), 2 if view == "meta" else 3)
+    return found if view == "meta" else np.c_[shapes, found]
+
+
 @dataclass
 class CoTrained:
     """Two views; without two classes of labels, only the prior."""
 
     prior: float
-    text: Logistic | None = None
-    meta: Logistic | None = None
+    tables: dict[str, Tables] | None = None
+    models: dict[str, Logistic] | None = None
 
-    def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def odds(self, slots: dict[str, list[np.ndarray]], shapes: np.ndarray) -> dict[str, np.ndarray]:
+        return {v: m.odds(inputs(v, self.tables[v], slots[v], shapes)) for v, m in self.models.items()}
+
+    def score(self, slots: dict[str, list[np.ndarray]], shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of good quality: combined, by text, by metadata. Views are taken as independent
         given the class, so log odds add up, less the prior's that both contain."""
-        if self.text is None:
-            flat = np.full(len(text), self.prior)
+        if self.models is None:
+            flat = np.full(len(shapes), self.prior)
             return flat, flat, flat
+        odds = self.odds(slots, shapes)
         base = np.log(self.prior / (1 - self.prior))
-        a, b = self.text.odds(text), self.meta.odds(meta)
-        return sigmoid(a + b - base), sigmoid(a), sigmoid(b)
-
-
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, text_pool: np.ndarray, meta_pool: np.ndarray, rounds: int = 3, sure: float = 0.97) -> CoTrained:
-    """Labelled rows (a fifth is kept for calibration) and a pool of unlabelled ones. In each round a
-    view labels, for the other, pool rows on which its calibrated probability is ``sure`` either way."""
-    if not len(y) or len(set(y.tolist())) < 2:
-        return CoTrained(float((y.sum() + 1) / (len(y) + 2)))
-    held = np.arange(len(y)) % 5 == 0
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held = np.zeros(len(y), bool)
-    fit = ~held
-    check = held if held.any() else fit
-    views = [(text, text_pool), (meta, meta_pool)]
-    models: list[Logistic] = []
-    extra: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * 2
-    for turn in range(rounds + 1):
-        models = []
-        for (x, pool), (rows, labels) in zip(views, extra):
-            model = Logistic.fit(np.r_[x[fit], pool[rows]], np.r_[y[fit], labels])
-            model.calibrate(x[check], y[check])
-            models.append(model)
-        if turn == rounds:
-            break
-        given = []
-        for model, (_, pool) in zip(models, views):
-            p = sigmoid(model.odds(pool)) if len(pool) else np.empty(0)
-            rows = np.flatnonzero((p >= sure) | (p <= 1 - sure))
-            given.append((rows, (p[rows] > 0.5).astype(float)))
-        extra = given[::-1]
-    return CoTrained(float(np.clip(y.mean(), 0.001, 0.999)), *models)
-
-
-def features(docs: DataFrame, *kept: str) -> DataFrame:
-    """``kept`` columns and the two views' features of each row."""
-
-    @F.arrow_udf("struct<text:array<double>,meta:array<double>>")
-    def both(texts: pa.Array, sources: pa.Array, langs: pa.Array, chars: pa.Array) -> pa.Array:
-        text = [text_features(t.as_py() or "") for t in texts]
-        meta = [meta_features(*(v.as_py() for v in row)) for row in zip(sources, langs, chars)]
-        return pa.StructArray.from_arrays([pa.array(text, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.float64()))], ["text", "meta"])
-
-    return bounded_batches(docs).select(*kept, both("text", *_metadata(docs)).alias("view"))
+        return sigmoid(odds["text"] + odds["meta"] - base), sigmoid(odds["text"]), sigmoid(odds["meta"])
+
+
+@dataclass
+class Sample:
+    """Labelled documents for the regressions; a fifth is kept for calibration."""
+
+    slots: dict[str, list[np.ndarray]]
+    shapes: np.ndarray
+    y: np.ndarray
+
+    def fit(self, tables: dict[str, Tables]) -> CoTrained:
+        y = self.y
+        if not len(y) or len(set(y.tolist())) < 2:
+            return CoTrained(float((y.sum() + 1) / (len(y) + 2)))
+        held = np.arange(len(y)) % 5 == 0
+        if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
+            held = np.zeros(len(y), bool)
+        check = held if held.any() else ~held
+        models = {}
+        for view, some in tables.items():
+            x = inputs(view, some, self.slots[view], self.shapes, y)
+            models[view] = Logistic.fit(x[~held], y[~held])
+            models[view].calibrate(x[check], y[check])
+        return CoTrained(float(np.clip(y.mean(), 0.001, 0.999)), tables, models)
+
+
+COLUMNS = "doc_id long, shape array<double>, text binary, meta binary"
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id, shape, and the slots of both views (16-bit numbers) of each row."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_slices(whole, "text"):
+                texts = batch.column("text")
+                meta = meta_slots(batch.column("source").to_pylist(), batch.column("lang").to_pylist())
+                columns = [
+                    batch.column("doc_id"),
+                    pa.array([shape(t.as_py() or "") for t in texts], pa.list_(pa.float64())),
+                    pa.array([x.tobytes() for x in text_slots(texts)], pa.binary()),
+                    pa.array([x.tobytes() for x in meta], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shape", "text", "meta"])
+
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_metadata(docs)).mapInArrow(read, COLUMNS)
 
 
 def _metadata(docs: DataFrame) -> list:
     have = set(docs.columns)
-    return [F.col(c).cast(kind) if c in have else F.lit(None).cast(kind) for c, kind in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]
+    return [(F.col(c).cast("string") if c in have else F.lit(None).cast("string")).alias(c) for c in ("source", "lang")]
+
+
+def _unpacked(batch) -> tuple[dict[str, list[np.ndarray]], np.ndarray]:
+    """Slots of both views and shapes of a batch or table of feature rows."""
+    slots = {v: [np.frombuffer(x, np.uint16) for x in batch.column(v).to_pylist()] for v in SLOTS}
+    return slots, np.array(batch.column("shape").to_pylist(), float).reshape(-1, N_SHAPE)
+
+
+def summed_tables(rows: DataFrame, model: CoTrained | None, sure: float) -> dict[str, Tables]:
+    """Tables of both views over feature rows: by their labels y, or, with a model, by the other view's
+    label where it is sure. Each task adds up its rows; Spark adds up the tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, given = {v: Tables(n) for v, n in SLOTS.items()}, {}
+        for batch in batches:
+            slots, shapes = _unpacked(batch)
+            if shared.value is None:
+                y = np.array(batch.column("y").to_pylist(), int)
+                given = dict.fromkeys(SLOTS, (np.arange(len(y)), y))
+            else:
+                for view, other in (("text", "meta"), ("meta", "text")):
+                    p = sigmoid(shared.value.odds(slots, shapes)[other])
+                    some = np.flatnonzero((p >= sure) | (p <= 1 - sure))
+                    given[view] = some, (p[some] > 0.5).astype(int)
+            for view, (places, y) in given.items():
+                for i, label in zip(places.tolist(), y.tolist()):
+                    own[view].add(slots[view][i], label)
+        for view, t in own.items():
+            # Slot -1 is the number of documents.
+            y, slot = np.nonzero(np.c_[t.n, t.counts])
+            yield pa.RecordBatch.from_arrays([pa.array([view] * len(y), pa.string()), pa.array(y, pa.int32()), pa.array(slot - 1, pa.int32()), pa.array(np.c_[t.n, t.counts][y, slot], pa.float64())], ["view", "y", "slot", "n"])
+
+    out = {v: Tables(n) for v, n in SLOTS.items()}
+    # Two classes of so many slots: a fixed number of rows.
+    for r in rows.mapInArrow(read, "view string, y int, slot int, n double").groupBy("view", "y", "slot").agg(F.sum("n").alias("n")).collect():
+        if r.slot < 0:
+            out[r.view].n[r.y] = r["n"]
+        else:
+            out[r.view].counts[r.y, r.slot] = r["n"]
+    return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, pool: int = 8000) -> CoTrained:
-    """Fit on at most ``sample`` labelled and ``pool`` unlabelled documents, those with the smallest
-    hashes of their ids. Labels: doc_id, quality (1 good, 0 bad; null rows are no labels)."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, rounds: int = 2, sure: float = 0.97) -> CoTrained:
+    """A model from ``docs`` (doc_id, text, and source and lang where there) and ``labels`` (doc_id,
+    quality: 1 good, 0 bad; null rows are no labels, a document labelled twice counts as bad if any
+    label does).
+
+    All labelled documents fill the tables, in every round joined by all unlabelled documents on which a
+    view's calibrated probability is ``sure`` either way, for the other view. Regressions are fitted on
+    at most ``sample`` labelled documents, those with the smallest hashes of their ids. Rows without
+    doc_id are unlabelled.
+    """
+    labels = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.min("quality") == 1).cast("int").alias("y"))
+    found = features(docs)
+    rows = cut(found.join(labels, F.col("doc_id") == F.col("_id"), "left").drop("_id"), "quality_features")
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    labels = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
-    docs = docs.filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    chosen = labels.orderBy(order, "doc_id", "y").limit(sample)
-    loose = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool)
-    # At most sample + pool rows of an id and a label.
-    ids = chosen.union(loose.select("doc_id", F.lit(None).cast("double")))
-    rows = features(docs.join(F.broadcast(ids), "doc_id"), "doc_id", "y").orderBy(order, "doc_id", "y").collect()
-    text = np.array([r.view.text for r in rows]).reshape(-1, N_TEXT)
-    meta = np.array([r.view.meta for r in rows]).reshape(-1, N_META)
-    known = np.array([r.y is not None for r in rows], bool)
-    y = np.array([r.y for r in rows if r.y is not None])
-    return co_train(text[known], meta[known], y, text[~known], meta[~known])
+    # At most ``sample`` rows.
+    chosen = rows.filter("y is not null").orderBy(order, "doc_id", "y", "text").limit(sample).toArrow()
+    slots, shapes = _unpacked(chosen)
+    known = Sample(slots, shapes, np.array(chosen.column("y").to_pylist(), float))
+    tables = summed_tables(rows.filter("y is not null"), None, sure)
+    model = known.fit(tables)
+    for _ in range(rounds if model.models else 0):
+        given = summed_tables(rows.filter("y is null"), model, sure)
+        model = known.fit({v: tables[v] + given[v] for v in SLOTS})
+    drop_cut(rows)
+    return model
 
 
 def classify(docs: DataFrame, model: CoTrained, least: float = 0.5) -> DataFrame:
@@ -207,13 +315,17 @@ def classify(docs: DataFrame, model: CoTrained, least: float = 0.5) -> DataFrame
     new = ("quality_score", "text_score", "meta_score", "accepted")
 
     @F.arrow_udf("struct<quality_score:double,text_score:double,meta_score:double,accepted:boolean>")
-    def scored(texts: pa.Array, sources: pa.Array, langs: pa.Array, chars: pa.Array) -> pa.Array:
-        plain = [t.as_py() or "" for t in texts]
-        text = np.array([text_features(t) for t in plain]).reshape(-1, N_TEXT)
-        meta = np.array([meta_features(*(v.as_py() for v in row)) for row in zip(sources, langs, chars)]).reshape(-1, N_META)
-        some = np.array([bool(t) for t in plain], bool)
-        found = [np.where(some, s, 0.0) for s in shared.value.score(text, meta)]
-        return pa.StructArray.from_arrays([pa.array(s, pa.float64()) for s in found] + [pa.array(some & (found[0] >= least))], new)
+    def scored(texts: pa.Array, sources: pa.Array, langs: pa.Array) -> pa.Array:
+        parts = []
+        batch = pa.RecordBatch.from_arrays([texts, sources, langs], ["text", "source", "lang"])
+        for part in text_slices(batch, "text"):
+            plain = [t.as_py() or "" for t in part.column("text")]
+            slots = {"text": text_slots(part.column("text")), "meta": meta_slots(part.column("source").to_pylist(), part.column("lang").to_pylist())}
+            some = np.array([bool(t) for t in plain], bool)
+            parts.append([np.where(some, x, 0.0) for x in shared.value.score(slots, np.array([shape(t) for t in plain]).reshape(-1, N_SHAPE))])
+        found = [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0)] * 3
+        filled = np.array([len(t.as_py() or "") > 0 for t in texts], bool)
+        return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in found] + [pa.array(filled & (found[0] >= least))], new)
 
     kept = [c for c in docs.columns if c not in new]
     # Not to be evaluated twice where a filter on the result is pushed down.

@@ -2,6 +2,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_oracles import rows_of
 
@@ -32,14 +33,39 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([r.accepted == (r.quality == 1) for r in rows]) > 0.95
 
 
-def test_views_teach_each_other():
-    rng = np.random.default_rng(1)
-    y = rng.integers(0, 2, 3000).astype(float)
-    text, meta = y[:, None] * 3 + rng.normal(size=(3000, 2)), y[:, None] * 3 + rng.normal(size=(3000, 3))
-    few = op6.co_train(text[:40], meta[:40], y[:40], text[40:1500], meta[40:1500])
-    alone = op6.co_train(text[:40], meta[:40], y[:40], text[:0], meta[:0])
-    error = lambda m: np.mean((m.score(text[1500:], meta[1500:])[0] > 0.5) != (y[1500:] == 1))
-    assert error(few) <= error(alone) + 0.005 and error(few) < 0.05
+def test_views_teach_each_other(spark):
+    """Text tells the classes apart; sources do too, but most are not among the labelled documents."""
+    import random
+
+    rng = random.Random(4)
+    vocabulary = {y: [f"{'good' if y else 'bad'}{i}" for i in range(40)] for y in (0, 1)}
+    rows = [(i, " ".join(rng.choice(vocabulary[i % 2]) for _ in range(60)), "en", f"s{i % 2}{i // 2 % 5}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600) if i // 2 % 5 == 0], "doc_id long, quality int")
+    unseen = {y: op6.meta_slots([f"s{y}3"], ["en"])[0][:1] for y in (0, 1)}
+    alone, taught = op6.train(docs, labels, rounds=0), op6.train(docs, labels, rounds=1)
+    assert alone.tables["meta"].evidence(unseen[1]) == alone.tables["meta"].evidence(unseen[0])
+    assert taught.tables["meta"].evidence(unseen[1]) > 1 > -1 > taught.tables["meta"].evidence(unseen[0])
+    # Every unlabelled document that the first model's text view is sure of, none else, is in the tables.
+    found = {r.doc_id: r.text_score for r in op6.classify(docs, alone).collect()}
+    sure = [i for i in range(600) if i // 2 % 5 and not 0.03 < found[i] < 0.97]
+    assert taught.tables["meta"].n.tolist() == [60 + sum(found[i] < 0.5 for i in sure), 60 + sum(found[i] > 0.5 for i in sure)] and len(sure) > 300
+    scores = {r.doc_id: r for r in op6.classify(docs, taught).collect()}
+    assert all(r.accepted == (i % 2 == 1) for i, r in scores.items()) and scores[7].meta_score > 0.5 > scores[6].meta_score
+
+
+def test_tables_are_plain_counts(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    model = op6.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"), rounds=0)
+    want = np.zeros((2, op6.SLOTS["text"]))
+    for r in docs.collect():
+        if r.doc_id in labels:
+            want[labels[r.doc_id], op6.text_slots(pa.array([r.text], pa.string()))[0]] += 1
+    assert (model.tables["text"].counts == want).all() and model.tables["text"].n.sum() == len(labels)
+    own = model.tables["text"].evidence(np.array([3, 5], np.uint16), 1.0)
+    less = op6.Tables(want.shape[1], want - np.array([[0], [1]]), model.tables["text"].n - np.array([0, 1]))
+    assert np.allclose(own, less.evidence(np.array([3, 5], np.uint16)))
 
 
 def test_quality_edges(spark, edge_docs):
@@ -50,7 +76,7 @@ def test_quality_edges(spark, edge_docs):
     assert all(not r.accepted and r.quality_score == 0 for r in got if not r.text)
     assert len({r.quality_score for r in got if r.doc_id == 6}) == 1
     none = op6.train(edge_docs, labels.limit(0))
-    assert none.text is None and op6.classify(edge_docs.limit(0), none).count() == 0
+    assert none.models is None and op6.classify(edge_docs.limit(0), none).count() == 0
     assert op6.classify(edge_docs.drop("source", "lang"), none).count() == edge_docs.count()
 
 
