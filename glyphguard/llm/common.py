@@ -2,39 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_path
+
 #: Text bytes that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
 #: A side is broadcast only when its table was counted and holds at most this many bytes.
 BROADCAST_BYTES = 32 << 20
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a local one on a single machine, and an
-    error on a cluster, whose executors could not read it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        base = _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="spark-glyphguard-"))
-    return base.rstrip("/")
-
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/glyphguard-{uuid.uuid4().hex}/{name}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._glyphguard_path = path
