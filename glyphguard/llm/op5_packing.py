@@ -22,7 +22,7 @@ from .common import bounded_batches, text_slices
 from .shingles import column_bytes, span_hashes
 
 #: Words a worker remembers before it forgets those not at hand (memory bound, no effect on ids).
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 SPACE, LETTER, DIGIT, MARK, ODD = range(5)
 #: Kinds of ASCII bytes; other white space and controls, like all else not named below, are odd.
 KINDS = np.full(256, ODD, np.uint8)
@@ -108,12 +108,11 @@ class WordEncoder:
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        # For words that are normalised and split already.
-        self.words_only = Tokenizer.from_file(tokenizer_path)
-        self.words_only.normalizer = normalizers.Sequence([])
+        # The same model for words that are normalised and split already.
+        self.words_only = Tokenizer(self.tokenizer.model)
         self.words_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)

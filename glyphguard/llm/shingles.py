@@ -22,17 +22,23 @@ _codes[65:91] = _codes[97:123]  # A-Z as a-z
 _base = _random.integers(1, 1 << 63, 1, np.uint64) * np.uint64(2) + np.uint64(1)
 _inverse = np.array([pow(int(_base[0]), -1, 1 << 64)], np.uint64)
 _by_place = _random.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+KEPT_POWERS = 1 << 20
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for k, b in enumerate((_base, _inverse)):
-            steps = np.repeat(b, size)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse; a worker keeps as many as a usual slice needs."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = max(n, KEPT_POWERS)
+    found = []
+    for b in (_base, _inverse):
+        steps = np.repeat(b, size)
+        steps[0] = 1
+        found.append(np.multiply.accumulate(steps))
+    if size <= 2 * KEPT_POWERS:
+        _powers[:] = found
+    return found[0], found[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
