@@ -3,7 +3,7 @@ over rounds each labels unlabelled documents it is sure of for the other; both a
 their combined odds score every document.
 
 A view has two parts. Its tables hold, for each class, in how many documents each hashed feature stands
-(words and word pairs of the text; source and language of the page): exact sums over all labelled
+(words of the text; source and language of the page): exact sums over all labelled
 documents and, from round to round, over all unlabelled ones that the other view is sure of. Its
 logistic regression weighs what the tables say of a document (for a text beside shape counts) and is
 fitted and calibrated on a bounded sample of labelled documents, a documented parameter, chosen by
@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, drop_cut, text_slices
-from .shingles import grams, words
+from .shingles import words
 
-#: Slots of the hashed features: words and pairs, sources, languages.
+#: Slots of the hashed features: words, sources, languages.
 TEXT_BITS, SOURCES, LANGS = 13, 256, 64
 SLOTS = {"text": 1 << TEXT_BITS, "meta": SOURCES + LANGS}
 N_SHAPE = 16
+HASHES = 1 << 40
+#: Text bytes whose words are hashed at once.
+SLICE = 1 << 20
 ASCII_LETTERS = bytes(i for i in range(128) if chr(i).isalpha())
 ASCII_UPPER, DIGITS, HIGH = bytes(range(65, 91)), bytes(range(48, 58)), bytes(range(128, 256))
 
@@ -70,11 +73,10 @@ def shape(text: str) -> list[float]:
 
 
 def text_slots(texts: pa.Array) -> list[np.ndarray]:
-    """Distinct hashed words and pairs of neighbouring words of each text."""
+    """Distinct hashed words of each text."""
     word, _, _, bounds = words(texts)
-    shift, pair = np.uint64(64 - TEXT_BITS), grams(word, 2)
-    one, two = (word >> shift).astype(np.uint16), (pair >> shift).astype(np.uint16)
-    return [np.unique(np.r_[one[a:b], two[a : max(a, b - 1)]]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+    slot = (word >> np.uint64(64 - TEXT_BITS)).astype(np.uint16)
+    return [np.unique(slot[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
 
 
 def meta_slots(sources: list[str | None], langs: list[str | None]) -> list[np.ndarray]:
@@ -116,11 +118,15 @@ class Logistic:
         return self.weights[0] + (x - self.mean) / self.scale @ self.weights[1:]
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Platt's slope and shift on labelled rows that were not fitted."""
+        """Platt's slope and shift on labelled rows that were not fitted. Where these do not rise with
+        the model's output, it says nothing: the odds are those of the rows."""
         if len(set(y.tolist())) == 2:
             fit = Logistic.fit(self.raw(x)[:, None], y, 0.1)
-            self.slope = max(0.0, float(fit.weights[1] / fit.scale[0]))
-            self.shift = float(fit.weights[0] - fit.weights[1] * fit.mean[0] / fit.scale[0])
+            if fit.weights[1] > 0:
+                self.slope = float(fit.weights[1] / fit.scale[0])
+                self.shift = float(fit.weights[0] - fit.weights[1] * fit.mean[0] / fit.scale[0])
+            else:
+                self.slope, self.shift = 0.0, float(np.log(y.mean() / (1 - y.mean())))
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         """Calibrated log odds."""
@@ -155,9 +161,9 @@ class Tables:
 def inputs(view: str, tables: Tables, slots: list[np.ndarray], shapes: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
     """What a view's regression sees of documents: for pages the evidence of source and language, for
     texts the mean, least and greatest evidence of their slots beside their shape."""
-    out = []
+    out, every = [], tables.evidence(np.arange(tables.counts.shape[1]))
     for k, some in enumerate(slots):
-        e = tables.evidence(some, None if own is None else own[k])
+        e = every[some] if own is None else tables.evidence(some, own[k])
         out.append(e if view == "meta" else [e.mean(), e.min(), e.max()] if len(e) else [0.0] * 3)
     found = np.array(out, float).reshape(len(slots), 2 if view == "meta" else 3)
     return found if view == "meta" else np.c_[shapes, found]
@@ -209,20 +215,20 @@ class Sample:
         return CoTrained(float(np.clip(y.mean(), 0.001, 0.999)), tables, models)
 
 
-COLUMNS = "doc_id long, shape array<double>, text binary, meta binary"
+COLUMNS = "doc_id long, shape binary, text binary, meta binary"
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, shape, and the slots of both views (16-bit numbers) of each row."""
+    """doc_id, shape (32-bit floats), and the slots of both views (16-bit numbers) of each row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, "text"):
+            for batch in text_slices(whole, "text", SLICE):
                 texts = batch.column("text")
                 meta = meta_slots(batch.column("source").to_pylist(), batch.column("lang").to_pylist())
                 columns = [
                     batch.column("doc_id"),
-                    pa.array([shape(t.as_py() or "") for t in texts], pa.list_(pa.float64())),
+                    pa.array([np.array(shape(t.as_py() or ""), np.float32).tobytes() for t in texts], pa.binary()),
                     pa.array([x.tobytes() for x in text_slots(texts)], pa.binary()),
                     pa.array([x.tobytes() for x in meta], pa.binary()),
                 ]
@@ -239,7 +245,7 @@ def _metadata(docs: DataFrame) -> list:
 def _unpacked(batch) -> tuple[dict[str, list[np.ndarray]], np.ndarray]:
     """Slots of both views and shapes of a batch or table of feature rows."""
     slots = {v: [np.frombuffer(x, np.uint16) for x in batch.column(v).to_pylist()] for v in SLOTS}
-    return slots, np.array(batch.column("shape").to_pylist(), float).reshape(-1, N_SHAPE)
+    return slots, np.frombuffer(b"".join(batch.column("shape").to_pylist()), np.float32).reshape(-1, N_SHAPE).astype(float)
 
 
 def summed_tables(rows: DataFrame, model: CoTrained | None, sure: float) -> dict[str, Tables]:
@@ -290,12 +296,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, rounds: int =
     labels = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.min("quality") == 1).cast("int").alias("y"))
     found = features(docs)
     rows = cut(found.join(labels, F.col("doc_id") == F.col("_id"), "left").drop("_id"), "quality_features")
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    # At most ``sample`` rows.
-    chosen = rows.filter("y is not null").orderBy(order, "doc_id", "y", "text").limit(sample).toArrow()
+    labelled = rows.filter("y is not null")
+    tables = summed_tables(labelled, None, sure)
+    # The smallest hashes lie under this bound, which about 2 * sample rows meet: so few are ordered.
+    order = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(HASHES))
+    bound = min(HASHES, 2 * sample * HASHES // max(1, int(tables["text"].n.sum())) + 1)
+    chosen = labelled.filter(order < bound).orderBy(order, "doc_id", "y", "text").limit(sample).toArrow()
     slots, shapes = _unpacked(chosen)
     known = Sample(slots, shapes, np.array(chosen.column("y").to_pylist(), float))
-    tables = summed_tables(rows.filter("y is not null"), None, sure)
     model = known.fit(tables)
     for _ in range(rounds if model.models else 0):
         given = summed_tables(rows.filter("y is null"), model, sure)
@@ -318,11 +326,11 @@ def classify(docs: DataFrame, model: CoTrained, least: float = 0.5) -> DataFrame
     def scored(texts: pa.Array, sources: pa.Array, langs: pa.Array) -> pa.Array:
         parts = []
         batch = pa.RecordBatch.from_arrays([texts, sources, langs], ["text", "source", "lang"])
-        for part in text_slices(batch, "text"):
+        for part in text_slices(batch, "text", SLICE):
             plain = [t.as_py() or "" for t in part.column("text")]
             slots = {"text": text_slots(part.column("text")), "meta": meta_slots(part.column("source").to_pylist(), part.column("lang").to_pylist())}
             some = np.array([bool(t) for t in plain], bool)
-            parts.append([np.where(some, x, 0.0) for x in shared.value.score(slots, np.array([shape(t) for t in plain]).reshape(-1, N_SHAPE))])
+            parts.append([np.where(some, x, 0.0) for x in shared.value.score(slots, np.array([shape(t) for t in plain], np.float32).reshape(-1, N_SHAPE).astype(float))])
         found = [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0)] * 3
         filled = np.array([len(t.as_py() or "") > 0 for t in texts], bool)
         return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in found] + [pa.array(filled & (found[0] >= least))], new)
