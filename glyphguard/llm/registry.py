@@ -2,6 +2,7 @@
 
 from . import (
     op10_html_main_text,
+    op12_shallot_kmeans,
     op1_jaccard_join,
     op2_decontamination,
     op3_token_counts,
@@ -24,5 +25,11 @@ QUERIES = {
     "op8_language_id": op8_language_id.op8_language_id,
     "op9_url_filter": op9_url_filter.op9_url_filter,
     "op10_html_main_text": op10_html_main_text.op10_html_main_text,
+    "op12_shallot_kmeans": op12_shallot_kmeans.op12_shallot_kmeans,
+}
+SQL = {
+    "op1_jaccard_join": op1_jaccard_join.SQL,
+    "op7_line_dedup": op7_line_dedup.SQL,
+    "op9_url_filter": op9_url_filter.SQL,
+    "op12_shallot_kmeans": op12_shallot_kmeans.SQL,
 }
-SQL = {"op1_jaccard_join": op1_jaccard_join.SQL, "op7_line_dedup": op7_line_dedup.SQL, "op9_url_filter": op9_url_filter.SQL}
