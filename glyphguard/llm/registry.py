@@ -2,6 +2,7 @@
 
 from . import (
     op10_html_main_text,
+    op11_circulant_minhash,
     op12_shallot_kmeans,
     op1_jaccard_join,
     op2_decontamination,
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_language_id": op8_language_id.op8_language_id,
     "op9_url_filter": op9_url_filter.op9_url_filter,
     "op10_html_main_text": op10_html_main_text.op10_html_main_text,
+    "op11_circulant_minhash": op11_circulant_minhash.op11_circulant_minhash,
     "op12_shallot_kmeans": op12_shallot_kmeans.op12_shallot_kmeans,
 }
 SQL = {
     "op1_jaccard_join": op1_jaccard_join.SQL,
     "op7_line_dedup": op7_line_dedup.SQL,
     "op9_url_filter": op9_url_filter.SQL,
+    "op11_circulant_minhash": op11_circulant_minhash.SQL,
     "op12_shallot_kmeans": op12_shallot_kmeans.SQL,
 }
