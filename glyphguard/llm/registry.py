@@ -4,6 +4,7 @@ from . import (
     op10_html_main_text,
     op11_circulant_minhash,
     op12_shallot_kmeans,
+    op13_hard_negatives,
     op1_jaccard_join,
     op2_decontamination,
     op3_token_counts,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_html_main_text": op10_html_main_text.op10_html_main_text,
     "op11_circulant_minhash": op11_circulant_minhash.op11_circulant_minhash,
     "op12_shallot_kmeans": op12_shallot_kmeans.op12_shallot_kmeans,
+    "op13_hard_negatives": op13_hard_negatives.op13_hard_negatives,
 }
 SQL = {
     "op1_jaccard_join": op1_jaccard_join.SQL,
@@ -35,4 +37,5 @@ SQL = {
     "op9_url_filter": op9_url_filter.SQL,
     "op11_circulant_minhash": op11_circulant_minhash.SQL,
     "op12_shallot_kmeans": op12_shallot_kmeans.SQL,
+    "op13_hard_negatives": op13_hard_negatives.SQL,
 }
