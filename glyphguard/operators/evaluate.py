@@ -4,7 +4,7 @@ Scored rows are first counted per model and distinct score. Cumulative counts th
 over all scores; to keep that off a single task, scores are cut into ranges at approximate
 quantiles, the few range totals are summed up first, and each range runs its own window with the
 total above it as an offset. Counts are whole numbers until one division at the end, so results do
-not depend on partitions.
+not depend on partitions. The counts are written once; the scored rows are read once, by that.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 RANGES = 64
 
 
@@ -31,6 +33,11 @@ def _all_counts(rows: DataFrame) -> DataFrame:
 def cumulative(counts: DataFrame) -> DataFrame:
     """``score_counts`` plus tp, fp (at or over the score), positives, negatives, and the pos and neg of
     the next lower score (null at the last)."""
+    return _cumulative(stored(counts, "score_counts"))
+
+
+def _cumulative(counts: DataFrame) -> DataFrame:
+    """As ``cumulative``, of a written table."""
     cuts = counts.groupBy("model").agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts"))
     # One row a model with RANGES numbers.
     ranged = counts.join(F.broadcast(cuts), "model").withColumn("range", F.size(F.filter("cuts", lambda c: c > F.col("score")))).drop("cuts")
@@ -80,11 +87,10 @@ def roc_points(counts: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     points = cumulative(counts)
     if drop_intermediate:
         points = points.filter(_stays())
-    kept = ["tp", "fp", "pos", "neg", "positives", "negatives"]
-    start = counts.groupBy("model").agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
-    zero = F.lit(0).cast("long")
-    start = start.select("model", F.lit(float("inf")).alias("threshold"), zero.alias("tp"), zero.alias("fp"), zero.alias("pos"), zero.alias("neg"), "positives", "negatives")
-    return points.select("model", F.col("score").alias("threshold"), *kept).unionByName(start)
+    zero, kept = F.lit(0).cast("long"), ["positives", "negatives"]
+    own = F.struct(F.col("score").alias("threshold"), "tp", "fp", "pos", "neg", *kept)
+    start = F.struct(F.lit(float("inf")).alias("threshold"), *[zero.alias(c) for c in ("tp", "fp", "pos", "neg")], *kept)
+    return points.select("model", F.inline(F.when(F.col("is_first"), F.array(start, own)).otherwise(F.array(own))))
 
 
 def finite(x: Column) -> Column:
@@ -173,11 +179,11 @@ def evaluate(scored: DataFrame, score: str = "similarity", label: str = "label",
     threshold included, so the rows are not looked at again.
     """
     model = F.col(by).cast("string") if by else F.lit("all")
-    every = _all_counts(scored.select(model.alias("model"), F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("y")))
+    every = stored(_all_counts(scored.select(model.alias("model"), F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("y"))), "score_counts")
     kept = _stays() if drop_intermediate else F.lit(True)
     # With ">", a threshold's own rows count as negative.
     right = F.col("tp") - F.col("pos") + F.col("negatives") - (F.col("fp") - F.col("neg"))
-    found = cumulative(every.filter("pos + neg > 0")).groupBy("model").agg(
+    found = _cumulative(every.filter("pos + neg > 0")).groupBy("model").agg(
         F.sum(_area()).cast("double").alias("area"),
         F.max(F.when(kept, F.struct(_gain().alias("gain"), "score", "tp", "fp", "pos", "neg"))).alias("youden"),
         F.max(F.when(kept, F.struct(right.alias("right"), "score"))).alias("best"),

@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -130,52 +130,129 @@ class Optimiser:
             a -= self.lr * (m / (1 - 0.9**self.step_no)) / (np.sqrt(v / (1 - 0.999**self.step_no)) + 1e-8)
 
 
-def gradient_sums(pairs: DataFrame, head: Head, margin: float) -> tuple[float, int, list[np.ndarray]]:
-    """Loss, rows and gradient sums over a table: each task adds up its rows; one row a task returns."""
-    shared = pairs.sparkSession.sparkContext.broadcast(head)
+#: Weights that a row of partial sums holds, and groups that such rows are first added up in.
+SLOTS, SALTS = 4096, 32
+
+
+@dataclass
+class Fit:
+    """A head in training: its settings, its losses (epoch, train loss, validation loss), and the error
+    that ended it, if one did."""
+
+    head: Head
+    batches: int = 4
+    margin: float = 1.0
+    optimiser: Optimiser = field(default_factory=Optimiser)
+    history: list[tuple[int, float, float]] = field(default_factory=list)
+    error: str | None = None
+
+
+def gradient_sums(pairs: DataFrame, fits: dict[int, Fit], epoch: int = 0, batch: int | None = None) -> dict[int, tuple[float, int, list[np.ndarray]]]:
+    """For each fit: summed loss, rows, and gradient over its mini-batch of the epoch, in one pass over the
+    table for all of them; over all rows, and without gradient, if ``batch`` is None.
+
+    A task adds up its rows; its sums travel in pieces of SLOTS weights, which Spark adds up in two
+    levels. The driver gets every weight's sum once, however many tasks there were.
+    """
+    shared = pairs.sparkSession.sparkContext.broadcast({k: (f.head, f.margin, f.batches) for k, f in fits.items()})
+    kept = pairs.select(*(["pair_id"] if batch is not None else []), "fraud_emb", "real_emb", "label").dropna()
+    if batch is not None:
+        share = F.xxhash64("pair_id", F.lit(epoch))
+        wanted = sorted({f.batches for f in fits.values() if batch < f.batches})
+        kept = kept.withColumns({f"_b{n}": F.pmod(share, F.lit(n)) == batch for n in wanted}).filter(" or ".join(f"_b{n}" for n in wanted) or "false")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head, loss, rows, sums = shared.value, 0.0, 0, None
+        sums: dict = {}
         for p in parts:
-            if len(p):
-                x, y = np.stack(p.fraud_emb.to_numpy()).astype(np.float64), np.stack(p.real_emb.to_numpy()).astype(np.float64)
-                part, g = loss_and_gradient(head, x, y, p.label.to_numpy(np.float64), margin)
-                loss, rows = loss + part, rows + len(p)
-                sums = g if sums is None else [a + b for a, b in zip(sums, g)]
-        if rows:
-            yield pd.DataFrame({"loss": [loss], "n": [rows], "gradient": [np.concatenate([g.ravel() for g in sums])]})
-
-    kept = pairs.select("fraud_emb", "real_emb", "label").dropna()
-    found = kept.mapInPandas(run, "loss double, n long, gradient array<double>").collect()
-    sizes = np.cumsum([a.size for a in head.arrays()])[:-1]
-    flat = sum((np.array(r.gradient) for r in found), np.zeros(sum(a.size for a in head.arrays())))
-    return sum(r.loss for r in found), sum(r.n for r in found), [g.reshape(a.shape) for g, a in zip(np.split(flat, sizes), head.arrays())]
+            if not len(p):
+                continue
+            x, y = np.stack(p.fraud_emb.to_numpy()).astype(np.float64), np.stack(p.real_emb.to_numpy()).astype(np.float64)
+            label = p.label.to_numpy(np.float64)
+            for k, (head, margin, batches) in shared.value.items():
+                if batch is not None and batch >= batches:
+                    continue
+                mine = slice(None) if batch is None else p[f"_b{batches}"].to_numpy(bool)
+                if not len(label[mine]):
+                    continue
+                loss, gradient = loss_and_gradient(head, x[mine], y[mine], label[mine], margin)
+                flat = np.concatenate([g.ravel() for g in gradient]) if batch is not None else np.zeros(0)
+                old = sums.get(k, (0.0, 0, 0.0))
+                sums[k] = old[0] + loss, old[1] + len(label[mine]), old[2] + flat
+        part = TaskContext.get().partitionId()
+        for k, (loss, rows, flat) in sums.items():
+            for at in range(0, max(len(flat), 1), SLOTS):
+                yield pd.DataFrame({"fit": [k], "piece": [at // SLOTS], "part": [part], "loss": [loss], "n": [rows], "sums": [flat[at : at + SLOTS]]})
+
+    def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        return pd.DataFrame({"fit": [key[0]], "piece": [key[1]], "part": [rows.part.iloc[0]], "loss": [rows.loss.sum()], "n": [rows.n.sum()], "sums": [np.sum(np.stack(rows.sums.to_numpy()), axis=0)]})
+
+    kind = "fit int, piece int, part int, loss double, n long, sums array<double>"
+    pieces = kept.mapInPandas(run, kind).groupBy("fit", "piece", F.pmod("part", F.lit(SALTS))).applyInPandas(total, kind)
+    found = pieces.groupBy("fit", "piece").applyInPandas(total, kind).collect()
+    out = {}
+    for k, f in fits.items():
+        mine = sorted((r for r in found if r.fit == k), key=lambda r: r.piece)
+        sizes = [a.size for a in f.head.arrays()]
+        flat = np.concatenate([np.array(r.sums) for r in mine]) if mine and batch is not None else np.zeros(sum(sizes))
+        out[k] = mine[0].loss if mine else 0.0, mine[0].n if mine else 0, [g.reshape(a.shape) for g, a in zip(np.split(flat, np.cumsum(sizes)[:-1]), f.head.arrays())]
+    return out
 
 
-def train_head(train: DataFrame, valid: DataFrame, head: Head, epochs: int = 3, batches: int = 4, margin: float = 1.0, optimiser: Optimiser | None = None) -> tuple[Head, list[tuple[int, float, float]]]:
-    """Epochs of mini-batch steps. A batch is a hash class of pair_id, new every epoch: the same rows
-    however the table is partitioned. Both tables are read once and kept by Spark, on disk where memory
-    is short, until training ends. Returns the head and (epoch, train loss, validation loss)."""
-    optimiser = optimiser or Optimiser()
-    head = Head(*[a.copy() for a in head.arrays()])
-    history = []
+def train_heads(train: DataFrame, valid: DataFrame, fits: list[Fit], epochs: int = 3) -> list[Fit]:
+    """Epochs of mini-batch steps for all fits at once: a step is one pass over the training table for
+    every fit that has such a batch, and one pass an epoch over the validation table takes all losses. A
+    batch is a hash class of pair_id, new every epoch: the same rows however the table is partitioned.
+    Both tables are kept by Spark, on disk where memory is short, until training ends. A fit whose step
+    fails keeps the error and takes no further part."""
     train = train.select("pair_id", "fraud_emb", "real_emb", "label").persist(StorageLevel.MEMORY_AND_DISK)
     valid = valid.select("fraud_emb", "real_emb", "label").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for epoch in range(epochs):
-            loss = rows = 0
-            for b in range(batches):
-                part = train.filter(F.pmod(F.xxhash64("pair_id", F.lit(epoch)), F.lit(batches)) == b)
-                total, n, sums = gradient_sums(part, head, margin)
-                if n:
-                    optimiser.step(head.arrays(), [g / n for g in sums])
-                loss, rows = loss + total, rows + n
-            checked, n, _ = gradient_sums(valid, head, margin)
-            history.append((epoch, loss / max(rows, 1), checked / max(n, 1)))
+            loss = {k: [0.0, 0] for k in range(len(fits))}
+            for batch in range(max((f.batches for f in fits if not f.error), default=0)):
+                active = {k: f for k, f in enumerate(fits) if not f.error and batch < f.batches}
+                for k, (total, n, sums) in gradient_sums(train, active, epoch, batch).items():
+                    try:
+                        if n:
+                            fits[k].optimiser.step(fits[k].head.arrays(), [g / n for g in sums])
+                    except Exception as e:
+                        fits[k].error = f"{type(e).__name__}: {e}"[:500]
+                    loss[k][0] += total
+                    loss[k][1] += n
+            active = {k: f for k, f in enumerate(fits) if not f.error}
+            for k, (checked, n, _) in (gradient_sums(valid, active) if active else {}).items():
+                fits[k].history.append((epoch, loss[k][0] / max(loss[k][1], 1), checked / max(n, 1)))
     finally:
         train.unpersist()
         valid.unpersist()
-    return head, history
+    return fits
+
+
+def train_head(train: DataFrame, valid: DataFrame, head: Head, epochs: int = 3, batches: int = 4, margin: float = 1.0, optimiser: Optimiser | None = None) -> tuple[Head, list[tuple[int, float, float]]]:
+    """One fit of ``train_heads``, from a copy of ``head``: the trained head and its losses."""
+    fit = Fit(Head(*[a.copy() for a in head.arrays()]), batches, margin, optimiser or Optimiser())
+    train_heads(train, valid, [fit], epochs)
+    if fit.error:
+        raise ValueError(fit.error)
+    return fit.head, fit.history
+
+
+def head_scores(pairs: DataFrame, heads: dict[int, Head]) -> DataFrame:
+    """(model, label, similarity) of every pair under every head, in one pass; pairs without a vector are
+    left out."""
+    shared = pairs.sparkSession.sparkContext.broadcast(heads)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in frames:
+            if len(p):
+                x, y = np.stack(p.fraud_emb.to_numpy()).astype(np.float64), np.stack(p.real_emb.to_numpy()).astype(np.float64)
+                for k, head in shared.value.items():
+                    a, b = head.project(x), head.project(y)
+                    lengths = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+                    yield pd.DataFrame({"model": k, "label": p.label, "similarity": (a * b).sum(1) / np.maximum(lengths, 1e-12)})
+
+    return pairs.select("fraud_emb", "real_emb", "label").dropna(subset=["fraud_emb", "real_emb"]).mapInPandas(run, "model int, label int, similarity double")
 
 
 @dataclass
@@ -196,18 +273,17 @@ def random_trials(n: int, seed: int = 42) -> list[Trial]:
     return [Trial(k, log(1e-5, 1e-2), rng.choice([2, 4]), rng.choice([64, 128, 256, 512]), rng.choice(["adam", "adamw", "sgd"]), log(1e-6, 1e-3), rng.uniform(0.1, 2.0)) for k in range(n)]
 
 
-def sweep(train: DataFrame, test: DataFrame, dim: int, n_trials: int = 4, epochs: int = 2, seed: int = 42) -> DataFrame:
-    """One row a trial: its settings, test_auc and test_accuracy of the head it trained. A trial that
-    fails is a row with its error and no scores; the others go on."""
-    spark, rows = train.sparkSession, []
-    for t in random_trials(n_trials, seed):
-        try:
-            head, _ = train_head(train, test, Head.random(dim, t.hidden, t.hidden, seed), epochs, t.batches, t.margin, Optimiser(t.optimizer, t.lr, t.weight_decay))
-            found = evaluate(score_with_head(test, head)).first()
-            rows.append((*asdict(t).values(), found.roc_auc, found.accuracy, None))
-        except Exception as e:
-            rows.append((*asdict(t).values(), None, None, f"{type(e).__name__}: {e}"[:500]))
-    return spark.createDataFrame(rows, "trial_number int, lr double, batches int, hidden int, optimizer string, weight_decay double, margin double, test_auc double, test_accuracy double, error string")
+def sweep(train: DataFrame, test: DataFrame, dim: int, n_trials: int = 4, epochs: int = 5, seed: int = 42) -> DataFrame:
+    """One row a trial: its settings, test_auc and test_accuracy of the head it trained. All trials are
+    trained in the same passes over the data and scored in one. A trial that fails is a row with its
+    error and no scores; the others go on."""
+    trials = random_trials(n_trials, seed)
+    fits = [Fit(Head.random(dim, t.hidden, t.hidden, seed), t.batches, t.margin, Optimiser(t.optimizer, t.lr, t.weight_decay)) for t in trials]
+    train_heads(train, test, fits, epochs)
+    scored = head_scores(test, {k: f.head for k, f in enumerate(fits) if not f.error})
+    found = {int(r.model): r for r in evaluate(scored.withColumn("model", F.col("model").cast("string")), by="model").collect()}
+    rows = [(*asdict(t).values(), *((found[k].roc_auc, found[k].accuracy) if k in found else (None, None)), f.error) for k, (t, f) in enumerate(zip(trials, fits))]
+    return train.sparkSession.createDataFrame(rows, "trial_number int, lr double, batches int, hidden int, optimizer string, weight_decay double, margin double, test_auc double, test_accuracy double, error string")
 
 
 FEATURES = ("similarity", "token_set_ratio", "lev_dist")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import names, strings, vectors
 from ..operators import evaluate as ev
-from ..operators import hooks, learn, search
+from ..operators import hooks, learn, search, vector_index
 from ..operators import tables as ops
 from ..sources import tables as src
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, stored
 from . import sql
 from .views import CUSTOMER_QUERIES, LINE_SCORES, NAME_PAIRS, PART_REFS, VEC_PAIRS, customer_queries, line_scores, name_pairs, part_refs, spoof, table, vec_pairs
 
@@ -478,22 +478,66 @@ def match_accuracy(spark, sf_dir):
     return rounded(ops.match_accuracy(_matches(spark, sf_dir)))
 
 
+def vector_sets(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The stated query set, vectors whose id is divisible by 50, and all vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return queries, e.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref_vec"))
+
+
 @query("""WITH u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, r.vec_id AS ref_id, round(list_cosine_similarity(q.v, r.v), 9) AS cosine FROM u q, u r WHERE q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, ref_id) AS rank FROM s)
 SELECT query_id, ref_id, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 10""")
 def vector_topk(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    return rounded(search.vector_topk(queries, e.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref_vec")), 10))
+    return rounded(search.vector_topk(*vector_sets(spark, sf_dir), 10))
 
 
 @query()
 def vector_topk_lsh(spark, sf_dir):
     """``vector_topk`` by random-projection buckets; tests measure its recall against the exact one."""
-    e = table(spark, sf_dir, "embeddings")
-    queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    return rounded(search.vector_topk_lsh(queries, e.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("ref_vec")), 10, radius=2.0, tables=12))
+    return rounded(search.vector_topk_lsh(*vector_sets(spark, sf_dir), 10, radius=2.0, tables=12))
+
+
+@query(SQL["vector_topk"])
+def vector_topk_index(spark, sf_dir):
+    """``vector_topk`` by coarse cells, opened as far as an exact answer needs."""
+    queries, refs = vector_sets(spark, sf_dir)
+    return rounded(vector_index.search_cells(queries, vector_index.fit_cells(refs), 10, 4, exact=True)[0])
+
+
+def name_vector_sets(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The customers' names as vectors, and the stated query set's swapped names."""
+    queries, refs = customer_queries(spark, sf_dir)
+    encode = lambda names: hooks.encode_names(names, hooks.HashedNgramEncoder)
+    q = queries.join(encode(queries.select(F.col("query_name").alias("name")).distinct()), F.col("query_name") == F.col("name"))
+    r = refs.join(encode(refs.select(F.col("ref_name").alias("name")).distinct()), F.col("ref_name") == F.col("name"))
+    # A customer's own name is what its swapped name should find.
+    return q.select((-F.col("query_id") - 1).alias("query_id"), F.col("embedding").alias("query_vec")), r.select("ref_id", F.col("embedding").alias("ref_vec"))
+
+
+@query()
+def vector_topk_cells(spark, sf_dir):
+    """Name vectors nearest to swapped names, by as many cells as a measured recall of 0.9 needs."""
+    queries, refs = name_vector_sets(spark, sf_dir)
+    index = vector_index.fit_cells(refs)
+    probes, _ = vector_index.tuned_probes(index, queries, 10)
+    out = vector_index.search_cells(queries, index, 10, probes)[0]
+    return rounded(out.withColumn("query_id", -F.col("query_id") - 1))
+
+
+@query()
+def vector_index_report(spark, sf_dir):
+    """Of both vector tables: rows, cells, probed cells for a recall of 0.9 over all queries, that recall,
+    and the shares of all pairs that are scored then and for the exact answer."""
+    rows = []
+    for name, (queries, refs) in (("embeddings", vector_sets(spark, sf_dir)), ("names", name_vector_sets(spark, sf_dir))):
+        index, queries = vector_index.fit_cells(refs), stored(queries, "queries")
+        probes, recall = vector_index.tuned_probes(index, queries, 10, sample=queries.count())
+        total = queries.count() * int(index.sizes.sum())
+        shares = [vector_index.search_cells(queries, index, 10, probes, exact)[1].agg(F.sum("pairs")).first()[0] / total for exact in (False, True)]
+        rows.append((name, int(index.sizes.sum()), len(index.centroids), probes, recall, *shares))
+    return rounded(spark.createDataFrame(rows, "vectors string, n_refs long, cells int, probes int, recall double, share_probed double, share_exact double"))
 
 
 @query()
@@ -541,15 +585,29 @@ def held_out(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def train_head(spark, sf_dir):
-    pairs = vec_pairs(spark, sf_dir)
-    trained, history = learn.train_head(*held_out(pairs), learn.Head.random(64, 256, 128), epochs=5, batches=4, optimiser=learn.Optimiser("adamw", 0.01, 1e-4))
+    """Losses by epoch, with area and accuracy of the trained head on the held-out pairs."""
+    train, test = held_out(vec_pairs(spark, sf_dir))
+    trained, history = learn.train_head(train, test, learn.Head.random(64, 256, 128), epochs=5, batches=4, optimiser=learn.Optimiser("adamw", 0.01, 1e-4))
     losses = spark.createDataFrame(learn.best_losses(history), "epoch int, train_loss double, valid_loss double, best_train_loss double")
-    report = ev.evaluate(learn.score_with_head(pairs, trained)).first()
+    report = ev.evaluate(learn.score_with_head(test, trained)).first()
     return rounded(losses.withColumns({"roc_auc": F.lit(report.roc_auc), "accuracy": F.lit(report.accuracy)}))
 
 
+STEP = (64, 4, 3)
+
+
+@query(f"WITH {VEC_PAIRS}, {sql.head_step(*STEP, 0.5)}")
+def head_step(spark, sf_dir):
+    """Weights after one step of plain descent over all pairs, from weights by a rule."""
+    head = learn.Head.fixed(*STEP)
+    learn.train_heads(pairs := vec_pairs(spark, sf_dir), pairs, [learn.Fit(head, batches=1, optimiser=learn.Optimiser("sgd", 0.5))], epochs=1)
+    rows = [(name, i, float(x)) for name, a in zip(("w1", "b1", "w2", "b2"), head.arrays()) for i, x in enumerate(a.ravel())]
+    return rounded(spark.createDataFrame(rows, "name string, slot int, weight double"))
+
+
 @query()
 def hyperparameter_sweep(spark, sf_dir):
+    """Random settings, all trained at once on the training pairs and scored on the held-out ones."""
     trials = learn.sweep(*held_out(vec_pairs(spark, sf_dir)), 64)
     return rounded(ops.trial_leaderboard(trials))
 

@@ -184,3 +184,31 @@ def head_ctes(dim: int, hidden: int, out: int, source: str, name: str) -> str:
     first = f"list_transform(range({hidden}), lambda j: greatest(list_dot_product({row('j', dim, 0)}, x) + ((j * 5 + 1) % 7 - 3) / 8.0::DOUBLE, 0.0::DOUBLE))"
     second = f"list_transform(range({out}), lambda o: list_dot_product({row('o', hidden, 2)}, h) + ((o * 5 + 3) % 7 - 3) / 8.0::DOUBLE)"
     return f"{name} AS MATERIALIZED (SELECT id, {second} AS v FROM (SELECT id, {first} AS h FROM ({source})))"
+
+
+def head_step(dim: int, hidden: int, out: int, lr: float, margin: float = 1.0) -> str:
+    """Weights of the head by a rule after one step of plain descent on the mean contrastive loss of
+    vec_pairs(pair_id, fraud_emb, real_emb, label): forward, backward and update spelled out."""
+    row = lambda j, m, k: f"list_transform(range({m}), lambda i: (({j} * 5 + i * 3 + {k}) % 7 - 3) / 8.0::DOUBLE)"
+    at = lambda j, i, k: f"(({j} * 5 + {i} * 3 + {k}) % 7 - 3) / 8.0::DOUBLE"
+    layer1 = lambda x: f"list_transform(range({hidden}), lambda j: greatest(list_dot_product({row('j', dim, 0)}, {x}) + ((j * 5 + 1) % 7 - 3) / 8.0::DOUBLE, 0.0::DOUBLE))"
+    layer2 = lambda h: f"list_transform(range({out}), lambda o: list_dot_product({row('o', hidden, 2)}, {h}) + ((o * 5 + 3) % 7 - 3) / 8.0::DOUBLE)"
+    return f"""
+hid AS MATERIALIZED (SELECT label, fraud_emb AS x, real_emb AS y, {layer1("fraud_emb")} AS hx, {layer1("real_emb")} AS hy FROM vec_pairs),
+proj AS MATERIALIZED (SELECT *, {layer2("hx")} AS px, {layer2("hy")} AS py FROM hid),
+unit AS (SELECT *, sqrt(list_dot_product(px, px)) AS nx, sqrt(list_dot_product(py, py)) AS ny FROM proj),
+dist AS MATERIALIZED (SELECT *, list_transform(range(1, {out + 1}), lambda o: px[o] / nx) AS ux, list_transform(range(1, {out + 1}), lambda o: py[o] / ny) AS uy FROM unit),
+gap AS (SELECT *, list_transform(range(1, {out + 1}), lambda o: ux[o] - uy[o]) AS diff FROM dist),
+slope AS (SELECT *, sqrt(list_dot_product(diff, diff)) AS d FROM gap),
+pull AS MATERIALIZED (SELECT *, list_transform(diff, lambda v: v * (2 * label * d - 2 * (1 - label) * greatest({margin} - d, 0)) / greatest(d, 1e-12)) AS g FROM slope),
+back AS MATERIALIZED (
+  SELECT x AS z, hx AS h, list_transform(range(1, {out + 1}), lambda o: (g[o] - ux[o] * list_dot_product(g, ux)) / nx) AS gp FROM pull UNION ALL
+  SELECT y, hy, list_transform(range(1, {out + 1}), lambda o: (-g[o] + uy[o] * list_dot_product(g, uy)) / ny) FROM pull),
+deep AS MATERIALIZED (SELECT z, h, gp, list_transform(range({hidden}), lambda j: CASE WHEN h[j + 1] > 0 THEN list_sum(list_transform(range({out}), lambda o: gp[o + 1] * ({at("o", "j", 2)}))) ELSE 0.0::DOUBLE END) AS gh FROM back),
+n AS (SELECT count(*) AS n FROM vec_pairs),
+grads AS (
+  SELECT 'w1' AS name, j * {dim} + i AS slot, {at("j", "i", 0)} AS old, sum(gh[j + 1] * z[i + 1]) AS g FROM deep, range({hidden}) a(j), range({dim}) b(i) GROUP BY j, i UNION ALL
+  SELECT 'b1', j, {at("j", "0", 1)}, sum(gh[j + 1]) FROM deep, range({hidden}) a(j) GROUP BY j UNION ALL
+  SELECT 'w2', o * {hidden} + j, {at("o", "j", 2)}, sum(gp[o + 1] * h[j + 1]) FROM deep, range({out}) a(o), range({hidden}) b(j) GROUP BY o, j UNION ALL
+  SELECT 'b2', o, {at("o", "0", 3)}, sum(gp[o + 1]) FROM deep, range({out}) a(o) GROUP BY o)
+SELECT name, slot::INTEGER AS slot, round(old - {lr} * g / n, 6) AS weight FROM grads, n"""

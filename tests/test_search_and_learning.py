@@ -142,6 +142,33 @@ def test_training_lowers_the_loss(spark, separable, tmp_path):
         learn.Optimiser("rmsprop").step([np.zeros(1)], [np.zeros(1)])
 
 
+def test_trials_at_once_are_trials_one_by_one(separable, monkeypatch):
+    """Fits of different sizes and batches, in pieces and salted groups, equal a plain loop over the rows."""
+    monkeypatch.setattr(learn, "SLOTS", 17)
+    rows = [(r.pair_id, np.array(r.fraud_emb), np.array(r.real_emb), r.label) for r in separable.collect()]
+    make = lambda: [learn.Fit(learn.Head.random(6, h, 3), b, m, learn.Optimiser(kind, 0.05, 1e-3)) for h, b, m, kind in ((8, 2, 1.0, "adam"), (5, 3, 0.5, "sgd"), (4, 1, 1.5, "rmsprop"))]
+    together = learn.train_heads(separable.repartition(7), separable, make(), epochs=2)
+    share = {(r.pair_id, e, b): getattr(r, f"b{e}_{b}") for r in separable.select("pair_id", *[F.pmod(F.xxhash64("pair_id", F.lit(e)), F.lit(b)).alias(f"b{e}_{b}") for e in range(2) for b in (2, 3)]).collect() for e in range(2) for b in (2, 3)}
+    for fit, got in zip(make()[:2], together):
+        for epoch in range(2):
+            for batch in range(fit.batches):
+                mine = [r for r in rows if share[r[0], epoch, fit.batches] == batch]
+                x, y, label = (np.array([r[k] for r in mine]) for k in (1, 2, 3))
+                _, gradient = learn.loss_and_gradient(fit.head, x, y, label, fit.margin)
+                fit.optimiser.step(fit.head.arrays(), [g / len(mine) for g in gradient])
+        assert all(np.allclose(a, b) for a, b in zip(fit.head.arrays(), got.head.arrays())) and len(got.history) == 2
+    assert "rmsprop" in together[2].error and not together[2].history
+
+
+def test_the_driver_gets_each_weight_once(separable, monkeypatch):
+    """Rows collected in a step do not depend on the number of tasks."""
+    collected, plain = [], type(separable).collect
+    monkeypatch.setattr(type(separable), "collect", lambda df: collected.append(plain(df)) or collected[-1])
+    for parts in (1, 9):
+        learn.gradient_sums(separable.repartition(parts), {0: learn.Fit(learn.Head.random(6, 8, 4), 1)}, 0, 0)
+    assert [len(x) for x in collected] == [1, 1]
+
+
 def test_sweep_has_real_scores(separable):
     rows = learn.sweep(separable, separable, 6, n_trials=2, epochs=1).collect()
     assert len(rows) == 2 and all(0 < r.test_auc <= 1 and 0 < r.test_accuracy <= 1 for r in rows)
