@@ -19,6 +19,8 @@ from .common import bounded_batches
 
 #: Rows of an image whose integral is held at once.
 STRIP_ROWS = 1024
+#: Greatest width and height, as the tiles' columns hold them.
+MOST = (1 << 31) - 1
 TOKEN = re.compile(rb"(?:[ \t\r\n\x0b\x0c]|#[^\r\n]*[\r\n])*([0-9]+)")
 
 
@@ -43,6 +45,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     w, h, most = *numbers[:2], 1 if bitmap else numbers[2]
     if not 0 < most < 65536:
         raise ValueError("bad Netpbm depth")
+    if max(w, h) > MOST:
+        raise ValueError("Netpbm image too large")
     n, row = w * h * channels, (w + 7) // 8
     wide = np.dtype("u1" if most < 256 else ">u2")
     if (n if plain else row * h if bitmap else n * wide.itemsize) > len(data) - at:
@@ -67,7 +71,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
     """Uncompressed 8-bit palette, 24-bit and 32-bit BMP, and 32-bit with colour masks, as (h, w, 3) RGB,
     or (h, w) for a grey palette."""
     offset, header, w, h, _, bits, packed = struct.unpack_from("<10xIIiiHHI", data)
-    if (packed, bits) not in ((0, 8), (0, 24), (0, 32), (3, 32)) or w <= 0:
+    if (packed, bits) not in ((0, 8), (0, 24), (0, 32), (3, 32)) or w <= 0 or abs(h) > MOST:
         raise ValueError("unsupported BMP")
     stride = (w * bits // 8 + 3) // 4 * 4
     if stride * abs(h) > len(data) - offset:
@@ -192,12 +196,34 @@ def payload_of(text, unit: int = 576):
     return F.concat(raw, F.substring(F.lit(bytearray(b"\xff" * unit)), F.lit(1), fill))
 
 
-def netpbm_of(payload, width: int = 576):
-    """A binary grey map (P5) of ``width`` samples a row that holds the payload."""
-    header = F.concat(F.lit(f"P5\n{width} "), (F.octet_length(payload) / width).cast("long").cast("string"), F.lit("\n255\n"))
+def netpbm_of(payload, width: int = 576, channels: int = 1):
+    """A binary grey map (P5) of ``width`` samples a row, or a pixmap (P6) of a third as many pixels, that
+    holds the payload."""
+    header = F.concat(F.lit(f"P{5 if channels == 1 else 6}\n{width // channels} "), (F.octet_length(payload) / width).cast("long").cast("string"), F.lit("\n255\n"))
     return F.concat(header.cast("binary"), payload)
 
 
+def bmp_of(payload, width: int = 576):
+    """An 8-bit BMP of ``width`` samples a row (a multiple of 4) and a grey palette, its rows from the top."""
+
+    def number(x):
+        """Four bytes, the lowest first."""
+        text = F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(1 << 32))), 8, "0")
+        return F.unhex(F.concat(*[F.substring(text, k, 2) for k in (7, 5, 3, 1)]))
+
+    whole = lambda *numbers: F.lit(bytearray(struct.pack(f"<{len(numbers)}I", *numbers)))
+    rows, start = F.octet_length(payload) / width, 54 + 4 * 256
+    palette = F.lit(bytearray(b"".join(bytes([k, k, k, 0]) for k in range(256))))
+    head = F.concat(F.lit(bytearray(b"BM")), number(F.octet_length(payload) + start), whole(0, start, 40, width), number(-rows), F.lit(bytearray(struct.pack("<HH", 1, 8))), whole(0), number(F.octet_length(payload)))
+    return F.concat(head, whole(2835, 2835, 256, 0), palette, payload)
+
+
+def image_of(payload, width: int = 576):
+    """The payload as a grey map, a pixmap or a BMP, by its number of rows."""
+    turn = F.pmod((F.octet_length(payload) / width).cast("long"), F.lit(3))
+    return F.when(turn == 0, netpbm_of(payload, width)).when(turn == 1, netpbm_of(payload, width, 3)).otherwise(bmp_of(payload, width))
+
+
 def tile_samples(tile):
     """The samples of a column of 8-bit NPY tiles as bytes, read back through the NPY reader."""
 
@@ -209,9 +235,9 @@ def tile_samples(tile):
 
 
 def op4_media(spark, sf_dir: str) -> DataFrame:
-    """Every document's bytes as a grey map, stored as an NPY tile and read back."""
+    """Every document's bytes as a grey map, pixmap or BMP, stored as an NPY tile and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    image = netpbm_of(payload_of(F.col("text")))
+    image = image_of(payload_of(F.col("text")))
     stored = media_tiles(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), image.alias("image")), "image")
     back = stored.select("doc_id", "n_bytes", "media", tile_samples("media.tile").alias("samples"))
     return back.select(
