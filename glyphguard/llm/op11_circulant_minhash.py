@@ -16,20 +16,18 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, drop_cut, if_small, text_slices
+from .common import bounded_batches, cut, drop_cut, text_slices
 from .components import components
-from .op1_jaccard_join import WORDS, bitmap
+from .near_sets import SLICE, bitmap, close, digest, verified
 from .shingles import shingle_sets
 
-SLICE = 1 << 20
 #: The circle of places, bands, and coordinates of a band.
 CIRCLE = 1 << 20
 BANDS, ROWS = 42, 6
@@ -66,10 +64,6 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return ((sig.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * _by_row).sum(axis=1) * np.uint64(0x9E3779B97F4A7C15) ^ _by_band
 
 
-def _digest(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens, digest_size=16).digest()
-
-
 def describe(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, digest, bits, bands) of every document; bits and bands are given once per set and task."""
 
@@ -79,7 +73,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
             for batch in text_slices(whole, "text", SLICE):
                 n, digests, bits, keys = [], [], [], []
                 for tokens in shingle_sets(batch.column("text"), words):
-                    digests.append(_digest(tokens))
+                    digests.append(digest(tokens))
                     n.append(len(tokens))
                     new = len(tokens) > 0 and digests[-1] not in seen
                     seen.add(digests[-1])
@@ -93,42 +87,6 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(read, "doc_id long, n int, digest binary, bits array<long>, bands array<long>")
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, tokens) of the classes in ``wanted`` (id, doc_id: one row that has the set)."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in text_slices(whole, "text", SLICE):
-                sets = shingle_sets(batch.column("text"), words)
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["id", "tokens"])
-
-    ids = wanted.select("doc_id").distinct()
-    found = docs.join(if_small(wanted, 16, ids), "doc_id", "left_semi").mapInArrow(read, "id binary, tokens array<long>")
-    return found.join(if_small(wanted, 32, wanted.select("id")), "id", "left_semi").groupBy("id").agg(F.first("tokens").alias("tokens"))
-
-
-def close(a: str, b: str, percent: int) -> Column:
-    """A bound on two classes (structs n, bits), false only where they cannot reach the threshold: a bit
-    in which their bitmaps differ is a token that one of them has alone, and a similarity of s leaves at
-    most (1 - s) / (1 + s) of the sizes' sum unshared."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    unshared = sum((F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k])) for k in range(WORDS)), F.lit(0))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (unshared * (100 + percent) <= (n + m) * (100 - percent))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, by_id: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) of classes whose exact similarity reaches the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = cut(by_id.select("id", "doc_id").join(ids, "id", "left_semi"), "wanted")
-    sets = cut(set_table(docs, wanted, words), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = cut(both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
-    drop_cut(sets)
-    drop_cut(wanted)
-    return links
-
-
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id, kept, n_links.
 
@@ -168,18 +126,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     q = left.select(F.col("key").alias("_key"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("of").alias("q"))
     pairs = p.join(q, (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close("p", "q", percent)).select("a", "b").distinct()
     known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = verified(cut(pairs.join(known, ["a", "b"], "left_anti"), "pairs"), docs, by_id, words, percent)
+    pairs = cut(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
+    late = verified(pairs, docs, by_id, words, percent)
     both = cut(links.union(late).distinct(), "all_links")
     roots = components(both)
-    for done in (shared, leads, stars, left):
-        drop_cut(done)
 
     degree = both.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     of_class = classes.select("id", "doc_id").join(roots, "id", "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
     least = of_class.groupBy("root").agg(F.min("doc_id").alias("component"))
     final = cut(of_class.join(least, "root").join(degree, "id", "left").select("id", "component", F.coalesce("n_links", F.lit(0)).alias("n_links")), "final")
-    drop_cut(classes)
-    drop_cut(both)
+    for done in (shared, leads, stars, left, pairs, links, late, both, classes, roots):
+        drop_cut(done)
     out = described.select("doc_id", "n", "digest").join(final, (F.col("digest") == F.col("id")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -26,7 +26,6 @@ expanded into pairs: within a class or a group nothing more is compared.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,15 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, drop_cut, if_small, text_slices
+from .common import bounded_batches, cut, drop_cut, text_slices
 from .components import components
+from .near_sets import SLICE, WORDS, bitmap, close, digest, popcount, verified
 from .shingles import shingle_sets
 
-SLICE = 1 << 20
-#: Counters of the sketch and words of a bitmap: fixed sizes, whatever the input.
+#: Counters of the sketch: fixed sizes, whatever the input.
 SKETCH = 1 << 18
 PART = 1 << 14
-WORDS = 32
 #: Groups of at most so many members are opened on their union's bound alone.
 FEW = 4
 
@@ -53,12 +51,6 @@ def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
     return n - (percent * n + 99) // 100 + 1, n + (-2 * percent * n) // (100 + percent) + 1
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * WORDS, np.uint8)
-    bits[(tokens >> np.uint64(20)) % np.uint64(64 * WORDS)] = 1
-    return np.packbits(bits).view(np.int64)
-
-
 def describe(docs: DataFrame, words: int) -> DataFrame:
     """One row a document (doc_id, n, digest, bits) and, with n null, the sketch of each task in
     parts (part, counts)."""
@@ -67,13 +59,13 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
         sketch, seen, waiting, size = np.zeros(SKETCH, np.int64), set(), [], 0
         for whole in batches:
             for batch in text_slices(whole, "text", SLICE):
-                n, digest, bits = [], [], []
+                n, ids, bits = [], [], []
                 for tokens in shingle_sets(batch.column("text"), words):
                     n.append(len(tokens))
-                    digest.append(hashlib.blake2b(tokens, digest_size=16).digest())
+                    ids.append(digest(tokens))
                     bits.append(bitmap(tokens))
-                    if digest[-1] not in seen:
-                        seen.add(digest[-1])
+                    if ids[-1] not in seen:
+                        seen.add(ids[-1])
                         waiting.append((tokens & np.uint64(SKETCH - 1)).astype(np.int32))
                         size += len(tokens)
                 if size > SKETCH:
@@ -81,7 +73,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                     waiting, size = [], 0
                 none = pa.nulls(len(n))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(bits, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())],
+                    [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(ids, pa.binary()), pa.array(bits, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())],
                     ["doc_id", "n", "digest", "bits", "part", "counts"],
                 )
         if waiting:
@@ -114,8 +106,8 @@ def merged_sketch(parts: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, doc_id, mark) of the rarest tokens of each set, each distinct set once a task; mark is twice
-    the mean count of the set's prefix tokens, plus 1 on tokens that are indexed."""
+    """(token, id, mark) of the rarest tokens of each set, by its digest, each distinct set once a task; mark
+    is twice the mean count of the set's prefix tokens, plus 1 on tokens that are indexed."""
     order = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1) << np.uint64(40))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,51 +117,22 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
                 ids, found, sizes, marks = [], [], [], []
                 for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), words)):
                     n = len(tokens)
-                    if not n or doc_id is None or (key := hashlib.blake2b(tokens, digest_size=16).digest()) in seen:
+                    if not n or doc_id is None or (key := digest(tokens)) in seen:
                         continue
                     seen.add(key)
                     rank = common[tokens & np.uint64(SKETCH - 1)] | (tokens >> np.uint64(24))
                     asked, indexed = prefix_lengths(n, percent)
                     first = np.argsort(rank, kind="stable")[:asked]
-                    ids.append(doc_id)
+                    ids.append(key)
                     mark = np.full(len(first), 2 * int((rank[first] >> np.uint64(40)).mean()), np.int32)
                     mark[:indexed] += 1
                     marks.append(mark)
                     sizes.append(len(first))
                     found.append(tokens[first])
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.concatenate(marks))], ["token", "doc_id", "mark"])
-
-    return docs.mapInArrow(read, "token long, doc_id long, mark int")
-
-
-def set_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(doc_id, tokens) of the documents in ``wanted`` (doc_id)."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in text_slices(whole, "text", SLICE):
-                sets = [x.view(np.int64) for x in shingle_sets(batch.column("text"), words)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "tokens"])
-
-    return docs.join(if_small(wanted, 16), "doc_id", "left_semi").mapInArrow(read, "doc_id long, tokens array<long>")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids, pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), sizes))), pa.array(np.concatenate(marks))], ["token", "id", "mark"])
 
-
-def _bits(expression) -> F.Column:
-    """Population count over the words of a bitmap expression of the word's number."""
-    total = F.lit(0)
-    for k in range(WORDS):
-        total = total + F.bit_count(expression(k))
-    return total
-
-
-def _close(a: str, b: str, percent: int) -> F.Column:
-    """A bound on two documents (structs n, bits): false only where they cannot reach the threshold.
-    Intersection >= percent / (100 + percent) of the sizes' sum leaves so many tokens unmatched, and
-    every bit in which the bitmaps differ is an unmatched token."""
-    sizes = F.col(f"{a}.n") + F.col(f"{b}.n")
-    differ = _bits(lambda k: F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k]))
-    return (100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")) & (differ * (100 + percent) <= sizes * (100 - percent))
+    return docs.mapInArrow(read, "token long, id binary, mark int")
 
 
 def _cells(n: F.Column, m: F.Column, percent: int) -> F.Column:
@@ -178,22 +141,6 @@ def _cells(n: F.Column, m: F.Column, percent: int) -> F.Column:
     return 1 + overlap - F.ceil(F.greatest(n, m) * percent / 100 + 1e-6)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose exact similarity reaches the threshold, as a written
-    table. Nothing after the joins needs their partitioning, so Spark may split a document of very
-    many pairs."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    sets = cut(set_table(docs, wanted, words), "sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    out = cut(both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
-    drop_cut(sets)
-    drop_cut(wanted)
-    return out
-
-
 def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id, n_equal.
 
@@ -201,81 +148,78 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     component_id is the smallest doc_id reachable; n_equal is the number of rows with the same
     set, this one included (0 without shingles or id). Null, empty and white-space texts have no shingles and are linked with
     nothing, not even with each other. A row without doc_id is linked with nothing and has a null
-    component. Rows that repeat a doc_id are judged row by row. Extra columns are not read.
+    component. Rows that repeat a doc_id are judged row by row, each with its own text. Extra columns are
+    not read.
     """
     docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = cut(describe(docs, words), "described")
     counts = merged_sketch(described.filter("part is not null").select("part", "counts"))
     rows = described.filter("part is null").select("doc_id", "n", "digest", "bits")
-    classes = cut(
-        rows.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_equal"), F.first("n").alias("n"), F.first("bits").alias("bits")),
-        "classes",
-    )
-    rep_of = rows.filter("n > 0 and doc_id is not null").select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
-    by_rep = classes.select("rep", F.struct("n", "bits").alias("of"))
+    one = rows.filter("n > 0 and doc_id is not null").groupBy(F.col("digest").alias("id"))
+    classes = cut(one.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_equal"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    of = classes.select("id", F.struct("n", "bits").alias("of"))
 
-    # Tokens that stand in the prefixes of two documents or more, with the most common of these. Counts and
-    # leaders are pre-aggregated; the joins back to the tokens' documents are open to being split.
+    # Tokens that stand in the prefixes of two sets or more, with the most common of these. Counts and
+    # leaders are pre-aggregated; the joins back to the tokens' sets are open to being split.
     asked = prefixes(docs, counts, words, percent)
     several = asked.groupBy("token").agg(F.count("*").alias("holders")).filter("holders > 1").select("token")
     held = cut(asked.join(several, "token", "left_semi"), "held_tokens")
-    leads = held.groupBy("token").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max_by("doc_id", F.struct("mark", -F.col("doc_id"))).alias("lead"))
+    leads = held.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max_by("id", F.struct("mark", "id")).alias("lead"))
     shared = held.join(leads.filter("first < last"), "token")
-    shared = cut(shared.select("token", "doc_id", "lead", (F.col("mark") % 2 == 1).alias("indexed")), "shared")
+    shared = cut(shared.select("token", "id", "lead", (F.col("mark") % 2 == 1).alias("indexed")), "shared")
     drop_cut(held)
-    reps = cut(rep_of.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "reps")
 
-    # Links to the leading document of each token. A third of the cells that a link needs is asked for
+    # Links to the leading set of each token. A third of the cells that a link needs is asked for
     # here: a link that is passed over is found below.
-    lead_rep = reps.select(F.col("doc_id").alias("lead"), F.col("rep").alias("b"))
-    stars = shared.groupBy("doc_id", "lead").agg(F.count("*").alias("cells")).join(reps.withColumnRenamed("rep", "a"), "doc_id").join(lead_rep, "lead")
-    stars = stars.filter("a <> b").groupBy("a", "b").agg(F.max("cells").alias("cells"))
-    near = stars.join(by_rep.select(F.col("rep").alias("a"), F.col("of").alias("p")), "a").join(by_rep.select(F.col("rep").alias("b"), F.col("of").alias("q")), "b").filter((3 * F.col("cells") >= _cells(F.col("p.n"), F.col("q.n"), percent)) & _close("p", "q", percent)).select("a", "b")
-    links = _verified(cut(near, "stars"), docs, words, percent)
+    stars = shared.filter("id <> lead").groupBy(F.col("id").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("cells"))
+    near = stars.join(of.select(F.col("id").alias("a"), F.col("of").alias("p")), "a").join(of.select(F.col("id").alias("b"), F.col("of").alias("q")), "b").filter((3 * F.col("cells") >= _cells(F.col("p.n"), F.col("q.n"), percent)) & close("p", "q", percent)).select("a", "b")
+    stars = cut(near, "stars")
+    links = verified(stars, docs, classes, words, percent)
     groups = components(links)
 
-    # The token-group matrix over classes, and each group's token union, size range and members.
-    member = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn("group", F.coalesce("root", "rep"))
-    member = cut(member.select("rep", "group", "n", "bits"), "members")
+    # The token-group matrix over sets, and each group's token union, size range and members.
+    member = classes.join(groups, "id", "left").withColumn("group", F.coalesce("root", "id"))
+    member = cut(member.select("id", "group", "n", "bits"), "members")
     union = member.groupBy("group").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"), F.array(*[F.bit_or(F.col("bits")[k]) for k in range(WORDS)]).alias("union")
     )
-    held = shared.select("token", "doc_id", "indexed").join(reps, "doc_id").select("token", "rep", "indexed").join(member.select("rep", "group", "n").distinct(), "rep")
+    held = shared.select("token", "id", "indexed").join(member.select("id", "group", "n"), "id")
     held = cut(held.distinct(), "held")
     index = held.filter("indexed").groupBy("token", "group").agg(F.min("n").alias("smallest"))
-    asking = held.select("token", F.col("rep").alias("a"), F.col("group").alias("own"), "n")
+    asking = held.select("token", F.col("id").alias("a"), F.col("group").alias("own"), "n")
     meets = asking.join(index, "token").filter("own <> group and smallest <= n").select("a", "group").distinct()
 
     # Bounds on a group: sizes, tokens that its union lacks, and, where opening it means many comparisons,
     # cells. The bound on cells is least at the
     # ends of the range of sizes that may be linked.
-    bound = meets.join(member.select(F.col("rep").alias("a"), F.struct("n", "bits").alias("p")), "a").join(union, "group")
-    absent = _bits(lambda k: F.col("p.bits")[k].bitwiseAND(F.bitwise_not(F.col("union")[k])))
+    bound = meets.join(member.select(F.col("id").alias("a"), F.struct("n", "bits").alias("p")), "a").join(union, "group")
+    absent = popcount(lambda k: F.col("p.bits")[k].bitwiseAND(F.bitwise_not(F.col("union")[k])))
     n, nearest = F.col("p.n"), (F.greatest("least", F.floor(F.col("p.n") * percent / 100)), F.least("most", F.ceil(F.col("p.n") * 100 / percent)))
     fits = (100 * (n - absent) >= percent * n) & (100 * F.col("most") >= percent * n) & (100 * n >= percent * F.col("least"))
     bound = cut(bound.filter(fits).select("a", "group", "members", "p", (F.least(*[_cells(n, m, percent) for m in nearest]) - 1).alias("need")), "bound")
-    cells = bound.filter(F.col("members") > FEW).select("a", "group").distinct().join(held.select(F.col("rep").alias("a"), "token").distinct(), "a")
+    cells = bound.filter(F.col("members") > FEW).select("a", "group").distinct().join(held.select(F.col("id").alias("a"), "token").distinct(), "a")
     cells = cells.join(held.select("token", "group").distinct(), ["token", "group"]).groupBy("a", "group").agg(F.count("*").alias("cells"))
     opened = bound.filter(F.col("members") > FEW).join(cells, ["a", "group"]).filter("cells >= need").select("a", "p", "group")
     few = bound.filter(F.col("members") <= FEW).select("a", "p", "group")
-    others = member.select("group", F.col("rep").alias("b"), F.struct("n", "bits").alias("q"))
-    close = lambda groups: groups.join(others, "group").filter(_close("p", "q", percent)).select("a", "b", _cells(F.col("p.n"), F.col("q.n"), percent).alias("need"))
+    others = member.select("group", F.col("id").alias("b"), F.struct("n", "bits").alias("q"))
+    near = lambda groups: groups.join(others, "group").filter(close("p", "q", percent)).select("a", "b", _cells(F.col("p.n"), F.col("q.n"), percent).alias("need"))
     # Members of small groups that the bitmaps leave, mostly long texts, are held to their own cells.
-    few = cut(close(few).groupBy("a", "b").agg(F.min("need").alias("need")), "few")
-    tokens = held.select("rep", "token").distinct()
-    both = few.join(tokens.withColumnRenamed("rep", "a"), "a").join(tokens.withColumnRenamed("rep", "b"), ["b", "token"])
-    few = both.groupBy("a", "b").agg(F.count("*").alias("cells"), F.first("need").alias("need")).filter("cells >= need")
-    pairs = close(opened).select("a", "b").union(few.select("a", "b")).distinct()
-    late = _verified(cut(pairs, "pairs"), docs, words, percent)
-    links = cut(links.union(late).distinct(), "all_links")
-    roots = components(links)
-    for done in (shared, held, reps, member, bound):
+    few = cut(near(few).groupBy("a", "b").agg(F.min("need").alias("need")), "few")
+    tokens = held.select("id", "token").distinct()
+    both = few.join(tokens.withColumnRenamed("id", "a"), "a").join(tokens.withColumnRenamed("id", "b"), ["b", "token"])
+    some = both.groupBy("a", "b").agg(F.count("*").alias("cells"), F.first("need").alias("need")).filter("cells >= need")
+    pairs = cut(near(opened).select("a", "b").union(some.select("a", "b")).distinct(), "pairs")
+    late = verified(pairs, docs, classes, words, percent)
+    for done in (shared, stars, held, member, bound, few, pairs):
         drop_cut(done)
+    both = cut(links.union(late).distinct(), "all_links")
+    roots = components(both)
 
-    final = cut(
-        classes.select("digest", "rep", "n_equal").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"), "n_equal"),
-        "components",
-    )
+    of_class = classes.select("id", "doc_id", "n_equal").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = of_class.groupBy("root").agg(F.min("doc_id").alias("component"))
+    final = cut(of_class.join(least, "root").select(F.col("id").alias("digest"), "component", "n_equal"), "components")
+    for done in (classes, links, late, both, groups, roots):
+        drop_cut(done)
     out = rows.select("doc_id", "n", "digest").join(final.withColumnRenamed("digest", "_digest"), (F.col("digest") == F.col("_digest")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     return out.select(
         "doc_id",

@@ -62,6 +62,14 @@ def test_near_copies_around_the_threshold(spark):
     assert found(op.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_one_id_with_two_texts_stays_two_rows(spark):
+    """Rows of one id are nodes of their own: texts that share nothing stay apart."""
+    a, b = ([" ".join(f"{c}{i}" for i in range(k)) for k in (60, 60, 61)] for c in "ab")
+    rows = [(3, a[0]), (6, a[2]), (6, b[0]), (9, b[1]), (20, b[2])]
+    got = sorted((r.doc_id, r.component_id, r.n_equal) for r in op.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3, 1), (6, 3, 1), (6, 6, 2), (9, 6, 2), (20, 6, 1)]
+
+
 def test_edges(spark, edge_docs):
     rows = op.jaccard_join(edge_docs).collect()
     assert len(rows) == edge_docs.count()
