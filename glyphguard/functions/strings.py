@@ -1,4 +1,4 @@
-"""String similarities as built-in expressions: no Python worker takes part.
+"""String similarities as built-in expressions; only ``partial_ratio`` goes through Python, in batches.
 
 ``ratio`` is 100 * 2 * LCS / (|a| + |b|), rounded half to even. The longest common subsequence is
 counted in the bits of one long (a set bit of V for each place of the shorter text that is not
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +28,9 @@ def lev_dist(a: Column, b: Column) -> Column:
 
 
 def lev_similarity(a: Column, b: Column) -> Column:
-    """1 - distance / longer length; 1.0 for two empty texts."""
+    """1 - distance / longer length; 1.0 for two empty texts; null with a null one."""
     longest = F.greatest(F.char_length(a), F.char_length(b))
-    return F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
+    return F.when((longest == 0) & a.isNotNull() & b.isNotNull(), 1.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
 def _chars(x: Column) -> Column:
@@ -109,6 +110,10 @@ def _tokens(x: Column) -> Column:
     return F.filter(F.split(x, "\\s+"), lambda t: t != "")
 
 
+def prepared_tokens(x: Column) -> Column:
+    return _tokens(prepare(x))
+
+
 def sorted_tokens(x: Column) -> Column:
     return F.array_join(F.array_sort(_tokens(prepare(x))), " ")
 
@@ -136,17 +141,14 @@ def token_set_ratio(a: Column, b: Column) -> Column:
 
 def partial_ratio(a: Column, b: Column) -> Column:
     """Best ratio of the shorter text against every window of its length in the longer one; windows
-    are cut off at the end. The shorter text's places are found once for all windows."""
+    are cut off at the end. Batches of pairs go through ``sliding.partial_ratios``."""
+    from .sliding import partial_ratios
 
-    def of(short: Column, long: Column) -> Column:
-        n = F.char_length(short)
-        windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(long), F.lit(1))), lambda i: F.substr(long, i, n)))
-        by_bits = let(_places(_chars(short)), lambda places: F.array_max(F.transform(windows, lambda w: _percent(_lcs_bits(n, places, w), n + F.char_length(w)))))
-        return F.when(n == 0, 0).when(n <= BITS, by_bits).otherwise(F.array_max(F.transform(windows, lambda w: ratio(short, w))))
+    @F.arrow_udf("int")
+    def best(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(partial_ratios(x.to_pylist(), y.to_pylist()), pa.int32())
 
-    first = F.char_length(a) <= F.char_length(b)
-    best = let(F.when(first, a).otherwise(b), lambda short: let(F.when(first, b).otherwise(a), lambda long: of(short, long)))
-    return F.when(a == b, 100).otherwise(best)
+    return best(a, b)
 
 
 #: Scorers by name, each giving a similarity from 0 to 1.
