@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import names, strings, vectors
 from ..operators import evaluate as ev
-from ..operators import hooks, learn, search, vector_index
+from ..operators import hooks, learn, name_index, search, vector_index
 from ..operators import tables as ops
 from ..sources import tables as src
-from ..sources.scratch import new_path, stored
+from ..sources.scratch import new_path, stored, tasks
 from . import sql
 from .views import CUSTOMER_QUERIES, LINE_SCORES, NAME_PAIRS, PART_REFS, VEC_PAIRS, customer_queries, line_scores, name_pairs, part_refs, spoof, table, vec_pairs
 
@@ -218,7 +218,9 @@ def levenshtein_similarity(spark, sf_dir):
 
 
 def distinct_pairs(spark, sf_dir) -> DataFrame:
-    return name_pairs(spark, sf_dir).select("fraudulent_name", "real_name").distinct()
+    """Dealt evenly: the scores cost far more than the rows, so their size must not decide the tasks."""
+    pairs = name_pairs(spark, sf_dir).select("fraudulent_name", "real_name").distinct()
+    return pairs.repartition(tasks(pairs))
 
 
 def _string_query(name, scorer, text):
@@ -549,9 +551,47 @@ def minhash_topk(spark, sf_dir):
 
 @query(sql.lookup_query(PART_REFS))
 def fuzzy_lookup(spark, sf_dir):
+    return search.fuzzy_lookup(*type_lookup(spark, sf_dir), 40)
+
+
+BEST_CUSTOMER = f"""{CUSTOMER_QUERIES}, s AS (SELECT *, 1.0::DOUBLE - levenshtein(query_name, ref_name)::DOUBLE / greatest(length(query_name), length(ref_name)) AS sim FROM queries, refs)"""
+
+
+@query(f"WITH {BEST_CUSTOMER} SELECT query_id, query_name, arg_max(ref_name, (sim, -ref_id)) AS best_real_name, round(max(sim), 6) AS lev_similarity FROM s GROUP BY query_id, query_name")
+def nearest_name_pivots(spark, sf_dir):
+    """``nearest_name_exact`` by a table of distances to pivots."""
+    return rounded(name_index.nearest_name_pivots(*customer_queries(spark, sf_dir))[0])
+
+
+@query(f"""WITH {CUSTOMER_QUERIES}, {sql.TFIDF}, {sql.TFIDF_TOP} SELECT query_id, ref_id, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM top""")
+def tfidf_topk_pruned(spark, sf_dir):
+    """``tfidf_topk`` over the customers' names, frequent n-grams read only where they can matter."""
+    queries, refs = customer_queries(spark, sf_dir)
+    return rounded(name_index.tfidf_topk_pruned(queries, refs, search.neighbours(refs))[0])
+
+
+def type_lookup(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Names of parts to look up, and the list of part types."""
     queries, _ = part_refs(spark, sf_dir)
     refs = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("ref_name")).agg(F.min("p_partkey").alias("ref_id"))
-    return search.fuzzy_lookup(queries.select(F.col("query_id").alias("text_id"), F.col("query_name").alias("text")), refs, 40)
+    return queries.select(F.col("query_id").alias("text_id"), F.col("query_name").alias("text")), refs
+
+
+@query(SQL["fuzzy_lookup"])
+def fuzzy_lookup_indexed(spark, sf_dir):
+    """``fuzzy_lookup`` by bounds on shared tokens and characters."""
+    return name_index.fuzzy_lookup_indexed(*type_lookup(spark, sf_dir), 40)[0]
+
+
+@query()
+def search_work(spark, sf_dir):
+    """Pairs that each bounded search measures (or gram pairs that it joins), of those there are."""
+    queries, refs = customer_queries(spark, sf_dir)
+    texts, types = type_lookup(spark, sf_dir)
+    pivots = name_index.nearest_name_pivots(queries, refs)[1].agg(F.sum("n_measured").alias("measured")).select(F.lit("nearest_name_pivots").alias("search"), F.lit(queries.count() * refs.count()).alias("all_pairs"), "measured")
+    grams = name_index.tfidf_topk_pruned(queries, refs, search.neighbours(refs))[1].agg(F.sum("all_pairs"), F.sum("joined")).select(F.lit("tfidf_topk_pruned"), "*")
+    lookup = name_index.fuzzy_lookup_indexed(texts, types, 40)[1].agg(F.sum("n_scored")).select(F.lit("fuzzy_lookup_indexed"), F.lit(texts.count() * types.count()), "*")
+    return pivots.union(grams).union(lookup)
 
 
 # Hooks and learning

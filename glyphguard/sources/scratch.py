@@ -41,3 +41,9 @@ def drop_stored(*tables: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def tasks(df: DataFrame) -> int:
+    """Partitions for rows that cost much each: Spark folds small tables into one task otherwise."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
