@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, strings, vectors
 from ..operators import evaluate as ev
-from ..operators import hooks, learn, name_index, search, vector_index
+from ..operators import hooks, learn, name_index, name_vectors, search, vector_index
 from ..operators import tables as ops
 from ..sources import tables as src
 from ..sources.scratch import new_path, stored, tasks
@@ -603,6 +603,22 @@ def embed_unique_names(spark, sf_dir):
     return both.select("pair_id", "label", r6(vectors.cosine(F.col("fraud_emb"), F.col("real_emb"))).alias("similarity"))
 
 
+@query(sql.gram_pairs_query(NAME_PAIRS))
+def name_gram_pairs(spark, sf_dir):
+    """In how many names two n-grams stand together, and their weight where that is more than chance."""
+    names = stored(ops.unique_names(name_pairs(spark, sf_dir)), "names")
+    pairs = stored(name_vectors.gram_pairs(names), "gram_pairs")
+    weights = name_vectors.mutual_information(pairs, names.count())
+    return rounded(pairs.join(weights, ["gram", "other"], "left").select("gram", "other", "n", "weight"))
+
+
+@query()
+def embed_learned_names(spark, sf_dir):
+    """As ``embed_unique_names``, by vectors learned from the names; tests hold its area against that one's."""
+    both = name_vectors.embed_learned(name_pairs(spark, sf_dir))
+    return both.select("pair_id", "label", r6(vectors.cosine(F.col("fraud_emb"), F.col("real_emb"))).alias("similarity"))
+
+
 def swapped_back():
     """An extractor that reads digits as the letters they stand for."""
     back = str.maketrans("0135", "oles")

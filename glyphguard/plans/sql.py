@@ -212,3 +212,13 @@ grads AS (
   SELECT 'w2', o * {hidden} + j, {at("o", "j", 2)}, sum(gp[o + 1] * h[j + 1]) FROM deep, range({out}) a(o), range({hidden}) b(j) GROUP BY o, j UNION ALL
   SELECT 'b2', o, {at("o", "0", 3)}, sum(gp[o + 1]) FROM deep, range({out}) a(o) GROUP BY o)
 SELECT name, slot::INTEGER AS slot, round(old - {lr} * g / n, 6) AS weight FROM grads, n"""
+
+
+def gram_pairs_query(pairs: str) -> str:
+    grams = " UNION ".join(f"SELECT name, substr(t, i, {k}) AS gram FROM (SELECT name, t, unnest(range(1, length(t) - {k} + 2)) AS i FROM marked)" for k in (1, 2))
+    return f"""WITH {pairs}, names AS (SELECT fraudulent_name AS name FROM name_pairs UNION SELECT real_name FROM name_pairs),
+marked AS (SELECT name, '^' || lower(name) || '$' AS t FROM names), grams AS ({grams}),
+together AS (SELECT a.gram, b.gram AS other, count(*) AS n FROM grams a JOIN grams b ON a.name = b.name GROUP BY 1, 2),
+own AS (SELECT gram, n FROM together WHERE gram = other),
+weighed AS (SELECT t.*, ln(t.n * (SELECT count(*) FROM names)::DOUBLE / (a.n * b.n)) AS w FROM together t JOIN own a ON a.gram = t.gram JOIN own b ON b.gram = t.other)
+SELECT gram, other, n, CASE WHEN w > 0 THEN round(w, 6) END AS weight FROM weighed"""
