@@ -2,13 +2,15 @@
 over rounds each labels unlabelled documents it is sure of for the other; both are calibrated, and
 their combined odds score every document.
 
-A view has two parts. Its tables hold, for each class, in how many documents each hashed feature stands
-(words of the text; source and language of the page): exact sums over all labelled
-documents and, from round to round, over all unlabelled ones that the other view is sure of. Its
-logistic regression weighs what the tables say of a document (for a text beside shape counts) and is
-fitted and calibrated on a bounded sample of labelled documents, a documented parameter, chosen by
-hashes of ids so that it does not depend on partitions; there, a document's own share is taken out of
-the tables. Features are computed once for training and kept as a table; sums are added up per task,
+The content view reads the words of the text. The metadata view reads what a crawler notes of a page
+without reading it: source, language, and the page's form (length, lines, shares of digits, capitals,
+marks and repeats), each figure as a range.
+
+A view has two parts. Its tables hold, for each class, in how many documents each feature stands: exact
+sums over all labelled documents and, from round to round, over all unlabelled ones that the other view
+is sure of. Its logistic regression weighs what the tables say of a document and is fitted and
+calibrated on a bounded sample of labelled documents, a documented parameter, chosen by hashes of ids so
+that it does not depend on partitions; there, a document's own share is taken out of the tables. Features are computed once for training and kept as a table; sums are added up per task,
 then by Spark, and have a fixed number of rows. Scoring is a per-row function of fixed weights.
 """
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,17 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut, drop_cut, text_slices
 from .shingles import words
 
-#: Slots of the hashed features: words, sources, languages.
+#: Slots of the features: hashed words, sources and languages, and ranges of each figure of the form.
 TEXT_BITS, SOURCES, LANGS = 13, 256, 64
-SLOTS = {"text": 1 << TEXT_BITS, "meta": SOURCES + LANGS}
-N_SHAPE = 16
+N_SHAPE, RANGES = 16, 16
+#: Figures of the form that are logarithms; the others are shares.
+LOGS = [0, 6, 13]
+#: Of a text's words' evidence, beside its mean, spread and number.
+QUANTILES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
+N_TEXT = len(QUANTILES) + 3
+#: Features that vary less than this are scaled as if they varied so much.
+LEAST_SCALE = 0.05
+SLOTS = {"text": 1 << TEXT_BITS, "meta": SOURCES + LANGS + N_SHAPE * RANGES}
 HASHES = 1 << 40
 #: Text bytes whose words are hashed at once.
 SLICE = 1 << 20
@@ -79,10 +88,22 @@ def text_slots(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(slot[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
 
 
-def meta_slots(sources: list[str | None], langs: list[str | None]) -> list[np.ndarray]:
-    """A slot for the source and one for the language of each page; null is a value of its own."""
+def form_slots(shapes: np.ndarray) -> np.ndarray:
+    """A slot for the range that each figure of a page's form lies in: even steps of a logarithm, steps of
+    a share that are finest near 0."""
+    step = (RANGES - 0.001) * np.sqrt(np.clip(shapes, 0, 1))
+    step[:, LOGS] = 1.2 * shapes[:, LOGS]
+    return (SOURCES + LANGS + RANGES * np.arange(N_SHAPE) + np.clip(step, 0, RANGES - 1).astype(int)).astype(np.uint16)
+
+
+def meta_slots(sources: list[str | None], langs: list[str | None], shapes: np.ndarray) -> list[np.ndarray]:
+    """Slots of the source, the language and the form of each page; null is a value of its own."""
     place = lambda v, n: 0 if v is None else 1 + zlib.crc32(v.encode("utf-8", "replace")) % (n - 1)
-    return [np.array([place(s, SOURCES), SOURCES + place(g, LANGS)], np.uint16) for s, g in zip(sources, langs)]
+    return [np.array([place(s, SOURCES), SOURCES + place(g, LANGS), *form], np.uint16) for s, g, form in zip(sources, langs, form_slots(shapes))]
+
+
+def shapes_of(texts: list[str]) -> np.ndarray:
+    return np.array([shape(t) for t in texts], np.float32).reshape(-1, N_SHAPE).astype(float)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -101,8 +122,8 @@ class Logistic:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Logistic:
-        mean, scale = x.mean(0), x.std(0)
-        scale[scale < 1e-9] = 1.0
+        # What a document's own share changes in evidence that all have alike must not be magnified.
+        mean, scale = x.mean(0), np.maximum(x.std(0), LEAST_SCALE)
         z = np.c_[np.ones(len(x)), (x - mean) / scale]
         w, penalty = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
         penalty[0] = 1e-6
@@ -158,37 +179,38 @@ class Tables:
         return np.log(rate[1] / rate[0])
 
 
-def inputs(view: str, tables: Tables, slots: list[np.ndarray], shapes: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
-    """What a view's regression sees of documents: for pages the evidence of source and language, for
-    texts the mean, least and greatest evidence of their slots beside their shape."""
+def inputs(view: str, tables: Tables, slots: list[np.ndarray], own: np.ndarray | None = None) -> np.ndarray:
+    """What a view's regression sees of documents: for metadata the evidence of each, for texts how the
+    evidence of their words is spread, and how many there are."""
     out, every = [], tables.evidence(np.arange(tables.counts.shape[1]))
     for k, some in enumerate(slots):
         e = every[some] if own is None else tables.evidence(some, own[k])
-        out.append(e if view == "meta" else [e.mean(), e.min(), e.max()] if len(e) else [0.0] * 3)
-    found = np.array(out, float).reshape(len(slots), 2 if view == "meta" else 3)
-    return found if view == "meta" else np.c_[shapes, found]
+        out.append(e if view == "meta" else [e.mean(), e.std(), *np.quantile(e, QUANTILES), np.log1p(len(e))] if len(e) else [0.0] * N_TEXT)
+    return np.array(out, float).reshape(len(slots), 2 + N_SHAPE if view == "meta" else N_TEXT)
 
 
 @dataclass
 class CoTrained:
-    """Two views; without two classes of labels, only the prior."""
+    """Two views; without two classes of labels, only the prior. ``received``: for each round the pseudo-
+    labels (bad, good) that each view got from the other."""
 
     prior: float
     tables: dict[str, Tables] | None = None
     models: dict[str, Logistic] | None = None
+    received: list[dict[str, list[int]]] = field(default_factory=list)
+    both: Logistic | None = None
 
-    def odds(self, slots: dict[str, list[np.ndarray]], shapes: np.ndarray) -> dict[str, np.ndarray]:
-        return {v: m.odds(inputs(v, self.tables[v], slots[v], shapes)) for v, m in self.models.items()}
+    def odds(self, slots: dict[str, list[np.ndarray]]) -> dict[str, np.ndarray]:
+        return {v: m.odds(inputs(v, self.tables[v], slots[v])) for v, m in self.models.items()}
 
-    def score(self, slots: dict[str, list[np.ndarray]], shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probability of good quality: combined, by text, by metadata. Views are taken as independent
-        given the class, so log odds add up, less the prior's that both contain."""
+    def score(self, slots: dict[str, list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability of good quality: combined, by text, by metadata. The views' calibrated log odds are
+        added with the weights that the calibration rows give them."""
         if self.models is None:
-            flat = np.full(len(shapes), self.prior)
+            flat = np.full(len(slots["text"]), self.prior)
             return flat, flat, flat
-        odds = self.odds(slots, shapes)
-        base = np.log(self.prior / (1 - self.prior))
-        return sigmoid(odds["text"] + odds["meta"] - base), sigmoid(odds["text"]), sigmoid(odds["meta"])
+        odds = self.odds(slots)
+        return sigmoid(self.both.raw(np.c_[odds["text"], odds["meta"]])), sigmoid(odds["text"]), sigmoid(odds["meta"])
 
 
 @dataclass
@@ -196,7 +218,6 @@ class Sample:
     """Labelled documents for the regressions; a fifth is kept for calibration."""
 
     slots: dict[str, list[np.ndarray]]
-    shapes: np.ndarray
     y: np.ndarray
 
     def fit(self, tables: dict[str, Tables]) -> CoTrained:
@@ -209,30 +230,32 @@ class Sample:
         check = held if held.any() else ~held
         models = {}
         for view, some in tables.items():
-            x = inputs(view, some, self.slots[view], self.shapes, y)
+            x = inputs(view, some, self.slots[view], y)
             models[view] = Logistic.fit(x[~held], y[~held])
             models[view].calibrate(x[check], y[check])
-        return CoTrained(float(np.clip(y.mean(), 0.001, 0.999)), tables, models)
+        model = CoTrained(float(np.clip(y.mean(), 0.001, 0.999)), tables, models)
+        odds = {v: m.odds(inputs(v, tables[v], self.slots[v], y)) for v, m in models.items()}
+        model.both = Logistic.fit(np.c_[odds["text"], odds["meta"]][check], y[check])
+        return model
 
 
-COLUMNS = "doc_id long, shape binary, text binary, meta binary"
+COLUMNS = "doc_id long, text binary, meta binary"
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, shape (32-bit floats), and the slots of both views (16-bit numbers) of each row."""
+    """doc_id and the slots of both views (16-bit numbers) of each row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "text", SLICE):
                 texts = batch.column("text")
-                meta = meta_slots(batch.column("source").to_pylist(), batch.column("lang").to_pylist())
+                meta = meta_slots(batch.column("source").to_pylist(), batch.column("lang").to_pylist(), shapes_of([t.as_py() or "" for t in texts]))
                 columns = [
                     batch.column("doc_id"),
-                    pa.array([np.array(shape(t.as_py() or ""), np.float32).tobytes() for t in texts], pa.binary()),
                     pa.array([x.tobytes() for x in text_slots(texts)], pa.binary()),
                     pa.array([x.tobytes() for x in meta], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shape", "text", "meta"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "meta"])
 
     return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_metadata(docs)).mapInArrow(read, COLUMNS)
 
@@ -242,10 +265,9 @@ def _metadata(docs: DataFrame) -> list:
     return [(F.col(c).cast("string") if c in have else F.lit(None).cast("string")).alias(c) for c in ("source", "lang")]
 
 
-def _unpacked(batch) -> tuple[dict[str, list[np.ndarray]], np.ndarray]:
-    """Slots of both views and shapes of a batch or table of feature rows."""
-    slots = {v: [np.frombuffer(x, np.uint16) for x in batch.column(v).to_pylist()] for v in SLOTS}
-    return slots, np.frombuffer(b"".join(batch.column("shape").to_pylist()), np.float32).reshape(-1, N_SHAPE).astype(float)
+def _unpacked(batch) -> dict[str, list[np.ndarray]]:
+    """Slots of both views of a batch or table of feature rows."""
+    return {v: [np.frombuffer(x, np.uint16) for x in batch.column(v).to_pylist()] for v in SLOTS}
 
 
 def summed_tables(rows: DataFrame, model: CoTrained | None, sure: float) -> dict[str, Tables]:
@@ -256,13 +278,14 @@ def summed_tables(rows: DataFrame, model: CoTrained | None, sure: float) -> dict
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, given = {v: Tables(n) for v, n in SLOTS.items()}, {}
         for batch in batches:
-            slots, shapes = _unpacked(batch)
+            slots = _unpacked(batch)
             if shared.value is None:
                 y = np.array(batch.column("y").to_pylist(), int)
                 given = dict.fromkeys(SLOTS, (np.arange(len(y)), y))
             else:
+                odds = shared.value.odds(slots)
                 for view, other in (("text", "meta"), ("meta", "text")):
-                    p = sigmoid(shared.value.odds(slots, shapes)[other])
+                    p = sigmoid(odds[other])
                     some = np.flatnonzero((p >= sure) | (p <= 1 - sure))
                     given[view] = some, (p[some] > 0.5).astype(int)
             for view, (places, y) in given.items():
@@ -302,12 +325,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, rounds: int =
     order = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(HASHES))
     bound = min(HASHES, 2 * sample * HASHES // max(1, int(tables["text"].n.sum())) + 1)
     chosen = labelled.filter(order < bound).orderBy(order, "doc_id", "y", "text").limit(sample).toArrow()
-    slots, shapes = _unpacked(chosen)
-    known = Sample(slots, shapes, np.array(chosen.column("y").to_pylist(), float))
+    known = Sample(_unpacked(chosen), np.array(chosen.column("y").to_pylist(), float))
     model = known.fit(tables)
     for _ in range(rounds if model.models else 0):
-        given = summed_tables(rows.filter("y is null"), model, sure)
+        given, received = summed_tables(rows.filter("y is null"), model, sure), model.received
         model = known.fit({v: tables[v] + given[v] for v in SLOTS})
+        model.received = [*received, {v: given[v].n.astype(int).tolist() for v in SLOTS}]
     drop_cut(rows)
     return model
 
@@ -328,9 +351,9 @@ def classify(docs: DataFrame, model: CoTrained, least: float = 0.5) -> DataFrame
         batch = pa.RecordBatch.from_arrays([texts, sources, langs], ["text", "source", "lang"])
         for part in text_slices(batch, "text", SLICE):
             plain = [t.as_py() or "" for t in part.column("text")]
-            slots = {"text": text_slots(part.column("text")), "meta": meta_slots(part.column("source").to_pylist(), part.column("lang").to_pylist())}
+            slots = {"text": text_slots(part.column("text")), "meta": meta_slots(part.column("source").to_pylist(), part.column("lang").to_pylist(), shapes_of(plain))}
             some = np.array([bool(t) for t in plain], bool)
-            parts.append([np.where(some, x, 0.0) for x in shared.value.score(slots, np.array([shape(t) for t in plain], np.float32).reshape(-1, N_SHAPE).astype(float))])
+            parts.append([np.where(some, x, 0.0) for x in shared.value.score(slots)])
         found = [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0)] * 3
         filled = np.array([len(t.as_py() or "") > 0 for t in texts], bool)
         return pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in found] + [pa.array(filled & (found[0] >= least))], new)

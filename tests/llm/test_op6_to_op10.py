@@ -42,7 +42,7 @@ def test_views_teach_each_other(spark):
     rows = [(i, " ".join(rng.choice(vocabulary[i % 2]) for _ in range(60)), "en", f"s{i % 2}{i // 2 % 5}") for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
     labels = spark.createDataFrame([(i, i % 2) for i in range(600) if i // 2 % 5 == 0], "doc_id long, quality int")
-    unseen = {y: op6.meta_slots([f"s{y}3"], ["en"])[0][:1] for y in (0, 1)}
+    unseen = {y: op6.meta_slots([f"s{y}3"], ["en"], np.zeros((1, op6.N_SHAPE)))[0][:1] for y in (0, 1)}
     alone, taught = op6.train(docs, labels, rounds=0), op6.train(docs, labels, rounds=1)
     assert alone.tables["meta"].evidence(unseen[1]) == alone.tables["meta"].evidence(unseen[0])
     assert taught.tables["meta"].evidence(unseen[1]) > 1 > -1 > taught.tables["meta"].evidence(unseen[0])
@@ -54,6 +54,32 @@ def test_views_teach_each_other(spark):
     assert all(r.accepted == (i % 2 == 1) for i, r in scores.items()) and scores[7].meta_score > 0.5 > scores[6].meta_score
 
 
+def test_metadata_teach_the_text(spark):
+    """Sources tell the classes apart; a word that only unlabelled documents hold is learned through them."""
+    import random
+
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(800):
+        text = [rng.choice(vocabulary) for _ in range(40)]
+        text[:6] = [("ok" if i % 2 else "no") + str(rng.randrange(5) + 5 * (i >= 200)) for _ in range(6)]
+        rows.append((i, " ".join(text), "en", f"s{i % 2}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    alone, taught = op6.train(docs, labels, rounds=0), op6.train(docs, labels, rounds=2, sure=0.9)
+    late = {y: op6.text_slots(pa.array([" ".join(f"{'ok' if y else 'no'}{k}" for k in range(5, 10))]))[0] for y in (0, 1)}
+    assert abs(alone.tables["text"].evidence(late[1]).mean() - alone.tables["text"].evidence(late[0]).mean()) < 1
+    assert taught.tables["text"].evidence(late[1]).mean() > 2 and taught.tables["text"].evidence(late[0]).mean() < -2
+    assert all(min(r["text"]) > 100 for r in taught.received)
+
+
+def test_both_views_give_and_get_both_classes(spark):
+    docs, labels = spark.read.parquet(f"{MORE}/documents.parquet"), spark.read.parquet(f"{MORE}/labels.parquet")
+    model = op6.train(docs, labels)
+    assert len(model.received) == 2 and all(n > 0 for r in model.received for v in r.values() for n in v) and model.received[0] != model.received[1]
+
+
 def test_a_view_that_says_nothing_gives_the_prior():
     rng = np.random.default_rng(3)
     x, y = rng.normal(size=(400, 2)) * 0.01, (rng.random(400) < 0.9).astype(float)
