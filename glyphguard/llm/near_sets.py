@@ -46,26 +46,32 @@ def close(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ * (100 + percent) <= (n + m) * (100 - percent))
 
 
+def set_key(of: bytes) -> int:
+    """The first 64 bits of a digest: short enough to stand beside every token. Two sets may share one, so
+    it only leads to candidates."""
+    return int.from_bytes(of[:8], "little", signed=True)
+
+
 def set_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, tokens) of the sets in ``wanted`` (id, doc_id: a row that has the set)."""
+    """(id, tokens) of the sets in ``wanted`` (id, digest, and the doc_id of a row that has the set)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "text", SLICE):
                 sets = shingle_sets(batch.column("text"), words)
-                yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["digest", "tokens"])
 
     ids = wanted.select("doc_id").distinct()
-    found = docs.join(if_small(wanted, 16, ids), "doc_id", "left_semi").mapInArrow(read, "id binary, tokens array<long>")
-    return found.join(if_small(wanted, 32, wanted.select("id")), "id", "left_semi").groupBy("id").agg(F.first("tokens").alias("tokens"))
+    found = docs.join(if_small(wanted, 16, ids), "doc_id", "left_semi").mapInArrow(read, "digest binary, tokens array<long>")
+    return found.join(if_small(wanted, 48, wanted.select("digest", "id")), "digest").groupBy("id").agg(F.first("tokens").alias("tokens"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) of ids whose exact similarity reaches the threshold, as a
-    written table. ``classes`` has an id and a doc_id of each. Nothing after the joins needs their
-    partitioning, so Spark may split a set of very many pairs."""
+    written table. ``classes`` has the id, digest and a doc_id of each set. Nothing after the joins needs
+    their partitioning, so Spark may split a set of very many pairs."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = cut(classes.select("id", "doc_id").join(ids, "id", "left_semi"), "wanted")
+    wanted = cut(classes.select("id", "doc_id", "digest").join(ids, "id", "left_semi"), "wanted")
     sets = cut(set_table(docs, wanted, words), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))

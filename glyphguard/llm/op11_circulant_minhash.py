@@ -100,10 +100,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     """
     docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = cut(describe(docs, words), "described")
-    one = described.filter("n > 0 and doc_id is not null").groupBy(F.col("digest").alias("id"))
+    one = described.filter("n > 0 and doc_id is not null").groupBy("digest")
     first = lambda c: F.first(c, ignorenulls=True).alias(c)
-    classes = cut(one.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), first("bits"), first("bands")), "classes")
-    by_id = classes.select("id", "doc_id", F.struct("n", "bits").alias("of"))
+    # The table is written, so the numbers stay.
+    classes = cut(one.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), first("bits"), first("bands")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    by_id = classes.select("id", "doc_id", "digest", F.struct("n", "bits").alias("of"))
 
     # Buckets of several classes, and each one's leader.
     cells = classes.select("id", F.explode("bands").alias("key"))
@@ -132,12 +133,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     roots = components(both)
 
     degree = both.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    of_class = classes.select("id", "doc_id").join(roots, "id", "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
+    of_class = classes.select("id", "digest", "doc_id").join(roots, "id", "left").select("id", "digest", "doc_id", F.coalesce("root", "id").alias("root"))
     least = of_class.groupBy("root").agg(F.min("doc_id").alias("component"))
-    final = cut(of_class.join(least, "root").join(degree, "id", "left").select("id", "component", F.coalesce("n_links", F.lit(0)).alias("n_links")), "final")
+    final = cut(of_class.join(least, "root").join(degree, "id", "left").select(F.col("digest").alias("_digest"), "component", F.coalesce("n_links", F.lit(0)).alias("n_links")), "final")
     for done in (shared, leads, stars, left, pairs, links, late, both, classes, roots):
         drop_cut(done)
-    out = described.select("doc_id", "n", "digest").join(final, (F.col("digest") == F.col("id")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
+    out = described.select("doc_id", "n", "digest").join(final, (F.col("digest") == F.col("_digest")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

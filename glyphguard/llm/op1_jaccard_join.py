@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, drop_cut, text_slices
 from .components import components
-from .near_sets import SLICE, WORDS, bitmap, close, digest, popcount, verified
+from .near_sets import SLICE, WORDS, bitmap, close, digest, popcount, set_key, verified
 from .shingles import shingle_sets
 
 #: Counters of the sketch: fixed sizes, whatever the input.
@@ -52,7 +52,7 @@ def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
 
 
 def describe(docs: DataFrame, words: int) -> DataFrame:
-    """One row a document (doc_id, n, digest, bits) and, with n null, the sketch of each task in
+    """One row a document (doc_id, n, digest, key, bits) and, with n null, the sketch of each task in
     parts (part, counts)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,19 +73,19 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                     waiting, size = [], 0
                 none = pa.nulls(len(n))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(ids, pa.binary()), pa.array(bits, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())],
-                    ["doc_id", "n", "digest", "bits", "part", "counts"],
+                    [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(ids, pa.binary()), pa.array([set_key(x) for x in ids], pa.int64()), pa.array(bits, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())],
+                    ["doc_id", "n", "digest", "key", "bits", "part", "counts"],
                 )
         if waiting:
             sketch += np.bincount(np.concatenate(waiting), minlength=SKETCH)
         parts = range(SKETCH // PART)
         none = pa.nulls(len(parts))
         yield pa.RecordBatch.from_arrays(
-            [none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.list_(pa.int64())), pa.array(parts, pa.int32()), pa.array([sketch[PART * k : PART * (k + 1)].astype("<u4").tobytes() for k in parts], pa.binary())],
-            ["doc_id", "n", "digest", "bits", "part", "counts"],
+            [none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.list_(pa.int64())), pa.array(parts, pa.int32()), pa.array([sketch[PART * k : PART * (k + 1)].astype("<u4").tobytes() for k in parts], pa.binary())],
+            ["doc_id", "n", "digest", "key", "bits", "part", "counts"],
         )
 
-    return docs.mapInArrow(read, "doc_id long, n int, digest binary, bits array<long>, part int, counts binary")
+    return docs.mapInArrow(read, "doc_id long, n int, digest binary, key long, bits array<long>, part int, counts binary")
 
 
 def merged_sketch(parts: DataFrame) -> np.ndarray:
@@ -106,15 +106,15 @@ def merged_sketch(parts: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, id, mark) of the rarest tokens of each set, by its digest, each distinct set once a task; mark
-    is twice the mean count of the set's prefix tokens, plus 1 on tokens that are indexed."""
+    """(token, key, mark) of the rarest tokens of each set, each distinct set once a task; mark is twice the
+    mean count of the set's prefix tokens, plus 1 on tokens that are indexed."""
     order = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1) << np.uint64(40))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, common = set(), order.value
         for whole in batches:
             for batch in text_slices(whole, "text", SLICE):
-                ids, found, sizes, marks = [], [], [], []
+                keys, found, sizes, marks = [], [], [], []
                 for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), words)):
                     n = len(tokens)
                     if not n or doc_id is None or (key := digest(tokens)) in seen:
@@ -123,16 +123,16 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
                     rank = common[tokens & np.uint64(SKETCH - 1)] | (tokens >> np.uint64(24))
                     asked, indexed = prefix_lengths(n, percent)
                     first = np.argsort(rank, kind="stable")[:asked]
-                    ids.append(key)
+                    keys.append(set_key(key))
                     mark = np.full(len(first), 2 * int((rank[first] >> np.uint64(40)).mean()), np.int32)
                     mark[:indexed] += 1
                     marks.append(mark)
                     sizes.append(len(first))
                     found.append(tokens[first])
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids, pa.binary()).take(pa.array(np.repeat(np.arange(len(ids)), sizes))), pa.array(np.concatenate(marks))], ["token", "id", "mark"])
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), sizes)), pa.array(np.concatenate(marks))], ["token", "key", "mark"])
 
-    return docs.mapInArrow(read, "token long, id binary, mark int")
+    return docs.mapInArrow(read, "token long, key long, mark int")
 
 
 def _cells(n: F.Column, m: F.Column, percent: int) -> F.Column:
@@ -154,9 +154,11 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = cut(describe(docs, words), "described")
     counts = merged_sketch(described.filter("part is not null").select("part", "counts"))
-    rows = described.filter("part is null").select("doc_id", "n", "digest", "bits")
-    one = rows.filter("n > 0 and doc_id is not null").groupBy(F.col("digest").alias("id"))
-    classes = cut(one.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_equal"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    rows = described.filter("part is null").select("doc_id", "n", "digest", "key", "bits")
+    one = rows.filter("n > 0 and doc_id is not null").groupBy("digest")
+    one = one.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_equal"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("key").alias("key"))
+    # The table is written, so the numbers stay.
+    classes = cut(one.withColumn("id", F.monotonically_increasing_id()), "classes")
     of = classes.select("id", F.struct("n", "bits").alias("of"))
 
     # Tokens that stand in the prefixes of two sets or more, with the most common of these. Counts and
@@ -164,14 +166,16 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     asked = prefixes(docs, counts, words, percent)
     several = asked.groupBy("token").agg(F.count("*").alias("holders")).filter("holders > 1").select("token")
     held = cut(asked.join(several, "token", "left_semi"), "held_tokens")
-    leads = held.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max_by("id", F.struct("mark", "id")).alias("lead"))
+    leads = held.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.max_by("key", F.struct("mark", "key")).alias("lead"))
     shared = held.join(leads.filter("first < last"), "token")
-    shared = cut(shared.select("token", "id", "lead", (F.col("mark") % 2 == 1).alias("indexed")), "shared")
+    shared = cut(shared.select("token", "key", "lead", (F.col("mark") % 2 == 1).alias("indexed")), "shared")
     drop_cut(held)
+    reps = cut(classes.select("key", "id").join(shared.select("key").distinct(), "key", "left_semi"), "reps")
 
     # Links to the leading set of each token. A third of the cells that a link needs is asked for
     # here: a link that is passed over is found below.
-    stars = shared.filter("id <> lead").groupBy(F.col("id").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("cells"))
+    stars = shared.filter("key <> lead").groupBy("key", "lead").agg(F.count("*").alias("cells"))
+    stars = stars.join(reps.withColumnRenamed("id", "a"), "key").join(reps.select(F.col("key").alias("lead"), F.col("id").alias("b")), "lead")
     near = stars.join(of.select(F.col("id").alias("a"), F.col("of").alias("p")), "a").join(of.select(F.col("id").alias("b"), F.col("of").alias("q")), "b").filter((3 * F.col("cells") >= _cells(F.col("p.n"), F.col("q.n"), percent)) & close("p", "q", percent)).select("a", "b")
     stars = cut(near, "stars")
     links = verified(stars, docs, classes, words, percent)
@@ -183,7 +187,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     union = member.groupBy("group").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"), F.array(*[F.bit_or(F.col("bits")[k]) for k in range(WORDS)]).alias("union")
     )
-    held = shared.select("token", "id", "indexed").join(member.select("id", "group", "n"), "id")
+    held = shared.select("token", "key", "indexed").join(reps, "key").select("token", "id", "indexed").join(member.select("id", "group", "n"), "id")
     held = cut(held.distinct(), "held")
     index = held.filter("indexed").groupBy("token", "group").agg(F.min("n").alias("smallest"))
     asking = held.select("token", F.col("id").alias("a"), F.col("group").alias("own"), "n")
@@ -210,14 +214,14 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     some = both.groupBy("a", "b").agg(F.count("*").alias("cells"), F.first("need").alias("need")).filter("cells >= need")
     pairs = cut(near(opened).select("a", "b").union(some.select("a", "b")).distinct(), "pairs")
     late = verified(pairs, docs, classes, words, percent)
-    for done in (shared, stars, held, member, bound, few, pairs):
+    for done in (shared, stars, reps, held, member, bound, few, pairs):
         drop_cut(done)
     both = cut(links.union(late).distinct(), "all_links")
     roots = components(both)
 
-    of_class = classes.select("id", "doc_id", "n_equal").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    of_class = classes.select("id", "digest", "doc_id", "n_equal").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = of_class.groupBy("root").agg(F.min("doc_id").alias("component"))
-    final = cut(of_class.join(least, "root").select(F.col("id").alias("digest"), "component", "n_equal"), "components")
+    final = cut(of_class.join(least, "root").select("digest", "component", "n_equal"), "components")
     for done in (classes, links, late, both, groups, roots):
         drop_cut(done)
     out = rows.select("doc_id", "n", "digest").join(final.withColumnRenamed("digest", "_digest"), (F.col("digest") == F.col("_digest")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
