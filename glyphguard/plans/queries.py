@@ -258,7 +258,7 @@ def feature_ranges(spark, sf_dir):
 
 @query(f"WITH {PART_REFS}, {sql.TFIDF} SELECT query_id, gram, round(weight, 6) AS weight FROM q")
 def char_ngram_tfidf(spark, sf_dir):
-    queries, refs = part_refs(spark, sf_dir)
+    queries, refs = name_lists(spark, sf_dir)
     return rounded(search.tfidf(queries, search.idf_table(refs), "query_id", "query_name"))
 
 
@@ -438,7 +438,7 @@ def nearest_name_blocked(spark, sf_dir):
 
 @query(f"""WITH {PART_REFS}, {sql.TFIDF}, {sql.TFIDF_TOP} SELECT query_id, ref_id, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM top""")
 def tfidf_topk(spark, sf_dir):
-    queries, refs = part_refs(spark, sf_dir)
+    queries, refs = name_lists(spark, sf_dir)
     return rounded(search.tfidf_topk(queries, refs, search.neighbours(refs)))
 
 
@@ -448,8 +448,14 @@ BEST_CANDIDATE = f"""{PART_REFS}, {sql.TFIDF}, {sql.TFIDF_TOP}, s AS (
 best AS (SELECT query_id, query_name, arg_max(ref_name, (sim, -rank)) AS best_real_name, max(sim) AS lev_similarity FROM s GROUP BY query_id, query_name)"""
 
 
-def best_candidates(spark, sf_dir) -> DataFrame:
+def name_lists(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """``part_refs``, written once for the several joins that read them."""
     queries, refs = part_refs(spark, sf_dir)
+    return stored(queries, "query_names"), stored(refs, "ref_names")
+
+
+def best_candidates(spark, sf_dir) -> DataFrame:
+    queries, refs = name_lists(spark, sf_dir)
     return search.rerank_candidates(search.tfidf_topk(queries, refs, search.neighbours(refs)), queries, refs)
 
 
@@ -460,7 +466,7 @@ def rerank_candidates(spark, sf_dir):
 
 def _matches(spark, sf_dir) -> DataFrame:
     """Every fraudulent name's best candidate beside the name it stands for."""
-    best = best_candidates(spark, sf_dir)
+    best = stored(best_candidates(spark, sf_dir), "best_candidates")
     actual = name_pairs(spark, sf_dir).filter("label = 1").select(F.col("fraudulent_name").alias("query_name"), F.col("real_name").alias("actual_real_name")).distinct()
     return best.join(actual, "query_name").select("query_name", "actual_real_name", "best_real_name", r6("lev_similarity").alias("lev_similarity"), names.decision(F.col("lev_similarity")).alias("decision"))
 
