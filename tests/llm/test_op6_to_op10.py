@@ -159,6 +159,36 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_query_by_a_plain_loop(spark):
+    """Every prediction again: dictionaries from the same documents, each text coded by a new compressor."""
+    import zlib
+
+    import zstandard
+
+    docs = sorted(((r.doc_id, r.text or "", r.lang) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()), key=lambda r: r[0])
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in docs}
+    place = {r.doc_id: r.h for r in spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("doc_id", f"pmod(xxhash64(cast(doc_id AS string)), {op8.HASHES}) AS h").collect()}
+    body = {i: op8.letters(t).encode() for i, t, _ in docs}
+    content = {}
+    for lang in sorted({g for i, _, g in docs if g and not held[i]}):
+        mine = sorted((i for i, _, g in docs if g == lang and not held[i]), key=lambda i: place[i])
+        content[lang] = len(mine), b"".join(body[i] + b" " for i in mine[:400])[: 1 << 17]
+
+    def size(data, dictionary):
+        raw = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        options = zstandard.ZstdCompressionParameters.from_level(op8.LEVEL, source_size=op8.BLOCK_BYTES, dict_size=len(dictionary))
+        raw.precompute_compress(compression_params=options)
+        return len(zstandard.ZstdCompressor(compression_params=options, dict_data=raw).compress(data))
+
+    want = {}
+    for i, _, _ in docs[:150]:
+        blocks = [body[i][k : k + op8.BLOCK_BYTES] for k in range(0, len(body[i]), op8.BLOCK_BYTES)]
+        sizes = {g: sum(size(d[-op8.PRIMER_BYTES :] + b, d) - size(d[-op8.PRIMER_BYTES :], d) for b in blocks) for g, (_, d) in content.items()}
+        want[i] = min(sizes, key=lambda g: (sizes[g], -content[g][0], g)) if body[i] else "und"
+    got = {r.doc_id: r.lang_pred for r in QUERIES["op8_language_id"](spark, SMALL).collect()}
+    assert {i: got[i] for i in want} == want
+
+
 def test_language_edges(spark, edge_docs):
     model = op8.train(edge_docs)
     out = op8.identify(edge_docs, model)
