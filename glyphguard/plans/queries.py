@@ -149,9 +149,12 @@ def dedup_keep_first(spark, sf_dir):
     return ops.dedup_keep_first(name_pairs(spark, sf_dir), "fraudulent_name", "pair_id")
 
 
-@query("SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0")
+@query("""WITH spoiled AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0.35 THEN 'inf'::FLOAT WHEN x < -0.35 THEN 'nan'::FLOAT ELSE x END) AS embedding FROM embeddings)
+SELECT vec_id FROM spoiled WHERE len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0""")
 def nonfinite_vectors(spark, sf_dir):
-    return ops.nonfinite_vectors(table(spark, sf_dir, "embeddings"), "embedding").select("vec_id")
+    """The tables' vectors are finite, so components beyond 0.35 are made infinite, or no number, first."""
+    spoiled = F.transform("embedding", lambda x: F.when(x > 0.35, float("inf")).when(x < -0.35, float("nan")).otherwise(x))
+    return ops.nonfinite_vectors(table(spark, sf_dir, "embeddings").withColumn("embedding", spoiled), "embedding").select("vec_id")
 
 
 @query("SELECT e.vec_id, d.doc_id, d.source FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.embedding IS NOT NULL")
