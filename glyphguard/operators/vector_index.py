@@ -136,7 +136,7 @@ def _scored(asks: DataFrame, index: CellIndex, chunks: int, k: int) -> DataFrame
                 cosine = np.round(v[some] @ u, 9)
                 best = np.lexsort((ids[some], -cosine))[:k]
                 out += [(query, i, c, 0) for i, c in zip(ids[some][best], cosine[best])] + [(query, None, None, len(some))]
-        return pd.DataFrame(out, columns=["query_id", "ref_id", "cosine", "pairs"]).astype({"ref_id": "Int64"})
+        return pd.DataFrame(out, columns=["query_id", "ref_id", "cosine", "pairs"], dtype=object)
 
     return left.groupBy("cell", "block", "chunk").cogroup(right.groupBy("_cell", "_block", "_chunk")).applyInPandas(run, f"query_id {kinds[0]}, ref_id {kinds[1]}, cosine double, pairs long")
 

@@ -46,6 +46,13 @@ def test_lists_in_blocks(clustered, monkeypatch):
     assert ranked(vector_index.search_cells(queries, index, 5, 1, exact=True)[0]) == ranked(search.vector_topk(queries, refs.filter("ref_vec is not null"), 5))
 
 
+def test_ids_may_be_names(clustered):
+    queries, refs = (x.withColumn(c, F.concat(F.lit("v"), F.col(c))) for x, c in zip(clustered, ("query_id", "ref_id")))
+    refs = refs.limit(300)
+    found = vector_index.search_cells(queries, vector_index.fit_cells(refs, cells=4), 3, 1, exact=True)[0]
+    assert ranked(found) == ranked(search.vector_topk(queries, refs.filter("ref_vec is not null"), 3))
+
+
 def test_small_and_empty_tables(clustered):
     queries, refs = clustered
     for n in (0, 1, 2):
