@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import new_path
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not a glibc system
+    _trim = None
+
 #: Text bytes that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
 #: A side is broadcast only when its table was counted and holds at most this many bytes.
@@ -63,6 +69,15 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES
         size += n
     if start < len(sizes):
         yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that a worker has freed to the system: workers stay alive between tasks and stages, and
+    what one stage needed once would count against all later ones."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def ascii_lower(text: str) -> str:

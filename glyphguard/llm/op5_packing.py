@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_slices
+from .common import bounded_batches, give_back, text_slices
 from .shingles import column_bytes, span_hashes
 
 #: Words a worker remembers before it forgets those not at hand (memory bound, no effect on ids).
@@ -224,6 +224,9 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 4096, end_id: int
                 ids = pa.Array.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(4 * np.r_[0, ends]), pa.py_buffer(ids)]).cast(pa.binary())
                 columns = [batch.column("doc_id").take(pa.array(of)), starts, lengths, ids, totals[of], sequence, np.zeros(len(of), np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], NAMES)
+        # The worker lives on, maybe in other stages.
+        enc.forget()
+        give_back()
 
     return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(
         pieces, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
