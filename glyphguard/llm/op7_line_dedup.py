@@ -114,8 +114,20 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Data
 
         new = docs.select(*own, rebuild("text", doc_id).alias("_new"))
     else:
-        lost = pairs.join(hot, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id").agg(F.collect_set("key").alias("_lost"))
-        lost = lost.withColumnRenamed("doc_id", "_lost_doc")
+        # A row without id has no keeper's line, so all its hot lines go; it is known by a hash of its text,
+        # which deals such rows over all tasks, and texts that share a hash may share their list.
+        by_text = F.when(doc_id.isNull(), F.xxhash64("text"))
+        unnamed = docs.filter(doc_id.isNull()).select(F.xxhash64("text").alias("doc_id"), "text")
+        lost = (
+            pairs.filter("doc_id is not null")
+            .join(hot, "key")
+            .filter("doc_id <> keeper")
+            .select(F.col("doc_id").alias("_lost_doc"), F.lit(None).cast("long").alias("_lost_text"), "key")
+            .unionByName(line_hashes(unnamed, min_chars).join(hot, "key").select(F.lit(None).cast("long").alias("_lost_doc"), F.col("doc_id").alias("_lost_text"), "key"))
+            .groupBy("_lost_doc", "_lost_text")
+            .agg(F.collect_set("key").alias("_lost"))
+        )
+        meets = doc_id.eqNullSafe(F.col("_lost_doc")) & by_text.eqNullSafe(F.col("_lost_text"))
 
         @F.arrow_udf(REBUILT)
         def rebuild(text: pa.Array, lost: pa.Array) -> pa.Array:
@@ -125,7 +137,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> Data
                 gone += [bool(keys) and line_key(x, min_chars) in keys for x in parts]
             return rebuilt(split, np.array(gone, bool))
 
-        new = docs.join(lost, doc_id.eqNullSafe(F.col("_lost_doc")), "left").select(*own, rebuild("text", "_lost").alias("_new"))
+        new = docs.join(lost, meets, "left").select(*own, rebuild("text", "_lost").alias("_new"))
     return new.select(
         *[F.col("_new.text") if c == "text" else F.col(c) for c in docs.columns if c in own or c == "text"],
         "_new.n_lines",

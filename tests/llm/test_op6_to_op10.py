@@ -133,13 +133,15 @@ def test_line_dedup_query_is_its_sql(spark, duck):
 def test_line_dedup_rules(spark, monkeypatch):
     line = "This line is long enough to be counted at all."
     rows = [(i, f"  {line.upper() if i % 2 else line}\t\nown {i}\n{line}") for i in range(1, 6)] + [(9, "short\nshort"), (10, None), (11, "")]
-    rows.append((None, f"{line}\nlast"))
+    rows += [(None, f"{line}\nlast"), (None, f"{line}\nlast"), (None, None)] + [(None, f"{line}\nother {i}") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for limit in (op7.common.BROADCAST_BYTES, 0):  # broadcast, and joined by shuffles
         monkeypatch.setattr(op7.common, "BROADCAST_BYTES", limit)
-        got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in op7.dedup_lines(docs).collect()}
+        out = [(r.doc_id, (r.text, r.n_lines, r.n_dropped)) for r in op7.dedup_lines(docs).collect()]
+        got, unnamed = dict(out), sorted(x for d, x in out if d is None)
         assert got[1] == ("own 1", 3, 2) and got[5] == (rows[4][1], 3, 0)
-        assert got[None] == ("last", 2, 1) and got[9] == ("short\nshort", 2, 0) and got[10] == got[11] == ("", 1, 0)
+        assert unnamed == sorted([("", 1, 0), ("last", 2, 1), ("last", 2, 1)] + [(f"other {i}", 2, 1) for i in range(20)])
+        assert got[9] == ("short\nshort", 2, 0) and got[10] == got[11] == ("", 1, 0)
     assert {r.n_dropped for r in op7.dedup_lines(docs, min_docs=6).collect()} == {0}
 
 
