@@ -3,8 +3,9 @@
 A vector stands in the list of its nearest centroid, beside its distance to it (its residual). A query
 probes its nearest cells for candidates; for an exact answer it then opens every cell, and within a
 cell every stretch of residuals, that can still hold a better one: by the triangle inequality a vector
-of residual r in a cell at distance d is at least |d - r| away. Lists are worked on in blocks of rows
-against blocks of queries, so a cell of any size is many groups.
+of residual r in a cell at distance d is at least |d - r| away. Lists stand in files by cell and
+residual, a large cell in many; a task streams them past a block of queries and scores, by matrix
+products, what each query opens.
 """
 
 from __future__ import annotations
@@ -18,19 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import drop_stored, stored
+from . import search
+from .vector_tiles import Best, kinds, units, usable
 
-#: Rows of a list and queries that a group of work holds, about.
-BLOCK, CHUNK = 4096, 512
+#: Rows of a cell's list that go to one file, about; vectors that distances to all centroids are held for.
+BLOCK, CHUNK = 65_536, 512
 #: Slack of a comparison between float distances.
 EPS = 1e-6
 
 
-def units(column: pd.Series) -> np.ndarray:
-    """Vectors divided by their lengths; those of length 0 stay."""
-    x = np.stack(column.to_numpy()).astype(np.float64)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-
 def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     d = (x * x).sum(1)[:, None] + (centroids * centroids).sum(1)[None, :] - 2 * (x @ centroids.T)
     return np.sqrt(np.maximum(d, 0))
@@ -38,7 +35,7 @@ def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 @dataclass
 class CellIndex:
-    """Centroids; the lists (cell, ref_id, v, residual); per cell its size and least and greatest residual."""
+    """Centroids; the lists (cell, ref_id, v, residual) by cell and residual; per cell its size and least and greatest residual."""
 
     centroids: np.ndarray
     lists: DataFrame
@@ -52,7 +49,8 @@ class CellIndex:
 
 
 def fit_cells(refs: DataFrame, cells: int | None = None, sample: int = 50_000, seed: int = 42) -> CellIndex:
-    """An index of refs (ref_id, ref_vec); rows without a vector are left out. Centroids are fitted by
+    """An index of refs (ref_id, ref_vec); rows without a vector, or with a
+    component that is missing or not finite, are left out. Centroids are fitted by
     Spark's k-means on at most ``sample`` rows, those with the least hash of their id; every row is
     indexed. ``cells``: the square root of the rows, 2048 at most, if not given."""
     from pyspark.ml.clustering import KMeans
@@ -60,13 +58,15 @@ def fit_cells(refs: DataFrame, cells: int | None = None, sample: int = 50_000, s
 
     from ..functions.vectors import l2_normalize
 
-    refs = refs.filter("ref_vec is not null").select("ref_id", "ref_vec")
+    refs = refs.filter(usable("ref_vec")).select("ref_id", "ref_vec")
     n = refs.count()
     if not n:
         return CellIndex(np.zeros((0, 0)), stored(refs.select(F.lit(0).alias("cell"), "ref_id", F.col("ref_vec").cast("array<double>").alias("v"), F.lit(0.0).alias("residual")), "lists"), *np.zeros((3, 0)))
     cells = min(cells or int(np.ceil(np.sqrt(n))), 2048, n)
     if cells > 1:
-        some = refs.orderBy(F.xxhash64("ref_id"), "ref_id").limit(sample).select(array_to_vector(l2_normalize(F.col("ref_vec"))).alias("features"))
+        some = refs.orderBy(F.xxhash64("ref_id"), "ref_id").limit(sample)
+        # A limit leaves one partition: k-means would be one task.
+        some = some.repartition(refs.sparkSession.sparkContext.defaultParallelism).select(array_to_vector(l2_normalize(F.col("ref_vec"))).alias("features"))
         centroids = np.array(KMeans(k=cells, maxIter=10, seed=seed).fit(some).clusterCenters())
     else:
         centroids = np.zeros((1, len(refs.first().ref_vec)))
@@ -74,98 +74,126 @@ def fit_cells(refs: DataFrame, cells: int | None = None, sample: int = 50_000, s
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if len(f):
-                v = units(f.ref_vec)
+            for at in range(0, len(f), CHUNK):
+                v = units(f.ref_vec.iloc[at : at + CHUNK])
                 d = distances(v, shared.value)
                 cell = d.argmin(axis=1)
-                yield pd.DataFrame({"cell": cell, "ref_id": f.ref_id, "v": list(v), "residual": d[np.arange(len(v)), cell]})
+                yield pd.DataFrame({"cell": cell, "ref_id": f.ref_id.to_numpy()[at : at + CHUNK], "v": list(v), "residual": d[np.arange(len(v)), cell]})
 
     kind = refs.schema["ref_id"].dataType.simpleString()
-    lists = stored(refs.mapInPandas(place, f"cell int, ref_id {kind}, v array<double>, residual double"), "lists")
+    placed = stored(refs.mapInPandas(place, f"cell int, ref_id {kind}, v array<double>, residual double"), "placed")
     sizes, least, most = np.zeros(len(centroids), np.int64), np.full(len(centroids), np.inf), np.zeros(len(centroids))
-    for r in lists.groupBy("cell").agg(F.count("*").alias("n"), F.min("residual").alias("least"), F.max("residual").alias("most")).collect():
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("residual").alias("least"), F.max("residual").alias("most")).collect():
         sizes[r.cell], least[r.cell], most[r.cell] = r.n, r.least, r.most
-    return CellIndex(centroids, lists, sizes, least, most)
+    index = CellIndex(centroids, placed, sizes, least, most)
+    # A cell is cut at its hashes, so that one with most of the rows is many tasks.
+    parted = placed.join(F.broadcast(index.stats()), "cell").withColumn("block", F.pmod(F.xxhash64("ref_id"), F.ceil(F.col("size") / BLOCK)))
+    index.lists = stored(parted.repartition("cell", "block").sortWithinPartitions("cell", "residual").drop("size", "block"), "lists")
+    drop_stored(placed)
+    return index
+
 
+def _planned(queries: DataFrame, index: CellIndex, probes: int) -> DataFrame:
+    """queries plus ``opened``: the nearest ``probes`` cells that have rows, as bits."""
+    shared = queries.sparkSession.sparkContext.broadcast((index.centroids, index.sizes))
 
-def _probes(queries: DataFrame, index: CellIndex, probes: int, rest: bool) -> DataFrame:
-    """(cell, query_id, u, apart, within): the nearest ``probes`` cells of each query (query_id, query_vec,
-    within), or with ``rest`` the others that may hold something nearer than ``within``."""
-    shared = queries.sparkSession.sparkContext.broadcast((index.centroids, index.sizes, index.least, index.most))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centroids, sizes = shared.value
+        for f in frames:
+            for at in range(0, len(f), CHUNK):
+                some = f.iloc[at : at + CHUNK]
+                d = np.where(sizes > 0, distances(units(some.query_vec), centroids), np.inf)
+                chosen = (np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1) < probes) & (sizes > 0)
+                yield pd.DataFrame({"query_id": some.query_id, "query_vec": some.query_vec, "within": some.within, "opened": [x.tobytes() for x in np.packbits(chosen, axis=1)]})
+
+    kind, vector = queries.schema["query_id"].dataType.simpleString(), queries.schema["query_vec"].dataType.simpleString()
+    return queries.mapInPandas(run, f"query_id {kind}, query_vec {vector}, within double, opened binary")
+
+
+def _scored(queries: DataFrame, index: CellIndex, probes: int, k: int, rest: bool) -> DataFrame:
+    """(query_id, ref_id, cosine, pairs) as ``Best.frames``, task by task, of a block of queries (query_id,
+    query_vec, within) in their nearest ``probes`` cells, or with ``rest`` of what the other cells hold
+    at a distance of ``within`` or less by the triangle inequality."""
+    got = _planned(queries, index, probes).toArrow()
+    if not len(got):
+        return _empty(queries, index)
+    opened = np.frombuffer(b"".join(got["opened"].to_pylist()), np.uint8).reshape(len(got), -1)
+    shared = queries.sparkSession.sparkContext.broadcast(
+        (got["query_id"].to_numpy(zero_copy_only=False), units(got["query_vec"].to_pylist()), got["within"].to_numpy(zero_copy_only=False), opened, index.centroids, index.least, index.most)
+    )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centroids, sizes, least, most = shared.value
+        ids, u, within, opened, centroids, least, most = shared.value
+        # A query's best so far has a cosine of 1 - within^2 / 2 at least.
+        best = Best(ids, k, 1 - within * within / 2 - EPS)
         for f in frames:
             if not len(f):
                 continue
-            u = units(f.query_vec)
-            d = distances(u, centroids)
-            rank = np.argsort(np.argsort(np.where(sizes > 0, d, np.inf), axis=1, kind="stable"), axis=1)
-            if rest:
-                bound = np.maximum(np.maximum(d - most, least - d), 0)
-                chosen = (rank >= probes) & (sizes > 0) & (bound <= f.within.to_numpy()[:, None] + EPS)
-            else:
-                chosen = (rank < probes) & (sizes > 0)
-            row, cell = np.nonzero(chosen)
-            if len(row):
-                yield pd.DataFrame({"cell": cell, "query_id": f.query_id.to_numpy()[row], "u": [u[i] for i in row], "apart": d[row, cell], "within": f.within.to_numpy()[row]})
-
-    kind = queries.schema["query_id"].dataType.simpleString()
-    return queries.mapInPandas(run, f"cell int, query_id {kind}, u array<double>, apart double, within double")
-
-
-def _scored(asks: DataFrame, index: CellIndex, chunks: int, k: int) -> DataFrame:
-    """(query_id, ref_id, cosine, pairs): the k best of each query and group of work, and one row with its
-    number of scored pairs (ref_id null)."""
-    stats = F.broadcast(index.stats())
-    blocks = F.ceil(F.col("size") / BLOCK)
-    left = asks.join(stats, "cell").withColumns({"chunk": F.pmod(F.xxhash64("query_id"), F.lit(chunks)), "block": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))}).drop("size")
-    cells = left.select("cell", "chunk").distinct()
-    right = index.lists.join(stats, "cell").join(cells, "cell").select(F.col("cell").alias("_cell"), F.col("chunk").alias("_chunk"), F.pmod(F.xxhash64("ref_id"), blocks).alias("_block"), "ref_id", "v", "residual")
-    kinds = asks.schema["query_id"].dataType.simpleString(), index.lists.schema["ref_id"].dataType.simpleString()
-
-    def run(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out: list = []
-        if len(q) and len(r):
-            r = r.sort_values(["residual", "ref_id"])
-            v, ids, residual = np.stack(r.v.to_numpy()), r.ref_id.to_numpy(), r.residual.to_numpy()
-            starts = np.searchsorted(residual, q.apart - q.within - EPS)
-            ends = np.searchsorted(residual, q.apart + q.within + EPS, side="right")
-            for query, u, start, end in zip(q.query_id, q.u, starts, ends):
-                some = np.flatnonzero(ids[start:end] != query) + start
-                cosine = np.round(v[some] @ u, 9)
-                best = np.lexsort((ids[some], -cosine))[:k]
-                out += [(query, i, c, 0) for i, c in zip(ids[some][best], cosine[best])] + [(query, None, None, len(some))]
-        return pd.DataFrame(out, columns=["query_id", "ref_id", "cosine", "pairs"], dtype=object)
-
-    return left.groupBy("cell", "block", "chunk").cogroup(right.groupBy("_cell", "_block", "_chunk")).applyInPandas(run, f"query_id {kinds[0]}, ref_id {kinds[1]}, cosine double, pairs long")
+            v, cells, refs, residual = np.stack(f.v.to_numpy()), f.cell.to_numpy(), f.ref_id.to_numpy(), f.residual.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1), len(cells)]
+            for start, end in zip(cuts, cuts[1:]):
+                cell = cells[start]
+                mine = (opened[:, cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
+                if not rest:
+                    best.add(np.flatnonzero(mine), u, refs[start:end], v[start:end])
+                    continue
+                apart = distances(u, centroids[cell : cell + 1])[:, 0]
+                bound = np.maximum(np.maximum(apart - most[cell], least[cell] - apart), 0)
+                rows, far = np.flatnonzero(~mine & (bound <= within + EPS)), residual[start:end]
+                best.add(rows, u, refs[start:end], v[start:end], lambda some, part: np.abs(far[part][None, :] - apart[some][:, None]) <= within[some][:, None] + EPS)
+        yield from best.frames()
+
+    return index.lists.select("cell", "ref_id", "v", "residual").mapInPandas(run, kinds(queries, index.lists))
+
+
+def _empty(queries: DataFrame, index: CellIndex) -> DataFrame:
+    return queries.sparkSession.createDataFrame([], kinds(queries, index.lists))
 
 
 def search_cells(queries: DataFrame, index: CellIndex, k: int, probes: int, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """The k nearest of each query (query_id, query_vec), other than itself, as (query_id, ref_id, cosine,
     rank), and the pairs that were scored as (query_id, pairs). Without ``exact`` only the ``probes``
-    nearest cells are read; with it, also whatever may hold a better one than those found there."""
-    queries = queries.filter("query_vec is not null").select("query_id", "query_vec")
-    chunks = max(1, -(-queries.count() // CHUNK))
+    nearest cells are read; with it, also whatever may hold a better one than those found there.
+    Queries go in blocks of ``search.BLOCK_ROWS``."""
+    queries = queries.filter(usable("query_vec")).select("query_id", "query_vec")
     order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "ref_id")
-    found = stored(_scored(_probes(queries.withColumn("within", F.lit(2.0)), index, probes, False), index, chunks, k), "probed")
-    if exact:
-        kth = found.filter("ref_id is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("query_id", F.sqrt(F.greatest(2 - 2 * F.col("cosine"), F.lit(0.0))).alias("within"))
-        asks = queries.join(kth, "query_id", "left").fillna(2.0, ["within"])
-        found = stored(found.union(_scored(_probes(asks, index, probes, True), index, chunks, k)), "searched")
+    found = _empty(queries, index)
+    for block in search.query_blocks(queries, "query_id") if index.sizes.sum() else []:
+        near = stored(_scored(block.withColumn("within", F.lit(2.0)), index, probes, k, False), "probed")
+        found = found.union(near)
+        if exact:
+            kth = near.filter("ref_id is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("query_id", F.sqrt(F.greatest(2 - 2 * F.col("cosine"), F.lit(0.0))).alias("within"))
+            asks = block.join(kth, "query_id", "left").fillna(2.0, ["within"])
+            found = found.union(stored(_scored(asks, index, probes, k, True), "searched"))
     rows = found.filter("ref_id is not null").select("query_id", "ref_id", "cosine").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return rows, found.groupBy("query_id").agg(F.sum("pairs").alias("pairs"))
+    return rows, found.filter("ref_id is null").groupBy("query_id").agg(F.sum("pairs").alias("pairs"))
 
 
 def tuned_probes(index: CellIndex, queries: DataFrame, k: int, least: float = 0.9, sample: int = 200) -> tuple[int, float]:
     """The fewest probed cells, by doubling, that give a recall of ``least`` on at most ``sample`` queries
-    (those with the least hash of their id) against the exact answer, and that recall."""
+    (those with the least hash of their id) against the exact answer, and that recall. A row of that
+    answer is found as soon as its cell is probed, so the places of these cells tell all recalls."""
     some = stored(queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample), "tuning")
-    true = stored(search_cells(some, index, k, 1, exact=True)[0].select("query_id", "ref_id"), "true")
-    wanted, probes = true.count(), 1
+    true = search_cells(some, index, k, 1, exact=True)[0].select("query_id", "ref_id")
+    cells = true.join(index.lists.select("ref_id", "cell"), "ref_id").join(some, "query_id")
+    shared = queries.sparkSession.sparkContext.broadcast((index.centroids, index.sizes))
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centroids, sizes = shared.value
+        for f in frames:
+            for at in range(0, len(f), CHUNK):
+                part = f.iloc[at : at + CHUNK]
+                d = np.where(sizes > 0, distances(units(part.query_vec), centroids), np.inf)
+                rank = np.argsort(np.argsort(d, axis=1, kind="stable"), axis=1)
+                yield pd.DataFrame({"query_id": part.query_id, "ref_id": part.ref_id, "place": rank[np.arange(len(part)), part.cell.to_numpy()]})
+
+    kind = kinds(queries, index.lists).split(", cosine")[0]
+    places = cells.select("query_id", "ref_id", "cell", "query_vec").mapInPandas(place, f"{kind}, place long")
+    counts = places.groupBy("query_id", "ref_id").agg(F.min("place").alias("place")).groupBy("place").count().collect() if index.sizes.sum() else []
+    drop_stored(some)
+    wanted, probes = sum(r["count"] for r in counts), 1
     while True:
-        hit = search_cells(some, index, k, probes)[0].join(true, ["query_id", "ref_id"]).count()
+        hit = sum(r["count"] for r in counts if r.place < probes)
         if hit >= least * wanted or probes >= len(index.centroids):
-            drop_stored(some, true)
             return probes, hit / wanted if wanted else 1.0
         probes *= 2

@@ -86,3 +86,15 @@ def test_search_shuffles_no_pairs(clustered):
     for found in (search.vector_topk(queries, refs, 5), search.vector_topk_lsh(queries, refs, 5)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "MapInPandas" in plan
+
+
+def test_plans_and_searches_carry_no_vector_a_pair(clustered):
+    """What leaves the tasks are k rows a query and its count, and a plan is bits: no vector per query and cell."""
+    queries, refs = clustered
+    index = vector_index.fit_cells(refs)
+    asks = queries.withColumn("within", F.lit(2.0))
+    plans = vector_index._planned(asks, index, 20).collect()
+    assert len(plans) == 24 and all(len(p.opened) == -(-len(index.centroids) // 8) for p in plans)
+    found = vector_index._scored(asks, index, 20, 5, True)
+    assert found.columns == ["query_id", "ref_id", "cosine", "pairs"]
+    assert found.count() <= 24 * 6 * index.lists.rdd.getNumPartitions()
