@@ -130,8 +130,8 @@ class Optimiser:
             a -= self.lr * (m / (1 - 0.9**self.step_no)) / (np.sqrt(v / (1 - 0.999**self.step_no)) + 1e-8)
 
 
-#: Weights that a row of partial sums holds, and groups that such rows are first added up in.
-SLOTS, SALTS = 4096, 32
+#: Weights that a row of partial sums holds.
+SLOTS = 4096
 
 
 @dataclass
@@ -152,8 +152,11 @@ def gradient_sums(pairs: DataFrame, fits: dict[int, Fit], epoch: int = 0, batch:
     table for all of them; over all rows, and without gradient, if ``batch`` is None.
 
     A task adds up its rows; its sums travel in pieces of SLOTS weights, which Spark adds up in two
-    levels. The driver gets every weight's sum once, however many tasks there were.
+    levels. The driver gets every weight's sum once, however many tasks there were. There are at most as
+    many tasks as cores, so what travels does not grow with the table.
     """
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    salts = max(1, math.isqrt(cores))
     shared = pairs.sparkSession.sparkContext.broadcast({k: (f.head, f.margin, f.batches) for k, f in fits.items()})
     kept = pairs.select(*(["pair_id"] if batch is not None else []), "fraud_emb", "real_emb", "label").dropna()
     if batch is not None:
@@ -188,7 +191,7 @@ def gradient_sums(pairs: DataFrame, fits: dict[int, Fit], epoch: int = 0, batch:
         return pd.DataFrame({"fit": [key[0]], "piece": [key[1]], "part": [rows.part.iloc[0]], "loss": [rows.loss.sum()], "n": [rows.n.sum()], "sums": [np.sum(np.stack(rows.sums.to_numpy()), axis=0)]})
 
     kind = "fit int, piece int, part int, loss double, n long, sums array<double>"
-    pieces = kept.mapInPandas(run, kind).groupBy("fit", "piece", F.pmod("part", F.lit(SALTS))).applyInPandas(total, kind)
+    pieces = kept.coalesce(cores).mapInPandas(run, kind).groupBy("fit", "piece", F.pmod("part", F.lit(salts))).applyInPandas(total, kind)
     found = pieces.groupBy("fit", "piece").applyInPandas(total, kind).collect()
     out = {}
     for k, f in fits.items():
@@ -295,8 +298,12 @@ def fit_ensemble(train: DataFrame, features=FEATURES, trees: int = 100, depth: i
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
+    from ..sources.scratch import stored
+
+    # Equal rows are one row with their number as weight: the same sums over fewer rows.
     rows = train.select("label", *[F.col(f).cast("double").alias(f) for f in features]).dropna()
-    model = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
+    rows = stored(rows.groupBy("label", *features).agg(F.count("*").cast("double").alias("weight")), "ensemble_rows")
+    model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), model]).fit(rows)
 
 
@@ -320,14 +327,22 @@ def ensemble_report(model, test: DataFrame) -> DataFrame:
     return rows.withColumns({"roc_auc": value(area and area.roc_auc), "accuracy": value(right.accuracy)})
 
 
+def name_features(rows: DataFrame, a: str = "fraudulent_name", b: str = "real_name") -> DataFrame:
+    """``strings.string_features`` of rows, worked out once per distinct pair of names."""
+    from ..functions.strings import string_features
+    from ..sources.scratch import stored
+
+    found = stored(string_features(rows.select(a, b).distinct()).withColumnsRenamed({a: "_a", b: "_b"}), "name_features")
+    return rows.join(found, F.col(a).eqNullSafe(F.col("_a")) & F.col(b).eqNullSafe(F.col("_b")), "left").drop("_a", "_b")
+
+
 def ensemble_pipeline(train: DataFrame, test: DataFrame, path: str, run_stamp: str, trees: int = 100):
     """Scored pairs (similarity, names, label) to string features, to a fitted ensemble, to its report on
     the test pairs; model and metrics are saved under ``path``. Returns the model and the report."""
-    from ..functions.strings import string_features
     from ..sources.tables import write_metrics
 
-    model = fit_ensemble(string_features(train), trees=trees)
-    report = ensemble_report(model, string_features(test))
+    model = fit_ensemble(name_features(train), trees=trees)
+    report = ensemble_report(model, name_features(test))
     model.write().overwrite().save(f"{path}/model")
     write_metrics(report.groupBy("roc_auc", "accuracy").agg(F.map_from_entries(F.collect_list(F.struct("feature", "importance"))).alias("importance")), f"{path}/metrics", run_stamp)
     return model, report

@@ -208,3 +208,27 @@ def test_scoring_a_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted((r.decision or "") for r in spark.table("scored").collect()) == ["", "review"]
+
+
+def test_sums_travel_from_as_many_tasks_as_cores(spark, monkeypatch):
+    """A table in many partitions gives the same sums, from at most one task a core."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist(), rng.normal(size=4).tolist(), i % 2) for i in range(60)]
+    pairs = spark.createDataFrame(rows, "pair_id long, fraud_emb array<double>, real_emb array<double>, label int")
+    fit, seen = learn.Fit(learn.Head.fixed(4, 3, 2), batches=1), []
+    monkeypatch.setattr(type(pairs), "mapInPandas", lambda df, *a, _old=type(pairs).mapInPandas: seen.append(df.rdd.getNumPartitions()) or _old(df, *a))
+    many, one = (learn.gradient_sums(pairs.repartition(n), {0: fit}, 0, 0)[0] for n in (40, 1))
+    assert max(seen) <= spark.sparkContext.defaultParallelism and many[1] == one[1] == 60
+    assert all(np.allclose(a, b) for a, b in zip(many[2], one[2]))
+
+
+def test_ensemble_rows_are_weighed_and_features_taken_once_a_pair_of_names(spark):
+    """Copies of rows are one weighted row of the fit, and features are joined to every copy."""
+    rng = random.Random(4)
+    few = [(rng.random(), rng.random(), float(rng.randrange(9))) for _ in range(40)]
+    rows = spark.createDataFrame([(int(a + 0.2 * rng.random() > 0.6), a, b, c) for a, b, c in few for _ in range(5)], "label int, similarity double, token_set_ratio double, lev_dist double")
+    model = learn.fit_ensemble(rows, trees=3)
+    assert model.stages[1].getWeightCol() == "weight" and learn.score_ensemble(model, rows).count() == 200
+    named = spark.createDataFrame([(i, *pair) for i, pair in enumerate([("a b", "b a"), ("x", "xy"), (None, "q")] * 3)], "pair_id int, fraudulent_name string, real_name string")
+    found = {r.pair_id: (r.lev_dist, r.token_set_ratio) for r in learn.name_features(named).collect()}
+    assert len(found) == 9 and found[0] == found[3] == found[6] and found[1][0] == 1
