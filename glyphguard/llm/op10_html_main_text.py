@@ -14,7 +14,8 @@ Copies of a page count once. Only hashes are shuffled; pages' hashes spread by c
 pre-aggregated, so a host with a third of all pages is no single group of pages anywhere. What comes back
 is one row per host, of bounded size: nodes on at least a thousandth of its pages, of which there are at
 most a thousand times as many as a page has, and texts on about a quarter of its pages, at most some
-four times as many.
+four times as many. Rarer nodes are judged alike, but told to the pages that have them only, by a join
+on what a page consists of.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ MAIN = ("article", "main")
 DEEPEST = 512
 #: Blocks of importance below this go. Nodes and texts on fewer pages of the host are not evidence.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.6, 3
-#: Nor are nodes on fewer than one in so many of its pages, which bounds what is told of a host.
+#: Nodes on fewer than one in so many of its pages are not told to all pages of a host.
 RAREST = 1000
 #: Importance of a node without evidence, and weight of the presentation in one with evidence.
 UNKNOWN, PRESENTATION = 0.75, 0.2
@@ -269,14 +270,25 @@ def page_nodes(pages: DataFrame) -> DataFrame:
 
     kind = "host string, digest long, nodes array<struct<path:long,n:int,contents:array<long>>>, texts array<long>"
     rows = pages.select("host", "html").mapInArrow(read, kind).filter("size(texts) > 0")
-    return rows.dropDuplicates(["host", "digest"]).drop("digest")
+    return rows.dropDuplicates(["host", "digest"])
 
 
-def node_importance(pages: DataFrame, least_pages: int) -> DataFrame:
-    """(host, key, importance) of the style nodes of ``page_nodes`` that stand on enough pages."""
+def page_digest(page: str | None) -> int:
+    """The digest of a page's nodes and contents outside chrome, by which ``page_nodes`` knows copies."""
+    found: dict[int, list[int]] = {}
+    for path, text, chrome, _ in blocks(page or ""):
+        if not chrome:
+            found.setdefault(path, []).append(content_hash(text))
+    return content_hash(repr(sorted(found.items())))
+
+
+def node_importance(pages: DataFrame, least_pages: int, rare: bool = False) -> DataFrame:
+    """(host, key, importance) of the style nodes of ``page_nodes`` that stand on enough pages: on at least
+    one in RAREST of the host's pages, or with ``rare`` on fewer."""
     nodes = pages.select("host", F.explode("nodes").alias("node")).select("host", "node.*")
     sizes = pages.groupBy("host").agg(F.count("*").alias("of"))
-    some = (F.col("pages") >= least_pages) & (RAREST * F.col("pages") >= F.col("of"))
+    told = RAREST * F.col("pages") >= F.col("of")
+    some = (F.col("pages") >= least_pages) & (~told if rare else told)
     logs = F.log(F.col("pages").cast("double"))
     f = F.col("f").cast("double")
     shapes = nodes.groupBy("host", "path", "n").agg(F.count("*").alias("f")).groupBy("host", "path")
@@ -329,23 +341,41 @@ def extract_main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_p
     every = node_importance(read, least_pages).withColumn("node", F.lit(True)).union(text_importance(read, least_pages, least).withColumn("node", F.lit(False)))
     known = every.groupBy("host").agg(F.collect_list(F.struct("node", "key", "importance")).alias("_known"))
     known = cut(known.withColumnRenamed("host", "_known_host"), "style_nodes")
+    # Nodes on few pages, beside the distinct pages that have them.
+    rare = read.select("host", "digest", F.explode("nodes.path").alias("key")).join(node_importance(read, least_pages, rare=True), ["host", "key"])
+    rare = rare.groupBy(F.col("host").alias("_rare_host"), F.col("digest").alias("_rare_digest")).agg(F.collect_list(F.struct("key", "importance")).alias("_rare"))
+    rare = cut(rare, "rare_nodes")
+    told = rare.agg(F.count("*").alias("pages"), F.sum(F.size("_rare")).alias("nodes")).first()
     drop_cut(read)
     size = known.agg(F.sum(F.size("_known"))).first()[0] or 0
     hosts = max(1, known.count())
     joined = hosted.join(if_small(known, 256 + 32 * size // hosts), F.col("_host") == F.col("_known_host"), "left")
 
+    if told.pages:
+
+        @F.arrow_udf("long")
+        def digest(htmls: pa.Array) -> pa.Array:
+            return pa.array([page_digest(page.as_py()) for page in htmls], pa.int64())
+
+        joined = joined.withColumn("_digest", digest("html"))
+        joined = joined.join(if_small(rare, 256 + 24 * told.nodes // told.pages), F.col("_host").eqNullSafe(F.col("_rare_host")) & (F.col("_digest") == F.col("_rare_digest")), "left")
+    else:
+        joined = joined.withColumn("_rare", F.lit(None).cast("array<struct<key:long,importance:double>>"))
+
     @F.arrow_udf("string")
-    def keep(htmls: pa.Array, hosts: pa.Array, known: pa.Array) -> pa.Array:
+    def keep(htmls: pa.Array, hosts: pa.Array, known: pa.Array, rare: pa.Array) -> pa.Array:
         out, of_host = [], {}
         for i, (page, host) in enumerate(zip(htmls, hosts.to_pylist())):
             if host not in of_host:
                 found = known[i].as_py() or ()
                 of_host[host] = [{k["key"]: k["importance"] for k in found if k["node"] == kind} for kind in (True, False)]
-            out.append("\n".join(kept_blocks(page.as_py() or "", *of_host[host], least)))
+            nodes, texts = of_host[host]
+            own = {k["key"]: k["importance"] for k in rare[i].as_py() or ()}
+            out.append("\n".join(kept_blocks(page.as_py() or "", {**nodes, **own} if own else nodes, texts, least)))
         return pa.array(out, pa.string())
 
     own = [c for c in pages.columns if c != "text"]
-    return joined.select(*own, keep("html", "_host", "_known").alias("text"))
+    return joined.select(*own, keep("html", "_host", "_known", "_rare").alias("text"))
 
 
 def op10_html_main_text(spark, sf_dir: str) -> DataFrame:

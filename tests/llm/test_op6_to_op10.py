@@ -361,3 +361,14 @@ def test_hostile_and_broken_html():
     assert kept('<p title=a"b>x</p><p data-x=">">it\'s "q" <b>z</b></p>') == ["x", 'it\'s "q" z']
     assert kept("<nav>menu<main><p>t</p></main>") == ["t"] and kept("a <3 b > c<p>d<!-- e") == ["a <3 b > c", "d"]
     assert kept("<p>a<textarea>b<p>c<script>d") == ["ab", "c"]
+
+
+def test_nodes_on_few_pages_of_a_host_are_judged_too(spark, monkeypatch):
+    """A block without a name on a share of a large host's pages under one in RAREST goes all the same."""
+    words = lambda i: f"<p>text {i} tells of {i * 7} things and {i * 13} more</p>"
+    pages = [(i, f"http://a.org/{i}", f"<body><div class='story'>{words(i)}</div>{'<div class=zz>same words on few pages</div>' if i < 4 else ''}</body>") for i in range(12)]
+    frame = spark.createDataFrame(pages + [(20, None, None), (21, "http://a.org/0", pages[0][2])], "page_id long, url string, html string")
+    want = {r.page_id: r.text for r in op10.extract_main_text(frame).collect()}
+    monkeypatch.setattr(op10, "RAREST", 2)
+    got = {r.page_id: r.text for r in op10.extract_main_text(frame).collect()}
+    assert got == want and "same words" not in "".join(got.values()) and "text 3 tells" in got[3]
