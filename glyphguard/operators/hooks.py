@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import tasks
 from .tables import attach_vectors, unique_names
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -43,7 +44,8 @@ def encode_names(names: DataFrame, make_encoder: Callable[[], Encoder], batch: i
                 vectors = np.asarray(encoder(some.name.tolist()), dtype=np.float32)
                 yield pd.DataFrame({"name": some.name.to_numpy(), "embedding": list(vectors)})
 
-    return names.select("name").mapInPandas(run, "name string, embedding array<float>")
+    # Names are small and dear: Spark would fold them into a few tasks.
+    return names.select("name").repartition(tasks(names)).mapInPandas(run, "name string, embedding array<float>")
 
 
 def embed_names(pairs: DataFrame, make_encoder: Callable[[], Encoder], batch: int = 1024) -> DataFrame:

@@ -58,7 +58,8 @@ def fit_cells(refs: DataFrame, cells: int | None = None, sample: int = 50_000, s
 
     from ..functions.vectors import l2_normalize
 
-    refs = refs.filter(usable("ref_vec")).select("ref_id", "ref_vec")
+    # Read several times below: vectors may be dear to make.
+    refs = stored(refs.filter(usable("ref_vec")).select("ref_id", "ref_vec"), "refs")
     n = refs.count()
     if not n:
         return CellIndex(np.zeros((0, 0)), stored(refs.select(F.lit(0).alias("cell"), "ref_id", F.col("ref_vec").cast("array<double>").alias("v"), F.lit(0.0).alias("residual")), "lists"), *np.zeros((3, 0)))
@@ -82,6 +83,7 @@ def fit_cells(refs: DataFrame, cells: int | None = None, sample: int = 50_000, s
 
     kind = refs.schema["ref_id"].dataType.simpleString()
     placed = stored(refs.mapInPandas(place, f"cell int, ref_id {kind}, v array<double>, residual double"), "placed")
+    drop_stored(refs)
     sizes, least, most = np.zeros(len(centroids), np.int64), np.full(len(centroids), np.inf), np.zeros(len(centroids))
     for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("residual").alias("least"), F.max("residual").alias("most")).collect():
         sizes[r.cell], least[r.cell], most[r.cell] = r.n, r.least, r.most
@@ -110,10 +112,11 @@ def _planned(queries: DataFrame, index: CellIndex, probes: int) -> DataFrame:
     return queries.mapInPandas(run, f"query_id {kind}, query_vec {vector}, within double, opened binary")
 
 
-def _scored(queries: DataFrame, index: CellIndex, probes: int, k: int, rest: bool) -> DataFrame:
+def _scored(queries: DataFrame, index: CellIndex, probes: int, k: int, rest: bool, score: bool = True) -> DataFrame:
     """(query_id, ref_id, cosine, pairs) as ``Best.frames``, task by task, of a block of queries (query_id,
     query_vec, within) in their nearest ``probes`` cells, or with ``rest`` of what the other cells hold
-    at a distance of ``within`` or less by the triangle inequality."""
+    at a distance of ``within`` or less by the triangle inequality. Without ``score`` the latter is only
+    counted: in the order of residuals it is a stretch of each list."""
     got = _planned(queries, index, probes).toArrow()
     if not len(got):
         return _empty(queries, index)
@@ -129,8 +132,9 @@ def _scored(queries: DataFrame, index: CellIndex, probes: int, k: int, rest: boo
         for f in frames:
             if not len(f):
                 continue
-            v, cells, refs, residual = np.stack(f.v.to_numpy()), f.cell.to_numpy(), f.ref_id.to_numpy(), f.residual.to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1), len(cells)]
+            v, cells, refs, residual = np.stack(f.v.to_numpy()) if score else None, f.cell.to_numpy(), f.ref_id.to_numpy(), f.residual.to_numpy()
+            # A cell may go on in another file, where residuals begin anew.
+            cuts = [0, *(np.flatnonzero((np.diff(cells) != 0) | (np.diff(residual) < 0)) + 1), len(cells)]
             for start, end in zip(cuts, cuts[1:]):
                 cell = cells[start]
                 mine = (opened[:, cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
@@ -140,10 +144,10 @@ def _scored(queries: DataFrame, index: CellIndex, probes: int, k: int, rest: boo
                 apart = distances(u, centroids[cell : cell + 1])[:, 0]
                 bound = np.maximum(np.maximum(apart - most[cell], least[cell] - apart), 0)
                 rows, far = np.flatnonzero(~mine & (bound <= within + EPS)), residual[start:end]
-                best.add(rows, u, refs[start:end], v[start:end], lambda some, part: np.abs(far[part][None, :] - apart[some][:, None]) <= within[some][:, None] + EPS)
+                best.add(rows, u, refs[start:end], v[start:end] if score else None, stretch=lambda some, part: (np.searchsorted(far[part], apart[some] - within[some] - EPS), np.searchsorted(far[part], apart[some] + within[some] + EPS, side="right")), score=score)
         yield from best.frames()
 
-    return index.lists.select("cell", "ref_id", "v", "residual").mapInPandas(run, kinds(queries, index.lists))
+    return index.lists.select("cell", "ref_id", *(["v"] if score else []), "residual").mapInPandas(run, kinds(queries, index.lists))
 
 
 def _empty(queries: DataFrame, index: CellIndex) -> DataFrame:
@@ -155,18 +159,33 @@ def search_cells(queries: DataFrame, index: CellIndex, k: int, probes: int, exac
     rank), and the pairs that were scored as (query_id, pairs). Without ``exact`` only the ``probes``
     nearest cells are read; with it, also whatever may hold a better one than those found there.
     Queries go in blocks of ``search.BLOCK_ROWS``."""
+    near, rest = _searched(queries, index, k, probes, exact)
+    found = near.union(rest)
+    order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "ref_id")
+    rows = found.filter("ref_id is not null").select("query_id", "ref_id", "cosine").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return rows, found.filter("ref_id is null").groupBy("query_id").agg(F.sum("pairs").alias("pairs"))
+
+
+def _searched(queries: DataFrame, index: CellIndex, k: int, probes: int, exact: bool, score: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What the probed cells give, and with ``exact`` the others, as ``_scored``."""
     queries = queries.filter(usable("query_vec")).select("query_id", "query_vec")
     order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "ref_id")
-    found = _empty(queries, index)
+    found, more = _empty(queries, index), _empty(queries, index)
     for block in search.query_blocks(queries, "query_id") if index.sizes.sum() else []:
         near = stored(_scored(block.withColumn("within", F.lit(2.0)), index, probes, k, False), "probed")
         found = found.union(near)
         if exact:
             kth = near.filter("ref_id is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select("query_id", F.sqrt(F.greatest(2 - 2 * F.col("cosine"), F.lit(0.0))).alias("within"))
             asks = block.join(kth, "query_id", "left").fillna(2.0, ["within"])
-            found = found.union(stored(_scored(asks, index, probes, k, True), "searched"))
-    rows = found.filter("ref_id is not null").select("query_id", "ref_id", "cosine").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return rows, found.filter("ref_id is null").groupBy("query_id").agg(F.sum("pairs").alias("pairs"))
+            more = more.union(stored(_scored(asks, index, probes, k, True, score), "searched"))
+    return found, more
+
+
+def pairs_of(queries: DataFrame, index: CellIndex, k: int, probes: int) -> tuple[int, int]:
+    """The pairs that ``search_cells`` scores for all queries, with and without ``exact``: (probed, exact).
+    The probed cells are searched once; what an exact answer opens beyond them is counted, not scored."""
+    probed, rest = (x.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0] for x in _searched(queries, index, k, probes, True, score=False))
+    return probed, probed + rest
 
 
 def tuned_probes(index: CellIndex, queries: DataFrame, k: int, least: float = 0.9, sample: int = 200) -> tuple[int, float]:

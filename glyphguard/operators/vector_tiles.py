@@ -46,30 +46,46 @@ class Best:
         self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting = 0
 
-    def add(self, rows: np.ndarray, u: np.ndarray, ids: np.ndarray, v: np.ndarray, allowed: Callable | None = None) -> None:
-        """Score queries ``rows`` (ascending places; ``u`` has all queries) against references;
-        ``allowed(rows, at)`` says which pairs of a tile count, ``at`` being a slice of the references."""
+    def add(self, rows: np.ndarray, u: np.ndarray, ids: np.ndarray, v: np.ndarray, allowed: Callable | None = None, stretch: Callable | None = None, score: bool = True) -> None:
+        """Score queries ``rows`` (ascending places; ``u`` has all queries) against references; ``at`` being a
+        slice of these, ``allowed(rows, at)`` says which pairs of a tile count, or ``stretch(rows, at)`` from
+        which place of the tile to which, for each query: nothing outside it can be among its k best.
+        Without ``score`` pairs are only counted, and must have a stretch."""
         for at in range(0, len(ids), REFS):
             part = slice(at, at + REFS)
             same = [(row, c) for c, i in enumerate(ids[part]) for row in self.own.get(i, ())]
             same_row, same_col = np.array(same, np.int64).reshape(-1, 2).T
-            for first in range(0, len(rows), QUERIES):
-                some = rows[first : first + QUERIES]
-                score = u[some] @ v[part].T
-                off = np.zeros(score.shape, bool) if allowed is None else ~allowed(some, part)
-                if len(same):
-                    place = np.searchsorted(some, same_row)
-                    mine = some[np.minimum(place, len(some) - 1)] == same_row
-                    off[place[mine], same_col[mine]] = True
-                self.pairs[some] += score.shape[1] - off.sum(axis=1)
-                score[off] = -np.inf
-                self._keep(some, score, ids[part])
+            mine = rows
+            if stretch is not None and len(rows):
+                first, last = stretch(rows, part)
+                place = np.minimum(np.searchsorted(rows, same_row), len(rows) - 1)
+                own = (rows[place] == same_row) & (first[place] <= same_col) & (same_col < last[place])
+                self.pairs[rows] += last - first
+                np.subtract.at(self.pairs, same_row[own], 1)
+                mine = rows[last > first] if score else rows[:0]
+            for first in range(0, len(mine), QUERIES):
+                some = mine[first : first + QUERIES]
+                scores = u[some] @ v[part].T
+                off = None if allowed is None else ~allowed(some, part)
+                place = np.minimum(np.searchsorted(some, same_row), len(some) - 1)
+                own = some[place] == same_row
+                if stretch is None:
+                    self.pairs[some] += scores.shape[1] - (0 if off is None else off.sum(axis=1))
+                    self_off = own if off is None else own & ~off[place, same_col]
+                    np.subtract.at(self.pairs, same_row[self_off], 1)
+                if off is not None:
+                    scores[off] = -np.inf
+                scores[place[own], same_col[own]] = -np.inf
+                self._keep(some, scores, ids[part])
 
     def _keep(self, some: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        least = self.kth[some]
-        if score.shape[1] > self.k and np.count_nonzero(score >= (least - SLACK)[:, None]) > 2 * self.k * len(some):
-            least = np.maximum(least, np.partition(score, -self.k, axis=1)[:, -self.k])
-        r, c = np.nonzero((score >= (least - SLACK)[:, None]) & (score > -np.inf))
+        hit = score >= (self.kth[some] - SLACK)[:, None]
+        if score.shape[1] > self.k and np.count_nonzero(hit) > 2 * self.k * len(some):
+            least = np.maximum(self.kth[some], np.partition(score, -self.k, axis=1)[:, -self.k])
+            hit = score >= (least - SLACK)[:, None]
+        r, c = np.divmod(np.flatnonzero(hit), score.shape[1])
+        there = score[r, c] > -np.inf
+        r, c = r[there], c[there]
         if not len(r):
             return
         cosine, row = np.round(score[r, c], 9), some[r]

@@ -47,6 +47,30 @@ def test_lists_in_blocks(clustered, monkeypatch):
     assert ranked(vector_index.search_cells(queries, index, 5, 1, exact=True)[0]) == ranked(search.vector_topk(queries, refs.filter("ref_vec is not null"), 5))
 
 
+@pytest.mark.parametrize("probes, block", [(1, 65_536), (3, 20), (40, 65_536)])
+def test_pairs_are_counted_without_scores(clustered, monkeypatch, probes, block):
+    """What an exact search scores beyond the probed cells is known from residuals: no second or third search."""
+    queries, refs = clustered
+    monkeypatch.setattr(vector_index, "BLOCK", block)
+    index = vector_index.fit_cells(refs, cells=12)
+    want = [vector_index.search_cells(queries, index, 5, probes, exact)[1].agg(F.sum("pairs")).first()[0] for exact in (False, True)]
+    calls, scored = [], vector_index._scored
+    monkeypatch.setattr(vector_index, "_scored", lambda *a: calls.append(a[4:]) or scored(*a))
+    assert list(vector_index.pairs_of(queries, index, 5, probes)) == want and calls == [(False,), (True, False)]
+    # Plain counts: pairs in the probed cells, and those of the others that the triangle inequality leaves.
+    lists = [(r.ref_id, r.cell, r.residual) for r in index.lists.collect()]
+    rows = vector_index.search_cells(queries, index, 5, probes)[0].filter("rank = 5").collect()
+    within = {r.query_id: max(2 - 2 * r.cosine, 0) ** 0.5 for r in rows}
+    probed = exact = 0
+    for q in queries.collect():
+        d = vector_index.distances(vector_index.units([q.query_vec]), index.centroids)[0]
+        near = set(sorted((k for k in range(12) if index.sizes[k]), key=lambda k: d[k])[:probes])
+        inside = [cell in near for i, cell, _ in lists if i != q.query_id]
+        probed += sum(inside)
+        exact += sum(inside) + sum(abs(x - d[cell]) <= within.get(q.query_id, 2.0) + 1e-6 for i, cell, x in lists if i != q.query_id and cell not in near)
+    assert want == [probed, exact]
+
+
 def test_ids_may_be_names(clustered):
     queries, refs = (x.withColumn(c, F.concat(F.lit("v"), F.col(c))) for x, c in zip(clustered, ("query_id", "ref_id")))
     refs = refs.limit(300)
